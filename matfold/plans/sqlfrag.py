@@ -82,7 +82,7 @@ def parse_cc50(x: str, fix_scientific: bool = True) -> str:
     v = f"regexp_replace({v}, '[,\\s]*\\(.+?\\)', '', 'g')"
     v = f"replace({v}, ',', '')"
     v = f"replace(replace({v}, '–', '-'), '—', '-')"
-    first_part = f"list_filter(string_split({v}, '-'), p -> trim(p) <> '')[1]"
+    first_part = f"list_filter(string_split({v}, '-'), lambda p: trim(p) <> '')[1]"
     parsed = (f"CASE WHEN starts_with({v}, '>') OR starts_with({v}, '<') THEN {first_number(v)} "
               f"WHEN strpos({v}, '-') > 0 THEN {first_number(first_part)} "
               f"ELSE {first_number(v)} END")
