@@ -35,4 +35,4 @@ def load_all() -> None:
         importlib.import_module(f"matfold.plans.{mod}")
 
 
-PLAN_MODULES = ["corrosion", "materials", "assays", "polymers", "search", "joins", "crystals", "features", "schema_ops"]
+PLAN_MODULES = ["corrosion", "materials", "assays", "polymers", "search", "joins", "crystals", "features", "schema_ops", "models"]
