@@ -167,3 +167,18 @@ def merge_duplicate_numeric(df: DataFrame) -> DataFrame:
 
 def is_numeric_text(c: Column) -> Column:
     return py_strip(c).rlike(NUMERIC_RE)
+
+
+def symbol_name(name: str) -> str:
+    """'Iron (Fe)' -> 'Fe'; names with 'Ultimate' -> 'UTS', 'Liquidus' -> 'Liquidus'."""
+    if "Ultimate" in name:
+        return "UTS"
+    if "Liquidus" in name:
+        return "Liquidus"
+    m = re.search(r"\(([^)]+)\)", name)
+    return m.group(1) if m else name.strip()
+
+
+def rename_by_symbol(df: DataFrame) -> DataFrame:
+    """Rename composition columns to their element symbol (driver-side, no job)."""
+    return df.toDF(*[symbol_name(c) for c in df.columns])

@@ -200,3 +200,29 @@ def q_knn_regress(spark, sf_dir):
     test = e.where(F.col("split") == "test").select("vec_id", "embedding")
     out = knn_regress(train, test, "vec_id", "embedding", "label", k=7)
     return out.select("vec_id", F.round("prediction", 9).alias("prediction"), "n_neighbors")
+
+
+@query("tg_regress")
+def q_tg_regress(spark, sf_dir):
+    """Glass-transition regression on structure fingerprints with a
+    standardised target (kept with the model and inverted after scoring)."""
+    from matfold.operators.prep import fit_standard, unstandardize
+    from matfold.plans.polymers import polymer_training
+    t = polymer_training(raw_view(spark, sf_dir, "raw_polymer_b"), raw_view(spark, sf_dir, "raw_polymer_a"))
+    t = hash_split(add_fingerprint(t, "SMILES"), "SMILES")
+    (m, s), = fit_standard(t.where(F.col("split") == "train"), ["Tg"]).values()
+    t = t.withColumn("Tg_z", (F.col("Tg") - m) / s)
+    model = fit_pipeline(t.where(F.col("split") == "train"),
+                         [assembler(["fp"]), LinearRegression(labelCol="Tg_z", regParam=0.1)])
+    pred = model.transform(t).select("SMILES", "split", "Tg",
+                                     unstandardize("prediction", m, s).alias("Tg_pred"))
+    return pred
+
+
+@query("training_matrix")
+def q_training_matrix(spark, sf_dir):
+    """Three-domain feature matrix assembled into one vector per master item."""
+    from matfold.plans.joins import _fm_inputs, feature_matrix
+    fm = feature_matrix(*_fm_inputs(spark, sf_dir))
+    cols = [c for c in fm.columns if c not in ("material_name", "y")]
+    return assembler(cols, "X").transform(fm).select("material_name", "X", "y")

@@ -205,3 +205,17 @@ def test_setops(spark):
     assert s.columns == ["k", "a", "b"] and s.count() == 3
     assert setops.union_distinct([a, a]).count() == 1
     assert setops.except_by_key(b, a, ["k"]).count() == 0
+
+
+def test_symbol_rename_and_argmax(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)],
+                               "`Iron (Fe)` double, `Tensile Strength: Ultimate (UTS) (psi)` double, "
+                               "`Liquidus Temp` double, ` Other ` double")
+    assert schema.rename_by_symbol(df).columns == ["Fe", "UTS", "Liquidus", "Other"]
+    p = spark.createDataFrame([([0.1, 0.7, 0.2],), ([0.5, 0.2, 0.3],)], "p array<double>")
+    idx, best = dedup.argmax_class("p")
+    assert [tuple(r) for r in p.select(idx, best).collect()] == [(1, 0.7), (0, 0.5)]
+    renamed = schema.rename_present(df, {"Iron (Fe)": "Fe", "missing": "x"})
+    assert renamed.columns[0] == "Fe"
+    added = schema.add_missing_columns(renamed, ["Fe", "Cr"], "double")
+    assert added.columns[-1] == "Cr" and added.first()["Cr"] is None
