@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matfold.functions.parse import parse_rate, strip_to_number, to_number
-from matfold.functions.score import corrosion_compat_score, corrosion_row_score, is_bio_environment
-from matfold.functions.text import clean_name_basic
+from matfold.functions.score import corrosion_compat_score, is_bio_environment, rate_score, rating_score
+from matfold.functions.text import clean_name_basic, py_strip
 from matfold.operators.agg import first_nonblank, score_stats
 from matfold.plans import sqlfrag as S
 from matfold.plans.registry import query
@@ -25,13 +25,22 @@ ORDINAL = ["ord_a", "ord_b", "ord_c", "ord_d"]
 
 def score_records(raw: DataFrame, mm_col: str = "Rate_mm", mils_col: str = "Rate_mils",
                   material_col: str = "Material", mils_unit: str = "text") -> DataFrame:
-    """Per-record rate (mm/yr), rating score, row score and clean name."""
-    return raw.select(
+    """Per-record rate (mm/yr), row score and clean name.
+
+    Staged projections: the stripped texts and the parsed rate are computed
+    once and referenced by name, so the optimizer does not inline the parse
+    into every place that uses it (CollapseProject keeps non-cheap shared
+    expressions in their own projection).
+    """
+    staged = raw.select("*", py_strip(mm_col).alias("_smm"), py_strip(mils_col).alias("_smils"))
+    parsed = staged.select(
         "*",
-        F.coalesce(parse_rate(mm_col), parse_rate(mils_col, unit=mils_unit)).alias("rate_mm_yr"),
-        corrosion_row_score(mm_col, mils_col, mils_unit).alias("corr_score_row"),
-        clean_name_basic(material_col).alias("Clean_Name"),
-    )
+        F.coalesce(parse_rate("_smm"), parse_rate("_smils", unit=mils_unit)).alias("rate_mm_yr"),
+        F.coalesce(rating_score("_smm"), rating_score("_smils")).alias("_rating"),
+        clean_name_basic(material_col).alias("Clean_Name"))
+    return parsed.select(*raw.columns, "rate_mm_yr",
+                         F.coalesce(rate_score("rate_mm_yr"), F.col("_rating")).alias("corr_score_row"),
+                         "Clean_Name")
 
 
 def corrosion_scores(raw: DataFrame, order_cols=ORDINAL, mils_unit: str = "text",
