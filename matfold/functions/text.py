@@ -18,6 +18,8 @@ STANDARD_PREFIXES = ["ANSI", "ISO", "DIN", "ASTM", "BS", "SAE", "GB", "JIS", "GO
 STANDARD_TOKENS = ["ANSI", "ASTM", "ISO", "DIN", "BS", "SAE", "GB", "JIS", "GOST", "NF"]
 # Characters kept by the clean-name rule (everything else becomes a blank).
 CLEAN_NAME_DROP = r"[^A-Z0-9\-\+\(\)\/ ]+"
+# Whitespace as matched by \s: blank, tab, newline, vertical tab, form feed, return.
+WHITESPACE = " \t\n\x0b\f\r"
 # --------------------------------------------------------------------------
 
 _PREFIX_RE = r"(?i)^\s*(" + "|".join(STANDARD_PREFIXES) + r")[\s,:-]*"
@@ -27,8 +29,9 @@ def py_strip(c: ColumnLike) -> Column:
     """Strip leading/trailing whitespace the way Python's ``str.strip`` does.
 
     Spark's ``trim`` only removes blanks; tabs and newlines must go too.
+    ``btrim`` with the whitespace set is a plain character scan (no regex).
     """
-    return F.regexp_replace(col_of(c), r"^\s+|\s+$", "")
+    return F.btrim(col_of(c), F.lit(WHITESPACE))
 
 
 def collapse_ws(c: ColumnLike) -> Column:
@@ -58,7 +61,10 @@ def clean_name_basic(c: ColumnLike) -> Column:
     Null becomes '' (the value is filled before cleaning).
     """
     up = F.upper(F.coalesce(col_of(c), F.lit("")))
-    return collapse_ws(F.regexp_replace(up, CLEAN_NAME_DROP, " "))
+    # One pass: a run of disallowed characters and/or whitespace becomes one
+    # blank, which equals "replace disallowed runs, then collapse whitespace".
+    fused = CLEAN_NAME_DROP.replace(" ]", "]")
+    return F.btrim(F.regexp_replace(up, fused, " "), F.lit(" "))
 
 
 def make_clean_name(c: ColumnLike) -> Column:

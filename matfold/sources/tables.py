@@ -23,8 +23,36 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+# Inputs at least this large are spread over the cluster's cores when the
+# file layout alone gives fewer scan tasks than cores.
+SPREAD_MIN_BYTES = 4 << 20
+
+
+def _input_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+def spread(df: DataFrame, size_bytes: int) -> DataFrame:
+    """Round-robin the rows over the cores when the scan itself cannot.
+
+    A file written as one row group is read by one task, so every per-row
+    parsing step after it would run on one core.  Large inputs with fewer
+    scan partitions than ``defaultParallelism`` are therefore repartitioned
+    once; on a cluster reading many files this is a no-op (the scan already
+    has more partitions than cores).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if size_bytes >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    return spread(spark.read.parquet(path), _input_bytes(spark, path))
 
 
 def spark_refs(sf_dir: str) -> dict[str, str]:
@@ -32,9 +60,23 @@ def spark_refs(sf_dir: str) -> dict[str, str]:
     return {t: f"parquet.`{table_path(sf_dir, t)}`" for t in TABLES}
 
 
+def _view_name(sf_dir: str, table: str) -> str:
+    import hashlib
+    return f"mf_{table}_{hashlib.md5(sf_dir.encode()).hexdigest()[:10]}"
+
+
 def duck_refs() -> dict[str, str]:
     return {t: t for t in TABLES}
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return spark.sql(text.format(**spark_refs(sf_dir)))
+    """Run SQL text over the tables of ``sf_dir`` (each read via ``read_table``)."""
+    refs = {}
+    for t in TABLES:
+        if "{" + t + "}" in text:
+            name = _view_name(sf_dir, t)
+            read_table(spark, sf_dir, t).createOrReplaceTempView(name)
+            refs[t] = name
+        else:
+            refs[t] = t
+    return spark.sql(text.format(**refs))
