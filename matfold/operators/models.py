@@ -68,5 +68,16 @@ def assembler(cols: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep")
 
 
-def fit_pipeline(df: DataFrame, stages: list) -> PipelineModel:
-    return Pipeline(stages=stages).fit(df)
+def fit_pipeline(df: DataFrame, stages: list, cache: bool = True) -> PipelineModel:
+    """Fit a pipeline; the training input is persisted for the duration of
+    the fit (iterative estimators pass over it many times) and released
+    afterwards.  Persisted blocks are recomputed from lineage if an executor
+    is lost."""
+    from pyspark import StorageLevel
+    if not cache:
+        return Pipeline(stages=stages).fit(df)
+    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=stages).fit(data)
+    finally:
+        data.unpersist()

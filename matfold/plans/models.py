@@ -58,9 +58,9 @@ def q_rf_qsar(spark, sf_dir):
     asm = assembler(["fp", "Mw", "Family_enc"])
     train, test = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
     reg = fit_pipeline(train, [fam, asm, RandomForestRegressor(labelCol="log_cc50", numTrees=20, maxDepth=8,
-                                                               seed=SEED)])
+                                                               featureSubsetStrategy="sqrt", seed=SEED)])
     clf = fit_pipeline(train, [fam, asm, RandomForestClassifier(labelCol="toxic", numTrees=20, maxDepth=8,
-                                                                seed=SEED)])
+                                                                featureSubsetStrategy="sqrt", seed=SEED)])
     rp = reg.transform(test)
     cp = clf.transform(test).select("toxic", vector_to_array("probability")[1].alias("p1"),
                                     F.col("prediction").cast("int").alias("pred"))
