@@ -33,6 +33,21 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tupl
     return df, False
 
 
+def small_dictionary(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame | None:
+    """A proven-small derived table as a local, broadcast relation.
+
+    At most ``max_rows + 1`` rows are fetched; if the table fits, it comes
+    back as a local relation (what a broadcast ships anyway), so the plan
+    that joins it no longer contains the expressions that derived it and
+    filters on its columns stay plain column filters.  ``None`` when the
+    table is larger than the bound.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def suffixed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
                   suffixes: tuple[str, str] = ("_x", "_y"), null_safe: bool = False) -> DataFrame:
     """pandas-style merge: shared non-key columns get suffixes.

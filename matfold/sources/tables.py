@@ -25,7 +25,7 @@ def table_path(sf_dir: str, name: str) -> str:
 
 # Inputs at least this large are spread over the cluster's cores when the
 # file layout alone gives fewer scan tasks than cores.
-SPREAD_MIN_BYTES = 4 << 20
+SPREAD_MIN_BYTES = 1 << 20
 
 
 def _input_bytes(spark: SparkSession, path: str) -> int:
