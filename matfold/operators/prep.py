@@ -18,6 +18,39 @@ from matfold.functions._util import ColumnLike, col_of
 from matfold.operators.joins import bounded_broadcast
 
 
+# ------------------------------------------------------- global ordering
+
+def ordered_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> tuple[DataFrame, dict]:
+    """Split ``df`` into ranges of ``order_col`` for a distributed running count.
+
+    Range bounds come from ``approxQuantile`` (a small sketch), so every
+    bucket is a bounded slice of the data; a window partitioned by bucket
+    then orders one slice per task.  Returns the frame with a ``_b`` bucket
+    column and the number of rows before each bucket (one number per bucket,
+    computed by a grouped count).  Exact: bounds only decide where rows go.
+    """
+    from pyspark.ml.feature import Bucketizer
+    n = n_buckets or max(2, df.sparkSession.sparkContext.defaultParallelism * 4)
+    probs = [i / n for i in range(1, n)]
+    cuts = sorted(set(q for q in df.approxQuantile(order_col, probs, 0.001) if q is not None))
+    splits = [float("-inf")] + cuts + [float("inf")]
+    with_b = Bucketizer(splits=splits, inputCol="_ord_d", outputCol="_b", handleInvalid="keep").transform(
+        df.withColumn("_ord_d", F.col(order_col).cast("double"))).drop("_ord_d")
+    counts = {r["_b"]: r["n"] for r in with_b.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, acc = {}, 0
+    for b in sorted(counts):
+        before[b] = acc
+        acc += counts[b]
+    return with_b, before
+
+
+def _lookup(col: str, table: dict) -> Column:
+    if not table:
+        return F.lit(0).cast("long")
+    m = F.create_map(*[x for k, v in table.items() for x in (F.lit(float(k)), F.lit(int(v)))])
+    return F.coalesce(m[F.col(col)], F.lit(0)).cast("long")
+
+
 # ------------------------------------------------------------------ scaling
 
 def fit_standard(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -70,12 +103,15 @@ def first_appearance_codes(df: DataFrame, col: str, order: str, code_col: str =
                            max_broadcast_rows: int = 100_000) -> DataFrame:
     """Codes 0..k-1 by first appearance (``pd.factorize``); null -> -1.
 
-    The distinct values are reduced with a map-side combined ``min``; only
-    that small table is ranked; the codes return by a join that is a
-    broadcast when the distinct set is proven small.
+    The distinct values are reduced with a map-side combined ``min``; they
+    are ranked per range of first position (``ordered_buckets``) plus the
+    count of earlier ranges; the codes return by a join that is a broadcast
+    when the distinct set is proven small.
     """
     firsts = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(order).alias("_first")))
-    codes = firsts.select(col, (F.row_number().over(Window.orderBy("_first", col)) - 1).alias(code_col))
+    bucketed, before = ordered_buckets(firsts, "_first")
+    w = Window.partitionBy("_b").orderBy("_first", col)
+    codes = bucketed.select(col, (_lookup("_b", before) + F.row_number().over(w) - 1).cast("int").alias(code_col))
     codes, _ = bounded_broadcast(codes, max_broadcast_rows)
     out = df.join(codes, col, "left")
     return out.select(*[F.col(c) for c in df.columns],
@@ -199,13 +235,22 @@ def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """ROC AUC by the rank-sum formula with tied scores counted half.
 
     Rows are first reduced to one row per distinct score (positives and
-    negatives counted, map-side combined); only that table is ordered.
+    negatives counted, map-side combined).  The running count of negatives
+    below each score is computed per score range (``ordered_buckets``), so
+    no single task orders all distinct scores.
     """
     per = df.groupBy(F.col(score).alias("_s")).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("_neg"))
-    w = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    cum = per.select("*", F.coalesce(F.sum("_neg").over(w), F.lit(0)).alias("_below"))
+    bucketed, _ = ordered_buckets(per, "_s")
+    neg_before = {r["_b"]: r["n"] for r in bucketed.groupBy("_b").agg(F.sum("_neg").alias("n")).collect()}
+    offsets, acc = {}, 0
+    for b in sorted(neg_before):
+        offsets[b] = acc
+        acc += neg_before[b]
+    w = Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    cum = bucketed.select("*", (_lookup("_b", offsets) + F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+                          .alias("_below"))
     agg = cum.agg(F.sum(F.col("_pos") * F.col("_below") + 0.5 * F.col("_pos") * F.col("_neg")).alias("_u"),
                   F.sum("_pos").alias("P"), F.sum("_neg").alias("N"))
     return agg.select((F.col("_u") / (F.col("P") * F.col("N"))).alias("auc"),
