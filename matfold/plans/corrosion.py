@@ -69,6 +69,12 @@ def bio_environment_scores(raw: DataFrame, strict: bool = False) -> DataFrame:
                        corrosion_compat_score("Rate_mm", strict=strict).alias("corrosion_score")))
 
 
+def with_rate_numeric(raw: DataFrame) -> DataFrame:
+    """The table plus ``<col>_numeric`` for every rate column (one projection)."""
+    rate_cols = [c for c in raw.columns if "rate" in c.lower()]
+    return raw.select("*", *[strip_to_number(c).alias(f"{c}_numeric") for c in rate_cols])
+
+
 def rate_numeric(raw: DataFrame) -> DataFrame:
     """Every rate column stripped to a number; temperature coerced."""
     rate_cols = [c for c in raw.columns if "rate" in c.lower()]

@@ -16,7 +16,7 @@ from matfold.operators.filters import apply_filters, option_values, rule_label,
 from matfold.operators.schema import select_present
 from matfold.operators.setops import stack, union_distinct
 from matfold.plans import sqlfrag as S
-from matfold.plans.corrosion import rate_numeric
+from matfold.plans.corrosion import with_rate_numeric
 from matfold.plans.materials import UNIFIED_SQL, unified_materials
 from matfold.plans.registry import query
 from matfold.sources.raw_views import duck_cte, raw_view
@@ -122,9 +122,7 @@ WHERE (regexp_matches(Environment, 'water', 'i') OR regexp_matches(Material_Grou
   AND Rate_mm_numeric >= 0.1
 """)
 def q_search_corrosion(spark, sf_dir):
-    raw = raw_view(spark, sf_dir, "raw_corrosion")
-    rates = rate_numeric(raw).select("ord_a", "ord_b", "ord_c", "ord_d", "Rate_mm_numeric")
-    table = raw.join(rates, ["ord_a", "ord_b", "ord_c", "ord_d"])
+    table = with_rate_numeric(raw_view(spark, sf_dir, "raw_corrosion")).drop("Rate_mils_numeric")
     rate_col = next(c for c in table.columns if c.lower().startswith("rate") and c.endswith("numeric"))
     out = search(table, {"free_text": "water", rate_col: {"min": 0.1}})
     return out.select("ord_a", "ord_b", "ord_c", "ord_d", "Material", "Environment", rate_col)
