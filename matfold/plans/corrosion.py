@@ -162,3 +162,36 @@ def q_corrosion_row_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = score_records(raw_view(spark, sf_dir, "raw_corrosion"))
     return s.select(*ORDINAL, "Clean_Name", F.round("rate_mm_yr", 6).alias("rate_mm_yr"),
                     F.round("corr_score_row", 6).alias("corr_score_row"))
+
+
+def _mils_sql() -> str:
+    rate = f"coalesce({S.parse_rate('Rate_mm')}, {S.parse_rate('Rate_mils', unit='mils')})"
+    rating = f"coalesce({S.rating_score('Rate_mm')}, {S.rating_score('Rate_mils')})"
+    return f"coalesce({S.rate_score(rate)}, {rating})"
+
+
+@query("corrosion_scores_mils", oracle=CORROSION_SCORES_SQL.replace(
+    S.corrosion_row_score('Rate_mm', 'Rate_mils'), _mils_sql()))
+def q_corrosion_scores_mils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same summary with every number of the mils column read as mils."""
+    return corrosion_scores(raw_view(spark, sf_dir, "raw_corrosion"), mils_unit="mils")
+
+
+def _compat_strict_sql(x: str) -> str:
+    up = f"upper({x})"
+    rate = S.to_number(x)
+
+    def word(ws):
+        return f"regexp_matches({up}, '\\b({'|'.join(ws)})\\b')"
+    return (f"(CASE WHEN {x} IS NULL THEN 0.5 "
+            f"WHEN {word(['A', 'RESISTANT'])} THEN 0.9 WHEN {word(['B', 'GOOD'])} THEN 0.7 "
+            f"WHEN {word(['C', 'QUESTIONABLE'])} THEN 0.4 WHEN {word(['D', 'POOR'])} THEN 0.1 "
+            f"WHEN {rate} IS NULL THEN 0.5 WHEN {rate} < 0.01 THEN 0.9 WHEN {rate} < 0.1 THEN 0.7 "
+            f"WHEN {rate} < 0.5 THEN 0.5 WHEN {rate} < 1.0 THEN 0.3 ELSE 0.1 END)")
+
+
+@query("corrosion_env_score_strict", oracle=CORROSION_ENV_SQL.replace(
+    _compat_sql('Rate_mm'), _compat_strict_sql('Rate_mm')))
+def q_corrosion_env_score_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compatibility scores with whole-word rating matches."""
+    return bio_environment_scores(raw_view(spark, sf_dir, "raw_corrosion"), strict=True)
