@@ -68,6 +68,17 @@ def assembler(cols: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's shared checkpoint folder and read it back.
+
+    Used for model inputs that several fits and scorings read: the parsing
+    and fingerprinting run once, the lineage is cut, and a lost executor
+    costs a re-read of the checkpoint files rather than a recomputation.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def fit_pipeline(df: DataFrame, stages: list, cache: bool = True) -> PipelineModel:
     """Fit a pipeline; the training input is persisted for the duration of
     the fit (iterative estimators pass over it many times) and released

@@ -20,14 +20,16 @@ from matfold.operators.joins import bounded_broadcast
 
 # ------------------------------------------------------- global ordering
 
-def ordered_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> tuple[DataFrame, dict]:
+def ordered_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None,
+                    weight_col: str | None = None) -> tuple[DataFrame, dict]:
     """Split ``df`` into ranges of ``order_col`` for a distributed running count.
 
     Range bounds come from ``approxQuantile`` (a small sketch), so every
     bucket is a bounded slice of the data; a window partitioned by bucket
     then orders one slice per task.  Returns the frame with a ``_b`` bucket
     column and the number of rows before each bucket (one number per bucket,
-    computed by a grouped count).  Exact: bounds only decide where rows go.
+    computed by a grouped count, or the sum of ``weight_col``).  Exact: the
+    bounds only decide where rows go.
     """
     from pyspark.ml.feature import Bucketizer
     n = n_buckets or max(2, df.sparkSession.sparkContext.defaultParallelism * 4)
@@ -36,7 +38,8 @@ def ordered_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None)
     splits = [float("-inf")] + cuts + [float("inf")]
     with_b = Bucketizer(splits=splits, inputCol="_ord_d", outputCol="_b", handleInvalid="keep").transform(
         df.withColumn("_ord_d", F.col(order_col).cast("double"))).drop("_ord_d")
-    counts = {r["_b"]: r["n"] for r in with_b.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    w = F.sum(weight_col) if weight_col else F.count(F.lit(1))
+    counts = {r["_b"]: r["n"] or 0 for r in with_b.groupBy("_b").agg(w.alias("n")).collect()}
     before, acc = {}, 0
     for b in sorted(counts):
         before[b] = acc
@@ -242,12 +245,7 @@ def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     per = df.groupBy(F.col(score).alias("_s")).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("_neg"))
-    bucketed, _ = ordered_buckets(per, "_s")
-    neg_before = {r["_b"]: r["n"] for r in bucketed.groupBy("_b").agg(F.sum("_neg").alias("n")).collect()}
-    offsets, acc = {}, 0
-    for b in sorted(neg_before):
-        offsets[b] = acc
-        acc += neg_before[b]
+    bucketed, offsets = ordered_buckets(per, "_s", weight_col="_neg")
     w = Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     cum = bucketed.select("*", (_lookup("_b", offsets) + F.coalesce(F.sum("_neg").over(w), F.lit(0)))
                           .alias("_below"))

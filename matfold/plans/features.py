@@ -339,18 +339,23 @@ def q_structure_summary(spark, sf_dir):
 
 
 @query("label_map", oracle="""
-SELECT n.n_nationkey, r.r_name || ' / ' || n.n_name AS label,
-       'https://atlas.example.org/' || lower(r.r_name) || '/' || CAST(n.n_nationkey AS VARCHAR) AS url,
-       CASE WHEN n.n_nationkey % 2 = 0 THEN 'left' ELSE 'right' END AS side
-FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+SELECT c.c_custkey, r.r_name || ' / ' || n.n_name || ' / ' || c.c_name AS label,
+       'https://atlas.example.org/' || lower(r.r_name) || '/' || CAST(n.n_nationkey AS VARCHAR) || '/'
+         || CAST(c.c_custkey AS VARCHAR) AS url,
+       CASE WHEN c.c_custkey % 2 = 0 THEN 'left' ELSE 'right' END AS side
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 """)
 def q_label_map(spark, sf_dir):
-    nat = read_table(spark, sf_dir, "nation")
+    """Label and link building per item, with the two lookup dimensions
+    broadcast after a size check."""
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    nat, _ = bounded_broadcast(read_table(spark, sf_dir, "nation"))
     reg, _ = bounded_broadcast(read_table(spark, sf_dir, "region"))
-    j = nat.join(reg, nat.n_regionkey == reg.r_regionkey)
-    return j.select("n_nationkey", F.concat_ws(" / ", "r_name", "n_name").alias("label"),
-                    F.format_string("https://atlas.example.org/%s/%d", F.lower("r_name"), "n_nationkey").alias("url"),
-                    F.when(F.col("n_nationkey") % 2 == 0, "left").otherwise("right").alias("side"))
+    j = cust.join(nat, cust.c_nationkey == nat.n_nationkey).join(reg, nat.n_regionkey == reg.r_regionkey)
+    return j.select("c_custkey", F.concat_ws(" / ", "r_name", "n_name", "c_name").alias("label"),
+                    F.format_string("https://atlas.example.org/%s/%d/%d", F.lower("r_name"), "n_nationkey",
+                                    "c_custkey").alias("url"),
+                    F.when(F.col("c_custkey") % 2 == 0, "left").otherwise("right").alias("side"))
 
 
 _PROTEIN = """

@@ -10,7 +10,7 @@ from matfold.operators.agg import mean_by_key
 from matfold.operators.fuzzy import fuzzy_best_match
 from matfold.operators.joins import suffixed_join
 from matfold.plans import sqlfrag as S
-from matfold.plans.assays import (_COMPOUND_SQL, compound_features, load_flagged, load_records,
+from matfold.plans.assays import (_COMPOUND_SQL, compound_features, flag_human, load_records,
                                   material_labels)
 from matfold.plans.corrosion import CORROSION_SCORES_SQL, corrosion_scores
 from matfold.plans.registry import query
@@ -60,8 +60,9 @@ FROM chem c JOIN bio b ON c.Name_norm = b.Name_norm LEFT JOIN cor r ON c.Name_no
 
 @query("unified_training", oracle=_training_sql())
 def q_unified_training(spark, sf_dir):
-    chem = compound_features(load_records(spark, sf_dir))
-    bio = material_labels(load_flagged(spark, sf_dir))
+    records = load_records(spark, sf_dir)
+    chem = compound_features(records)
+    bio = material_labels(flag_human(records, raw_view(spark, sf_dir, "cell_lines")))
     corr = corrosion_scores(raw_view(spark, sf_dir, "raw_corrosion"))
     out = unified_training(chem, bio, corr)
     return out.select(*[F.round(c, 9).alias(c) if c in ("CC50_mM", "min_CC50_mM_on_human")
@@ -70,9 +71,6 @@ def q_unified_training(spark, sf_dir):
 
 # ------------------------------------------------------------------ fuzzy
 
-_FUZZY_PROBES = f"SELECT DISTINCT {{norm}} AS probe FROM raw_corrosion"
-
-
 def _fuzzy_inputs(spark, sf_dir):
     probes = raw_view(spark, sf_dir, "raw_corrosion").select(normalize_name("Material").alias("probe"))
     cands = spark_sql(spark, sf_dir, "SELECT p_name, p_type, p_brand FROM {part}").select(

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from matfold.functions.chem import letter_frequencies
 from matfold.functions.score import log10_target, toxic_flag
 from matfold.operators.knn import knn_regress
-from matfold.operators.models import add_fingerprint, assembler, fit_pipeline, load_model, model_dir, save_model
+from matfold.operators.models import (add_fingerprint, assembler, fit_pipeline, load_model, materialize,
+                                      model_dir, save_model)
 from matfold.operators.prep import (auc, class_weights, classification_report, hash_split,
                                     regression_metrics)
 from matfold.plans.assays import load_records
@@ -53,7 +54,7 @@ def q_fingerprint(spark, sf_dir):
 
 @query("rf_qsar")
 def q_rf_qsar(spark, sf_dir):
-    t = qsar_table(spark, sf_dir)
+    t = materialize(qsar_table(spark, sf_dir))
     fam = StringIndexer(inputCol="Family", outputCol="Family_enc", handleInvalid="keep")
     asm = assembler(["fp", "Mw", "Family_enc"])
     train, test = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
@@ -112,7 +113,7 @@ _PROT_FEATS = ["Number_of_Residues", "Number_of_Chains", "Helix", "Sheet", "Coil
 
 @query("mlp_state")
 def q_mlp_state(spark, sf_dir):
-    t = protein_table(spark, sf_dir)
+    t = materialize(protein_table(spark, sf_dir))
     train, test = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
     feats = _PROT_FEATS + [f"aa_{c}" for c in "ACDEFGHIKLMNPQRSTVWY"]
     scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
@@ -133,7 +134,7 @@ def q_mlp_state(spark, sf_dir):
 @query("binding_weighted")
 def q_binding_weighted(spark, sf_dir):
     """Binary classifier with balanced class weights (weightCol)."""
-    t = protein_table(spark, sf_dir)
+    t = materialize(protein_table(spark, sf_dir))
     w = class_weights(t, "toxic")
     tw = t.join(w.select("toxic", "weight"), "toxic")
     model = fit_pipeline(tw.where(F.col("split") == "train"),
