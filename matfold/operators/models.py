@@ -75,8 +75,13 @@ def materialize(df: DataFrame) -> DataFrame:
     and fingerprinting run once, the lineage is cut, and a lost executor
     costs a re-read of the checkpoint files rather than a recomputation.
     """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)  # computed once, then written
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
 
 
 def fit_pipeline(df: DataFrame, stages: list, cache: bool = True) -> PipelineModel:

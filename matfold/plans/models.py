@@ -117,7 +117,7 @@ def q_mlp_state(spark, sf_dir):
     train, test = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
     feats = _PROT_FEATS + [f"aa_{c}" for c in "ACDEFGHIKLMNPQRSTVWY"]
     scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    mlp = MultilayerPerceptronClassifier(labelCol="state", layers=[len(feats), 32, 16, 4], maxIter=50, seed=SEED)
+    mlp = MultilayerPerceptronClassifier(labelCol="state", layers=[len(feats), 32, 16, 4], maxIter=30, seed=SEED)
     clf = fit_pipeline(train, [assembler(feats, "raw"), scale, mlp])
     gbt = fit_pipeline(train, [assembler(feats, "raw"), scale,
                                GBTRegressor(labelCol="count", maxIter=10, seed=SEED)])
