@@ -21,13 +21,37 @@ from matfold.sources.tables import spark_sql
 
 
 def unified_training(chemical: DataFrame, biological: DataFrame, corrosion: DataFrame,
-                     match_nulls: bool = False) -> DataFrame:
+                     match_nulls: bool = False, fuzzy: str | None = None, cutoff: float = 0.75,
+                     metric: str = "ratio") -> DataFrame:
     """chemical ⋈ biological on the normalised name (inner, _chem/_bio),
-    then ⟕ corrosion (suffix _corr)."""
+    then ⟕ corrosion (suffix _corr).
+
+    ``fuzzy='unmatched'`` adds, for chemical rows without an exact partner,
+    the biological row whose key is the best fuzzy match above ``cutoff``;
+    ``fuzzy='only_if_empty'`` uses the fuzzy join instead of the exact one
+    only when the exact join is empty (the original behaviour; one bounded
+    emptiness check).
+    """
     chem = chemical.withColumn("Name_norm", normalize_name("Name"))
     bio = biological.withColumn("Name_norm", normalize_name("Clean_Name"))
     corr = corrosion.withColumn("Name_norm", normalize_name("Clean_Name"))
     merged = suffixed_join(chem, bio, ["Name_norm"], "inner", ("_chem", "_bio"), null_safe=match_nulls)
+
+    def fuzzy_part(probe_side: DataFrame) -> DataFrame:
+        m = fuzzy_best_match(probe_side, "Name_norm", bio, "Name_norm", cutoff, metric)
+        probed = probe_side.join(m.select(F.col("probe").alias("Name_norm"), "match"), "Name_norm")
+        bio_m = bio.withColumnRenamed("Name_norm", "match")
+        out = suffixed_join(probed, bio_m, ["match"], "inner", ("_chem", "_bio"))
+        return out.drop("match").select(*merged.columns)
+
+    if fuzzy == "unmatched":
+        left_over = chem.join(bio.select("Name_norm").distinct(), "Name_norm", "left_anti")
+        merged = merged.unionByName(fuzzy_part(left_over))
+    elif fuzzy == "only_if_empty":
+        if merged.limit(1).count() == 0:
+            merged = fuzzy_part(chem)
+    elif fuzzy is not None:
+        raise ValueError(fuzzy)
     return suffixed_join(merged, corr, ["Name_norm"], "left", ("", "_corr"), null_safe=match_nulls)
 
 
@@ -69,6 +93,16 @@ def q_unified_training(spark, sf_dir):
                         else F.round(c, 6).alias(c) if c == "MolWt" else F.col(c) for c in _TRAIN_COLS])
 
 
+@query("unified_training_fuzzy")
+def q_unified_training_fuzzy(spark, sf_dir):
+    """Exact matches plus fuzzy (difflib ratio >= 0.75) matches of the rest."""
+    records = load_records(spark, sf_dir)
+    chem = compound_features(records)
+    bio = material_labels(flag_human(records, raw_view(spark, sf_dir, "cell_lines")))
+    corr = corrosion_scores(raw_view(spark, sf_dir, "raw_corrosion"))
+    return unified_training(chem, bio, corr, fuzzy="unmatched").select(*_TRAIN_COLS)
+
+
 # ------------------------------------------------------------------ fuzzy
 
 def _fuzzy_inputs(spark, sf_dir):

@@ -219,3 +219,18 @@ def test_symbol_rename_and_argmax(spark):
     assert renamed.columns[0] == "Fe"
     added = schema.add_missing_columns(renamed, ["Fe", "Cr"], "double")
     assert added.columns[-1] == "Cr" and added.first()["Cr"] is None
+
+
+def test_training_join_fuzzy_modes(spark):
+    from matfold.plans.joins import unified_training
+    chem = spark.createDataFrame([("Alpha Salt", 1.0), ("Betaine X", 2.0), ("zzz", 3.0)], "Name string, v double")
+    bio = spark.createDataFrame([("ALPHA SALT", 0), ("BETAINE Y", 1)], "Clean_Name string, label int")
+    corr = spark.createDataFrame([("ALPHA SALT", 0.9)], "Clean_Name string, corr_score_mean double")
+    exact = unified_training(chem, bio, corr)
+    assert sorted(r["Name"] for r in exact.collect()) == ["Alpha Salt"]
+    more = unified_training(chem, bio, corr, fuzzy="unmatched")
+    got = sorted((r["Name"], r["Clean_Name"]) for r in more.collect())
+    assert got == [("Alpha Salt", "ALPHA SALT"), ("Betaine X", "BETAINE Y")]
+    none_exact = chem.where(F.col("Name") != "Alpha Salt")
+    only = unified_training(none_exact, bio.where(F.col("label") == 1), corr, fuzzy="only_if_empty")
+    assert [r["Name"] for r in only.collect()] == ["Betaine X"]
