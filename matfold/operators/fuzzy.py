@@ -62,6 +62,15 @@ def _min_overlap(length: Column, metric: str, cutoff: float) -> Column:
     return F.ceil(length * cutoff / (2 - cutoff) - 1e-9).cast("int")
 
 
+def _bags(keys: DataFrame, q: int) -> DataFrame:
+    """key -> array of its tokens tagged with their occurrence number (a
+    multiset as a set); bounded by the key length."""
+    toks = keys.select("key", F.posexplode(_tokens(F.col("key"), q)).alias("_p", "tok"))
+    occ = toks.select("key", F.concat_ws("\u0001", "tok", F.row_number().over(
+        Window.partitionBy("key", "tok").orderBy("_p")).cast("string")).alias("t"))
+    return occ.groupBy("key").agg(F.collect_list("t").alias("bag"))
+
+
 def _prefix_tokens(keys: DataFrame, freq: DataFrame, metric: str, cutoff: float, q: int) -> DataFrame:
     toks = keys.select("key", F.posexplode(_tokens(F.col("key"), q)).alias("_p", "tok"))
     occ = toks.select("key", "tok", F.row_number().over(
@@ -118,6 +127,13 @@ def fuzzy_best_match(probes: DataFrame, probe_col: str, candidates: DataFrame, c
                              (1 - F.levenshtein("probe", "cand") / F.greatest(mx, F.lit(1))).alias("score"))
     else:
         kept = pairs.where(2 * F.least(lp, lc) >= cutoff * (lp + lc) - 1e-9)
+        # difflib's quick_ratio bound, natively: matching characters cannot
+        # exceed the multiset overlap of the two keys' characters.
+        pb = _bags(P, q).withColumnRenamed("key", "probe").withColumnRenamed("bag", "pbag")
+        cb = _bags(C, q).withColumnRenamed("key", "cand").withColumnRenamed("bag", "cbag")
+        bagged = kept.join(pb, "probe").join(cb, "cand")
+        overlap = F.size(F.array_intersect("pbag", "cbag"))
+        kept = bagged.where(2 * overlap >= cutoff * (lp + lc) - 1e-9).select("probe", "cand")
         scored = kept.select("probe", "cand", difflib_ratio("cand", "probe").alias("score"))
     good = scored.where(F.col("score") >= cutoff - 1e-12)
     if metric == "ratio":

@@ -27,10 +27,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tupl
     The bound is proven with a limited count (reads at most max_rows + 1
     rows), so a side that grows with the data never gets broadcast.
     """
+    bdf, n = sized_broadcast(df, max_rows)
+    return bdf, n is not None
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int | None]:
+    """Like ``bounded_broadcast`` but returns the row count (None when over the bound)."""
     n = df.limit(max_rows + 1).count()
     if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
+        return F.broadcast(df), n
+    return df, None
 
 
 def small_dictionary(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame | None:
@@ -99,8 +105,9 @@ def contains_any(df: DataFrame, text: ColumnLike, names: DataFrame, name_col: st
     nm = (names.select(F.upper(py_strip(F.col(name_col))).alias("_name"))
                .where(F.col("_name").isNotNull() & (F.col("_name") != ""))
                .distinct())
-    small, is_small = bounded_broadcast(nm, max_broadcast_rows)
-    if is_small and small.limit(1).count() == 0:
+    small, n = sized_broadcast(nm, max_broadcast_rows)
+    is_small = n is not None
+    if n == 0:
         return df.select("*", F.lit(empty_means).alias(flag))
     keyed = df.select("*", F.upper(col_of(text)).alias("_text"))
     texts = keyed.select("_text").where(F.col("_text").isNotNull()).distinct()

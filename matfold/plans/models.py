@@ -140,7 +140,7 @@ def q_binding_weighted(spark, sf_dir):
     model = fit_pipeline(tw.where(F.col("split") == "train"),
                          [assembler(_PROT_FEATS, "raw"),
                           StandardScaler(inputCol="raw", outputCol="features"),
-                          LogisticRegression(labelCol="toxic", weightCol="weight", maxIter=50)])
+                          LogisticRegression(labelCol="toxic", weightCol="weight", maxIter=30)])
     pred = model.transform(tw.where(F.col("split") == "test")).select(
         "toxic", F.col("prediction").cast("int").alias("pred"))
     return classification_report(pred, "toxic", "pred")
