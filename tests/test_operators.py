@@ -234,3 +234,17 @@ def test_training_join_fuzzy_modes(spark):
     none_exact = chem.where(F.col("Name") != "Alpha Salt")
     only = unified_training(none_exact, bio.where(F.col("label") == 1), corr, fuzzy="only_if_empty")
     assert [r["Name"] for r in only.collect()] == ["Betaine X"]
+
+
+def test_hot_key_results_stay_whole(spark):
+    """One key holding a third of the rows: results are complete and exact."""
+    n = 3000
+    rows = [(i, "HOT" if i % 3 == 0 else f"k{i % 97}", float(i % 11)) for i in range(n)]
+    df = spark.createDataFrame(rows, "o long, k string, v double")
+    firsts = {r["k"]: r["o"] for r in dedup.keep_first(df, ["k"], ["o"]).collect()}
+    assert firsts["HOT"] == 0 and len(firsts) == 1 + len({i % 97 for i in range(n) if i % 3})
+    stats = {r[0]: r[1] for r in df.groupBy("k").agg(F.count(F.lit(1))).collect()}
+    assert stats["HOT"] == n // 3
+    split = prep.stratified_split(df, "o", "k", 0.8, buckets_bits=8)
+    hot = split.where(F.col("k") == "HOT").groupBy("split").count().collect()
+    assert {r[0]: r[1] for r in hot}["train"] == math.floor(1000 * 0.8)

@@ -38,3 +38,16 @@ def test_flagship_plan_shape(spark):
 def test_search_filters_reach_the_scan(spark):
     plan = plan_text(E.queries()["search_range"](spark, SF))
     assert "PushedFilters" in plan and "GreaterThanOrEqual(p_retailprice,920.0)" in plan
+
+
+# queries that legitimately run Python on the executors (Arrow batches only)
+PYTHON_OK = {"fuzzy_join_ratio", "unified_training_fuzzy", "knn_regress", "select_model"}
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_python_only_where_declared(spark, name):
+    plan = plan_text(E.queries()[name](spark, SF))
+    if name not in PYTHON_OK:
+        assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan \
+            and "MapInPandas" not in plan, name
+    assert "BatchEvalPython" not in plan  # never row-at-a-time Python UDFs
