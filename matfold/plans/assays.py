@@ -17,7 +17,7 @@ from matfold.functions.parse import extract_float, parse_cc50
 from matfold.functions.score import (cell_line_weight, composite_score, label_from_cc50,
                                      method_weight, toxicity_score)
 from matfold.functions.text import clean_name_basic, is_blank, make_clean_name, py_strip
-from matfold.operators.agg import conditional_min, coverage_percent
+from matfold.operators.agg import conditional_min, coverage_percent, exact_median
 from matfold.operators.dedup import keep_first
 from matfold.operators.joins import contains_any
 from matfold.plans import sqlfrag as S
@@ -81,9 +81,11 @@ def compound_features(records: DataFrame) -> DataFrame:
     g = rows.groupBy("Canonical_SMILES").agg(
         F.min("CC50_mM").alias("CC50_mM"),
         F.min_by("Name", "ord").alias("Name"),
-        F.count_distinct("source_file").cast("long").alias("num_sources"),
-        F.median("MolWt").alias("MolWt"))
-    return g.select("*", label_from_cc50("CC50_mM").alias("biocompatibility_label"))
+        F.count_distinct("source_file").cast("long").alias("num_sources"))
+    med = exact_median(rows, "Canonical_SMILES", "MolWt", "MolWt")
+    g = g.join(med, g["Canonical_SMILES"].eqNullSafe(med["Canonical_SMILES"]), "left").drop(med["Canonical_SMILES"])
+    return g.select("Canonical_SMILES", "CC50_mM", "Name", "num_sources", "MolWt",
+                    label_from_cc50("CC50_mM").alias("biocompatibility_label"))
 
 
 def load_records(spark, sf_dir):

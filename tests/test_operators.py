@@ -248,3 +248,17 @@ def test_hot_key_results_stay_whole(spark):
     split = prep.stratified_split(df, "o", "k", 0.8, buckets_bits=8)
     hot = split.where(F.col("k") == "HOT").groupBy("split").count().collect()
     assert {r[0]: r[1] for r in hot}["train"] == math.floor(1000 * 0.8)
+
+
+def test_exact_median(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k, n in (("a", 7), ("b", 10), (None, 4), ("c", 1)):
+        rows += [(k, float(v)) for v in rng.integers(0, 5, n)]
+    rows += [("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r[0]: r[1] for r in agg.exact_median(df, "k", "v").collect()}
+    for k in ("a", "b", None, "c"):
+        want = float(np.median([v for kk, v in rows if kk == k]))
+        assert math.isclose(got[k], want), k
+    assert "d" not in got
