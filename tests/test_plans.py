@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data
 
 # queries whose plan probes a proven-small name table with instr() (substring join)
 NESTED_LOOP_OK = {"human_flag", "human_flag_nodim", "biocompat_labels", "definitive", "uncertain",
-                  "unified_training", "corrosion_scores_mils"}
+                  "unified_training", "unified_training_fuzzy", "corrosion_scores_mils"}
 
 
 def plan_text(df):

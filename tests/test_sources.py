@@ -81,3 +81,17 @@ def test_streaming_scores_match_batch(spark):
     from matfold.plans.corrosion import corrosion_scores
     want = sorted(tuple(r) for r in corrosion_scores(raw).collect())
     assert got == want
+
+
+def test_save_table_modes(spark):
+    import pytest
+    df = spark.createDataFrame([(1,), (2,)], "x int")
+    name = "mf_test_save_modes"
+    writers.save_table(df, name, "replace")
+    writers.save_table(df, name, "append")
+    assert spark.table(name).count() == 4
+    writers.save_table(df, name, "replace")
+    assert spark.table(name).count() == 2
+    with pytest.raises(Exception):
+        writers.save_table(df, name, "fail")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
