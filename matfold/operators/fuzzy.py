@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from matfold.session import ship_package
+
 
 @F.pandas_udf(T.DoubleType())
 def difflib_ratio(candidate: pd.Series, word: pd.Series) -> pd.Series:
@@ -97,6 +99,8 @@ def fuzzy_best_match(probes: DataFrame, probe_col: str, candidates: DataFrame, c
     if metric == "levenshtein" and cutoff <= 0.5:
         raise ValueError("levenshtein blocking needs cutoff > 0.5")
     q = 2 if metric == "levenshtein" else 1
+    if metric == "ratio":
+        ship_package(probes.sparkSession)
     P = probes.select(F.col(probe_col).alias("key")).where(F.col("key").isNotNull()).distinct()
     C = candidates.select(F.col(cand_col).alias("key")).where(F.col("key").isNotNull()).distinct()
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from matfold.session import ship_package
+
 CHUNK_ROWS = 50_000
 
 
@@ -30,6 +32,7 @@ def knn_candidates(train: DataFrame, test: DataFrame, id_col: str, vec_col: str,
                    k: int = 7, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(test id, train id, squared distance, label) for each test row's k nearest."""
     spark = train.sparkSession
+    ship_package(spark)
     n = train.count()
     chunks = max(1, math.ceil(n / chunk_rows))
     tagged = train.select(id_col, vec_col, label_col,

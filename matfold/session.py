@@ -58,3 +58,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="matfold-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``matfold`` importable in the Python workers of this application.
+
+    Arrow UDFs and ``mapInPandas`` functions of the library are pickled by
+    reference, so executors must be able to import the package.  It is zipped
+    once per application and added with ``addPyFile`` (Spark distributes it
+    to every executor, present and future).
+    """
+    import shutil
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="matfold-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "matfold"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="matfold")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
