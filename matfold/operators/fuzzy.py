@@ -64,20 +64,30 @@ def _min_overlap(length: Column, metric: str, cutoff: float) -> Column:
     return F.ceil(length * cutoff / (2 - cutoff) - 1e-9).cast("int")
 
 
+def _tagged(key: Column, q: int) -> Column:
+    """Tokens of ``key`` as (tok, occ) structs: a multiset written as a set.
+
+    The occurrence number is counted natively inside the row (tokens before
+    this position that are equal), so no shuffle or window is needed; the
+    cost is quadratic in the key length only.
+    """
+    toks = _tokens(key, q)
+    return F.transform(toks, lambda x, i: F.struct(
+        x.alias("tok"), (F.size(F.filter(F.slice(toks, F.lit(1), i), lambda y: y == x)) + 1).alias("occ")))
+
+
+def _occ_table(keys: DataFrame, q: int) -> DataFrame:
+    return keys.select("key", F.inline(_tagged(F.col("key"), q)))
+
+
 def _bags(keys: DataFrame, q: int) -> DataFrame:
-    """key -> array of its tokens tagged with their occurrence number (a
-    multiset as a set); bounded by the key length."""
-    toks = keys.select("key", F.posexplode(_tokens(F.col("key"), q)).alias("_p", "tok"))
-    occ = toks.select("key", F.concat_ws("\u0001", "tok", F.row_number().over(
-        Window.partitionBy("key", "tok").orderBy("_p")).cast("string")).alias("t"))
-    return occ.groupBy("key").agg(F.collect_list("t").alias("bag"))
+    """key -> array of its (token, occurrence) tags; bounded by the key length."""
+    return keys.select("key", F.transform(_tagged(F.col("key"), q), lambda s: F.concat_ws(
+        "\u0001", s["tok"], s["occ"].cast("string"))).alias("bag"))
 
 
 def _prefix_tokens(keys: DataFrame, freq: DataFrame, metric: str, cutoff: float, q: int) -> DataFrame:
-    toks = keys.select("key", F.posexplode(_tokens(F.col("key"), q)).alias("_p", "tok"))
-    occ = toks.select("key", "tok", F.row_number().over(
-        Window.partitionBy("key", "tok").orderBy("_p")).alias("occ"))
-    with_f = occ.join(freq, ["tok", "occ"])
+    with_f = _occ_table(keys, q).join(freq, ["tok", "occ"])
     n = F.count(F.lit(1)).over(Window.partitionBy("key"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("f", "tok", "occ"))
     ranked = with_f.select("key", "tok", "occ", n.alias("n"), rank.alias("r"),
@@ -105,10 +115,8 @@ def fuzzy_best_match(probes: DataFrame, probe_col: str, candidates: DataFrame, c
     C = candidates.select(F.col(cand_col).alias("key")).where(F.col("key").isNotNull()).distinct()
 
     # global token frequency over both sides, per (token, occurrence)
-    def occ_of(df):
-        t = df.select("key", F.posexplode(_tokens(F.col("key"), q)).alias("_p", "tok"))
-        return t.select("tok", F.row_number().over(Window.partitionBy("key", "tok").orderBy("_p")).alias("occ"))
-    freq = occ_of(P).unionByName(occ_of(C)).groupBy("tok", "occ").agg(F.count(F.lit(1)).alias("f"))
+    freq = (_occ_table(P, q).unionByName(_occ_table(C, q))
+            .groupBy("tok", "occ").agg(F.count(F.lit(1)).alias("f")))
 
     pp = _prefix_tokens(P, freq, metric, cutoff, q).withColumnRenamed("key", "probe")
     cp = _prefix_tokens(C, freq, metric, cutoff, q).withColumnRenamed("key", "cand")
