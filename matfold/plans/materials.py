@@ -18,7 +18,7 @@ from matfold.functions.text import (clean_name_basic, make_clean_name, normalize
                                     upper_strip)
 from matfold.functions.parse import to_number
 from matfold.functions.units import mpa_to_gpa, kgm3_to_gcm3, psi_to_mpa
-from matfold.operators.agg import null_counts
+from matfold.operators.agg import distinct_sample, null_counts
 from matfold.operators.dedup import keep_first
 from matfold.operators.joins import lookup_first, small_dictionary
 from matfold.operators.setops import stack
@@ -329,3 +329,23 @@ def q_material_type(spark, sf_dir):
     r = raw_view(spark, sf_dir, "raw_material").select("*", make_clean_name("Material").alias("_clean"))
     return r.select("ord", "Material", material_type("_clean").alias("Material_Type"),
                     material_type("Material").alias("Raw_Type"))
+
+
+@query("standard_sample", oracle=UNIFIED_SQL + """
+SELECT DISTINCT Standard AS value FROM unified WHERE Standard IS NOT NULL ORDER BY value LIMIT 10
+""")
+def q_standard_sample(spark, sf_dir):
+    """Summary sample: the ten smallest distinct standards (distributed top-k)."""
+    return distinct_sample(unified_materials(spark, sf_dir), "Standard", 10)
+
+
+@query("distinct_counts", oracle=UNIFIED_SQL + """
+SELECT CAST(count(DISTINCT Standard) AS BIGINT) AS n_standards,
+       CAST(count(DISTINCT Material_Type) AS BIGINT) AS n_types, CAST(count(*) AS BIGINT) AS n_rows
+FROM unified
+""")
+def q_distinct_counts(spark, sf_dir):
+    u = unified_materials(spark, sf_dir)
+    return u.agg(F.count_distinct("Standard").cast("long").alias("n_standards"),
+                 F.count_distinct("Material_Type").cast("long").alias("n_types"),
+                 F.count(F.lit(1)).cast("long").alias("n_rows"))
