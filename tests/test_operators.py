@@ -262,3 +262,10 @@ def test_exact_median(spark):
         want = float(np.median([v for kk, v in rows if kk == k]))
         assert math.isclose(got[k], want), k
     assert "d" not in got
+
+
+def test_header_strip_and_units(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "` Rate (mm/yr) ` int, `PROPERTY: UTS (MPa)` int, `Grain size (μm)` int")
+    assert schema.strip_header(df).columns == ["Rate (mm/yr)", "PROPERTY: UTS (MPa)", "Grain size (μm)"]
+    assert schema.strip_header(df, underscore=True).columns[0] == "Rate_(mm/yr)"
+    assert schema.normalize_columns(df, strip_units=True).columns == ["Rate_(mm_yr)", "UTS", "Grain_size_um"]
