@@ -131,3 +131,18 @@ def test_formula_weight_and_structures(spark):
 def test_to_number_guards(spark):
     assert apply(spark, parse.to_number, ["1d", " 12 ", "nan", "inf", "1e3", "", None]) == \
         [None, 12.0, None, None, 1000.0, None, None]
+
+
+def test_small_helpers(spark):
+    from matfold.functions import units
+    assert apply(spark, score.prob_label, [0.2, 0.5, 0.7], dtype="double") == [0, 0, 1]
+    assert apply(spark, score.toxicity_verdict, [0.9, 0.1], dtype="double") == ["likely cytotoxic", "likely non-toxic"]
+    assert apply(spark, score.modulus_band, [5.0, 69.9, 150.0, 250.0, None], dtype="double") == [
+        "soft polymeric or elastomeric material", "light alloys or composites", "strong metallic alloy",
+        "ceramic or high-stiffness material", None]
+    assert close(apply(spark, score.inverse_log10, [2.0], dtype="double")[0], 100.0)
+    assert apply(spark, text.level_norm, [" High ", "", None]) == ["high", "unknown", "unknown"]
+    assert apply(spark, parse.strip_suffix_int, ["250 max", "12", "1.5", None]) == [250, 12, None, None]
+    assert apply(spark, units.kelvin_to_celsius_if_high, [300.0, 373.15, None], dtype="double")[:2] == [300.0, 100.0]
+    import hashlib
+    assert apply(spark, text.surrogate_id, ["A36"])[0] == hashlib.md5(b"A36").hexdigest().upper()
