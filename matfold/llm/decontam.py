@@ -140,12 +140,13 @@ def _scan(docs: DataFrame, wanted: Bitmap, window: int, kind: str) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """Per document row: (id, n_words, n_hit, spans, items, contaminated).
 
     ``spans`` are the word ranges (start, end) of the occurring windows, merged;
     ``items`` the sorted ids (as strings) of items with an occurring window;
-    ``n_hit`` the words inside spans.  Null texts have no words and no windows;
+    ``n_hit`` the words inside spans.  ``with_hash`` adds the text's hash ``th``.
+    Null texts have no words and no windows;
     items with a null id are left out; repeated document rows give repeated
     results and repeated items count once; other columns are ignored; empty
     tables give an empty result, respectively no hits.
@@ -184,5 +185,41 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     found = found.withColumn("spans", F.aggregate(F.array_sort("spans"), zero, extend))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
     return (found.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-            .select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", F.array_sort("items").alias("items"))
+            .select(F.col("id").alias(id_col), *(["th"] if with_hash else []), "n_words", n_hit.alias("n_hit"), "spans", F.array_sort("items").alias("items"))
             .withColumn("contaminated", F.col("n_hit") > 0))
+
+
+def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
+                         item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the columns of ``docs``; the hit words are cut out of contaminated texts.
+
+    What is cut runs from the first byte of a span's first word to the last of
+    its last word, separators between them included; the rest stays as it is.
+    Other rows (null ids and null texts among them) stay unchanged.
+    """
+    found = contamination(docs, items, window, id_col, text_col, item_col, item_text_col, with_hash=True).where("contaminated")
+    spans = found.select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), "spans").dropDuplicates(["__id", "__th"]).withColumnRenamed("spans", "__spans")
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))
+    joined = hashed.join(spans, (hashed[id_col] == spans["__id"]) & (F.col("__hash") == spans["__th"]), "left")
+    hit = joined.where("__spans is not null")
+    clean = joined.where("__spans is null")
+    place = docs.columns.index(text_col)
+    schema = ", ".join(f"`{c}` {'string' if c == text_col else t}" for c, t in docs.dtypes)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, j, buf, at in W.slices(b.column(place)):
+                w = W.words(buf, at, W.ALNUM_WORDS_LOWER)
+                keep = np.ones(len(buf), bool)
+                for r in range(i, j):
+                    for s in b.column(b.num_columns - 1)[r].as_py():
+                        first = w.row[r - i]
+                        keep[w.start[first + s["start"]]:w.end[first + s["end"] - 1]] = False
+                out += [buf[x:y][keep[x:y]].tobytes().decode("utf-8", "replace") for x, y in zip(at[:-1], at[1:], strict=True)]
+            columns = [pa.array(out, pa.string()) if k == place else b.column(k) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    text = [F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return clean.select(*text).union(hit.select(*names, "__spans").mapInArrow(cut, schema))

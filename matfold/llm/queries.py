@@ -90,3 +90,15 @@ WHERE r <= 5
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matfold.llm.license_scan import license_scan
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matfold.llm.quality import classify
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matfold.llm.html_extract import extract
+    return extract(table(spark, sf_dir, "pages"))

@@ -306,3 +306,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 75, den: int =
     out = roots.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
                       F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, but for those that another row of their component stands for.
+
+    The kept row of a component is the one of its smallest id; rows that repeat
+    that id all stay if they have the same text and only those (a later stage
+    of exact rows may drop them); rows with a null id stay.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
+    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
