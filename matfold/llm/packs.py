@@ -1,7 +1,7 @@
-"""Packs: rows of a table in compressed batches of a few MB of text.
+"""Packs: rows of a table in compressed batches.
 
 Operators that look at texts more than once keep them as packs: one row per
-batch with the ids, the lengths and one zstd frame of the texts.  Packs are
+batch of half a MB or so, with the ids, the lengths and one zstd frame of the texts.  Packs are
 written to the shared folder once, so that later passes see the same batches
 whatever happens to executors, and shuffle at the compressed size.
 """
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from matfold.llm import words as W
 from matfold.llm.common import lists, saved
 
+#: Text bytes of a pack: its frame stays well under the size from which the JVM treats objects apart.
+PACK_BYTES = 1 << 19
+
 SCHEMA = "pack long, ids array<long>, sizes array<long>, n_words long, blob binary"
 
 
@@ -32,7 +35,7 @@ class Pack:
     at: np.ndarray
 
 
-def pack_rows(docs: DataFrame, id_col: str, text_col: str, alphabet: W.Alphabet, slice_bytes: int = W.SLICE_BYTES) -> DataFrame:
+def pack_rows(docs: DataFrame, id_col: str, text_col: str, alphabet: W.Alphabet, slice_bytes: int = PACK_BYTES) -> DataFrame:
     """The packs of a table, written; ids are longs (null stays null), null texts empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32

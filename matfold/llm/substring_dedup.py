@@ -36,7 +36,7 @@ from matfold.llm.common import prepare
 from matfold.llm.packs import binary, pack_rows, split_by_shard, unpack
 
 #: Words of the input per shard of the index.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
 
 
 def _anchors(h: np.ndarray, room: np.ndarray, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
