@@ -185,7 +185,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, shingle: int = 5, id_col:
         lead = np.r_[True, (start[1:] != start[:-1] + 1) | (source[1:] != source[:-1])] if len(start) else np.zeros(0, bool)
         lead[1:] |= w.owner[start[1:]] != w.owner[start[:-1]]
         begin = np.flatnonzero(lead)
-        last = np.r_[begin[1:], len(start)] - 1
+        last = np.r_[begin[1:], len(start)][:len(begin)] - 1
         row = w.owner[start[begin]]
         spans = pa.StructArray.from_arrays(
             [pa.array((start[begin] - w.row[row]).astype(np.int32)), pa.array((start[last] + window - w.row[row]).astype(np.int32)),
