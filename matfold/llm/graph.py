@@ -14,22 +14,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates "every larger neighbour links to the smallest neighbour" and
     "every node links its smaller neighbours to the smallest" until the edges
     are stars, a number of rounds logarithmic in practice.  Each round is one
-    aggregation and one join per half on the remaining edges and is written to
-    the shared folder.  A node of very many edges is aggregated partially
+    aggregation and one join per half on the remaining edges and is written once
+    to the shared folder.  A node of very many edges is aggregated partially
     before the shuffle, and its join partition can be split.
     """
-    now = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo != hi").distinct()
-    now = saved(now)
-    while True:
-        both = now.select(F.col("lo").alias("x"), F.col("hi").alias("y")).union(now.select(F.col("hi").alias("x"), F.col("lo").alias("y")))
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.groupBy().agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first())
+
+    new = saved(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo != hi").distinct())
+    before, after = None, mark(new)
+    while before != after:
+        both = new.select(F.col("lo").alias("x"), F.col("hi").alias("y")).union(new.select(F.col("hi").alias("x"), F.col("lo").alias("y")))
         least = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("m"))
-        large = saved(both.where("y > x").join(least, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct())
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(least, "hi")
-        small = joined.select("m", F.col("lo").alias("other")).union(joined.select("m", F.col("hi").alias("other")))
+        small = large.join(least, "hi").select("m", F.explode(F.array("lo", "hi")).alias("other"))
         new = saved(small.where("other != m").select(F.col("m").alias("lo"), F.col("other").alias("hi")).distinct())
-        same = now.groupBy().agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first()
-        if same == new.groupBy().agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first():
-            break
-        now = new
+        before, after = after, mark(new)
     return new.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(new.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())

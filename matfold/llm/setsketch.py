@@ -7,15 +7,13 @@ Registers merge by maximum and two registers agree with a probability close to
 the Jaccard similarity, so runs of registers make bands for candidate search.
 
 1. Documents of equal sets are one node from here on.
-2. Nodes that share a band are candidates.  Within a band's bucket nodes are
-   first compared with one centre, then, as long as this finds links, with
-   other centres, and only where the node and the centre are not connected
-   yet; this takes one row per node and bucket.
+2. Nodes that share a band are candidates.  In each band's bucket every node is
+   first compared with two centres only, one row per node and bucket.
 3. What is then left in a bucket outside its largest component is compared
-   with all other nodes of the bucket, sketch against sketch, in blocks of
-   bounded size; the most similar pairs go first and pairs that became
-   connected meanwhile are left out, until none is left.
-4. Every candidate pair is judged jointly from its two sketches: by the sizes,
+   with the bucket's nodes of other components, in blocks of bounded size,
+   sketch against sketch and, where that does not rule a pair out, on the full
+   sets.  Only links leave a block.
+4. A candidate pair is judged jointly from its two sketches: by the sizes,
    which are exact, and by the likelihood of the register comparison.  It is
    dropped where the likeliest similarity is e^``slack`` times as likely as any
    similarity that counts.  What stays is confirmed on the full sets.
@@ -45,7 +43,7 @@ BANDS, ROWS = 44, 5
 BASE = 1.1
 RATE = 20.0
 #: Nodes of a bucket per block of the exact comparison.
-BLOCK = 1024
+BLOCK = 512
 
 
 @lru_cache(maxsize=1)
@@ -153,87 +151,83 @@ def _promising(pairs: DataFrame, nodes: DataFrame, num: int, den: int, slack: fl
     return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, with (common, both)."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i = 0
-            while i < b.num_rows:
-                t = b.slice(i, 64)
-                sets = []
-                for c in ("ta", "tb"):
-                    for _, _, buf, at in W.slices(t[c], 1 << 62):
-                        g, row = shingles(buf, at, shingle)
-                        sets.append([np.unique(g[row[r]:row[r + 1]]) for r in range(len(row) - 1)])
-                common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], np.int64)
-                both = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64) - common
-                yield t.select(["a", "b"]).filter(pa.array(den * common >= num * both))
-                i += 64
-
-    side = lambda s: texts.select(F.col("node").alias(s), F.col("t").alias(f"t{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, t): one text of every wanted (node, id)."""
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(den * common >= num * (len(x) + len(y) - common))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"s{s}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, set): the sorted shingle hashes of every wanted (node, rep id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes = []
-            for _, _, buf, at in W.slices(b.column(1)):
+            for i, j, buf, at in W.slices(b.column(1)):
                 g, row = shingles(buf, at, shingle)
-                nodes += [_node(np.unique(g[row[r]:row[r + 1]])) for r in range(len(row) - 1)]
-            own = pa.array(np.array([x is not None and x == y for x, y in zip(nodes, b.column(0).to_pylist(), strict=True)], bool))
-            yield b.filter(own)
+                own = [np.unique(g[row[r]:row[r + 1]]) for r in range(j - i)]
+                # a repeated id may come with another text
+                fits = pa.array([_node(x) == y for x, y in zip(own, b.column(0).slice(i, j - i).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "set"]).filter(fits)
 
     src = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    found = src.join(wanted, "rep").select("node", "t").mapInArrow(run, "node long, t string")
-    # an id may repeat with the same text
+    found = src.join(wanted, src["rep"].eqNullSafe(wanted["wrep"])).select("node", "t").mapInArrow(run, "node long, set binary")
     return found.dropDuplicates(["node"])
 
 
-def _cross(blocks: DataFrame, m: int, num: int, den: int, slack: float) -> DataFrame:
-    """Per block cell the promising pairs (a, b, rank) of strays with nodes of other components.
-
-    ``rank`` numbers the pairs of one stray and one other component within the
-    cell, the most similar first.
-    """
+def _cross(cells: DataFrame, m: int, num: int, den: int, slack: float) -> DataFrame:
+    """Per block cell the links (a, b) of strays with nodes of other components."""
     def run(t: pa.Table) -> pa.Table:
         stray = t["stray"].to_numpy()
         node, comp, n = (t[c].to_numpy() for c in ("node", "comp", "n"))
         regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint8).reshape(len(node), m)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["set"]]
         s, r = np.flatnonzero(stray), np.flatnonzero(~stray)
         y, ny, cy = regs[r], n[r], comp[r]
-        out = []
+        out_a, out_b = [], []
         for i in range(0, len(s), 16):
             k = s[i:i + 16]
             # J >= threshold makes registers agree about that often: half of them is many deviations below
             same = (regs[k][:, None, :] == y[None, :, :]).sum(2)
             small, large = np.minimum(n[k][:, None], ny), np.maximum(n[k][:, None], ny)
             p, q = np.nonzero((same >= m / 2) & (comp[k][:, None] != cy) & (small * den >= large * num))
-            if len(p):
-                x, z = regs[k[p]], y[q]
-                fine = ratio_of_counts((x > z).sum(1), (x < z).sum(1), m, n[k[p]].astype(float), ny[q].astype(float), num / den) <= slack
-                out.append(np.stack([node[k[p]], node[r[q]], comp[r[q]], same[p, q]])[:, fine])
-        a_, b_, c_, same = np.concatenate(out, 1) if out else np.zeros((4, 0), np.int64)
-        order = np.lexsort((b_, -same, c_, a_))
-        a_, b_, c_ = a_[order], b_[order], c_[order]
-        lead = np.r_[True, (a_[1:] != a_[:-1]) | (c_[1:] != c_[:-1])][:len(a_)]
-        place = np.arange(len(a_))
-        rank = place - np.maximum.accumulate(np.where(lead, place, 0)) if len(a_) else place
-        return pa.table({"a": pa.array(a_, pa.int64()), "b": pa.array(b_, pa.int64()), "rank": pa.array(rank, pa.int64())})
-
-    return blocks.groupBy("key", "sblock", "mblock").applyInArrow(run, "a long, b long, rank long")
+            if not len(p):
+                continue
+            x, z = regs[k[p]], y[q]
+            fine = ratio_of_counts((x > z).sum(1), (x < z).sum(1), m, n[k[p]].astype(float), ny[q].astype(float), num / den) <= slack
+            p, q = p[fine], q[fine]
+            for u in np.unique(p):
+                own, others = sets[k[u]], r[q[p == u]]
+                size = n[others]
+                flat = np.concatenate([sets[o] for o in others])
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                common = np.add.reduceat(hit, np.r_[0, np.cumsum(size)[:-1]], dtype=np.int64)
+                linked = others[den * common >= num * (len(own) + size - common)]
+                # one link to each other component is enough
+                first = np.unique(comp[linked], return_index=True)[1]
+                out_a += [node[k[u]]] * len(first)
+                out_b += node[linked[first]].tolist()
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return cells.groupBy("key", "sblock", "mblock").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id",
-                    text_col: str = "text", slack: float = 16.0, star_rounds: int = 3) -> DataFrame:
+                    text_col: str = "text", slack: float = 16.0) -> DataFrame:
     """Per row: (id, n_shingles, component_id, kept).
 
     Links texts with den * intersection >= num * union of their shingle sets.
     Texts without words (or null) are in no set and make components of their
     own; rows of one text, or that repeat, are one component; a component's id
     is its smallest document id, ``kept`` tells the rows that carry it; rows
-    with a null id can link others and are never kept unless alone; other
+    with a null id are kept only where no other row of their component has an id; other
     columns are ignored; an empty table gives an empty result.
     ``star_rounds`` only bounds the cheap comparisons; the exact ones follow.
     """
@@ -244,62 +238,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 75, den: int =
     nodes = saved(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
     keys = F.array(*[F.xxhash64(F.lit(j), F.expr(f"substring(regs, {j * ROWS + 1}, {ROWS})")) for j in range(BANDS)])
     bands = nodes.select("node", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
-    members = saved(bands.join(shared.select("key"), "key"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    texts = saved(_texts(docs, id_col, text_col, wanted, shingle))
-
-    links = spark.createDataFrame([], "a long, b long")
-    comps = spark.createDataFrame([], "node long, comp long")
-    tested = spark.createDataFrame([], "a long, b long")
-
-    def test(pairs: DataFrame) -> int:
-        """Judge new pairs; extends links, comps and tested; returns the number of links found."""
-        nonlocal links, comps, tested
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
-        new = saved(_confirmed(_promising(pairs, nodes, num, den, slack), texts, shingle, num, den))
-        tested = tested.union(pairs)
-        found = new.count()
-        if found:
-            links = links.union(new)
-            comps = saved(components(links))
-        return found
-
-    def with_comps() -> DataFrame:
-        """Members of the buckets that still have several components."""
-        m_ = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = m_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        return m_.join(open_, "key")
-
-    found, turn = 1, 0
-    left = members.withColumn("comp", F.col("node"))
-    while found and turn < star_rounds:
-        centres = left.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("c"))
-        pairs = left.join(centres, "key").where(F.col("comp") != F.col("c.comp")).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
-        found = test(pairs)
-        left = saved(with_comps())
-        turn += 1
-
-    sizes = left.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("total"))
-    marked = left.join(main, "key").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("first"), F.max("node").alias("last")).where("members > 1")
+    members = saved(bands.join(shared, "key"))
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("rep").alias("wrep")), "node")
+    sets = saved(_sets(docs, id_col, text_col, wanted, shingle))
+
+    # every node with its bucket's centres
+    pairs = members.select(F.col("node").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a != b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = saved(_confirmed(_promising(pairs, nodes, num, den, slack), sets, num, den))
+    comps = saved(components(links))
+
+    # what is outside a bucket's largest component with the bucket's other components
+    placed = members.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    main = (sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("total"), F.max("size").alias("most"))
+            .where("most < total"))
+    marked = placed.join(main, "key").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
     marked = marked.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    strays = marked.where(F.col("comp") != F.col("main"))
-    cells = (strays.select("key", "node", "comp", F.col("block").alias("sblock"), others.alias("mblock"), F.lit(True).alias("stray"))
-             .union(marked.select("key", "node", "comp", others.alias("sblock"), F.col("block").alias("mblock"), F.lit(False).alias("stray"))))
-    crossing = _cross(cells.join(nodes.select("node", "n", "regs"), "node"), m, num, den, slack)
-    crossing = saved(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rank")
-                     .groupBy("a", "b").agg(F.min("rank").alias("rank")).join(tested, ["a", "b"], "left_anti"))
-    last = crossing.agg(F.max("rank")).first()[0]
-    at, many = 0, 8
-    while last is not None and at <= last:
-        now = comps.withColumnRenamed("node", "x")
-        own = lambda df, c: df.join(now.select(F.col("x").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-        some = crossing.where((F.col("rank") >= at) & (F.col("rank") < at + many))
-        test(own(own(some, "a"), "b").where("ca != cb").select("a", "b"))
-        at, many = at + many, many * 8
+    # a member is in the cells of its own block, a stray in its own block's cells with all others
+    one = lambda stray, s, m_: F.struct(F.lit(stray).alias("stray"), s.alias("sblock"), m_.alias("mblock"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    as_member = F.transform(every, lambda o: one(False, o, F.col("block")))
+    as_stray = F.when(F.col("comp") != F.col("main"), F.transform(every, lambda o: one(True, F.col("block"), o))).otherwise(F.array())
+    cells = marked.select("key", "node", "comp", F.explode(F.concat(as_member, as_stray)).alias("c")).select("key", "node", "comp", "c.*")
+    kept = cells.groupBy("key", "sblock", "mblock").agg(F.max("stray").alias("s"), F.min("stray").alias("m")).where("s and not m").select("key", "sblock", "mblock")
+    cells = cells.join(kept, ["key", "sblock", "mblock"]).join(nodes.select("node", "n", "regs"), "node").join(sets, "node")
+    more = saved(_cross(cells, m, num, den, slack))
+    if more.take(1):
+        comps = saved(components(links.union(more)))
 
     roots = rows.join(comps, "node", "left").withColumn("root", F.coalesce("comp", "node"))
     least = roots.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
