@@ -123,7 +123,7 @@ def deleted_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).where("id is not null and t is not null")
     lines = saved(src.mapInArrow(run, f"id {kind}, th long, h array<long>, n array<int>").dropDuplicates(["id", "th"]))
-    each = lines.select("id", "th", F.explode(F.arrays_zip("h", "n")).alias("x")).where(F.col("x.n") >= min_words).select("id", "th", F.col("x.h").alias("line"))
+    each = lines.select("id", "th", F.explode(F.arrays_zip("h", "n")).alias("x")).where(F.col("x.n") > 0).select("id", "th", F.col("x.h").alias("line"))
     first = each.groupBy("line").agg(F.min(F.struct("id", "th")).alias("first"), F.max("id").alias("last")).where("first.id < last")
     pairs = (each.join(first.select("line", "first"), "line").where("first.id < id")
              .select(F.col("first.id").alias("pid"), F.col("first.th").alias("pth"), "id", "th").distinct())
