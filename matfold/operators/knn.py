@@ -1,12 +1,11 @@
 """Exact k-nearest-neighbour regression (J13) without a cross join.
 
-The training set is the model.  It is cut into chunks of at most
-``chunk_rows`` rows (the count is checked first); each chunk travels to
-the executors as a broadcast numpy matrix and the query side streams past
-it in Arrow batches (``mapInPandas``), keeping the k best candidates per
-query row.  The per-chunk candidates (k per query row and chunk) are merged
-with a grouped ``min_by``-style top-k.  Memory per task is bounded by the
-chunk size; total work is the unavoidable query x train distance count.
+Both sides are dealt into blocks of bounded size by a hash of the id, and each
+pair of a training block and a test block is one group of an Arrow-backed
+``applyInPandas``: every distance of the pair is computed exactly, and the k
+best by (distance, id) leave the task.  The candidates (k per test row and
+training block) are merged with a grouped top-k.  Nothing passes through the
+driver; total work is the unavoidable query x train distance count.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql.window import Window
 
 from matfold.session import ship_package
 
-CHUNK_ROWS = 50_000
+BLOCK_ROWS = 4096
 
 
 def _vectors(col) -> np.ndarray:
@@ -29,54 +28,37 @@ def _vectors(col) -> np.ndarray:
 
 
 def knn_candidates(train: DataFrame, test: DataFrame, id_col: str, vec_col: str, label_col: str,
-                   k: int = 7, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(test id, train id, squared distance, label) for each test row's k nearest."""
-    spark = train.sparkSession
-    ship_package(spark)
-    n = train.count()
-    chunks = max(1, math.ceil(n / chunk_rows))
-    tagged = train.select(id_col, vec_col, label_col,
-                          F.pmod(F.xxhash64(id_col), F.lit(chunks)).alias("_chunk"))
-    parts = []
-    for c in range(chunks):
-        pdf = tagged.where(F.col("_chunk") == c).select(id_col, vec_col, label_col).toPandas()
-        if pdf.empty:
-            continue
-        mat = spark.sparkContext.broadcast((pdf[id_col].to_numpy(), _vectors(pdf[vec_col]),
-                                            pdf[label_col].to_numpy(dtype=np.float64)))
+                   k: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(test id, train id, squared distance, label) for each test row's k nearest per training block."""
+    ship_package(train.sparkSession)
+    blocks = lambda df: max(1, math.ceil(df.count() / block_rows))
+    n_train, n_test = blocks(train), blocks(test)
+    own = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = train.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).cast("double").alias("label"),
+                        F.lit(True).alias("known"), own(n_train).alias("tb"), every(n_test).alias("qb"))
+    right = test.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.lit(None).cast("double").alias("label"),
+                        F.lit(False).alias("known"), every(n_train).alias("tb"), own(n_test).alias("qb"))
 
-        def score(batches, mat=mat):
-            ids, X, y = mat.value
-            xx = (X * X).sum(axis=1)
-            kk = min(k, len(ids))
-            wide = min(len(ids), 4 * kk)
-            for b in batches:
-                tid = b[id_col].to_numpy()
-                Q_all = _vectors(b[vec_col])
-                for s0 in range(0, len(b), 256):  # bounded (256 x chunk) distance block
-                    Q = Q_all[s0:s0 + 256]
-                    approx = (Q * Q).sum(axis=1)[:, None] + xx[None, :] - 2.0 * Q @ X.T
-                    cand = np.argpartition(approx, wide - 1, axis=1)[:, :wide]
-                    exact = ((Q[:, None, :] - X[cand]) ** 2).sum(axis=2)
-                    cid = ids[cand]
-                    order = np.lexsort((cid, exact), axis=1)[:, :kk]
-                    r = np.arange(len(Q))[:, None]
-                    yield pd.DataFrame({"test_id": np.repeat(tid[s0:s0 + 256], kk),
-                                        "train_id": cid[r, order].reshape(-1),
-                                        "dist": exact[r, order].reshape(-1),
-                                        "label": y[cand[r, order]].reshape(-1)})
+    def nearest(cell: pd.DataFrame) -> pd.DataFrame:
+        base, asked = cell[cell.known], cell[~cell.known]
+        ids, X, y = base.id.to_numpy(), _vectors(base.vec), base.label.to_numpy()
+        kk, found = min(k, len(ids)), []
+        for i, v in zip(asked.id, asked.vec, strict=True):
+            if not kk:
+                break
+            dist = ((X - np.asarray(v, dtype=np.float64)) ** 2).sum(axis=1)
+            near = np.flatnonzero(dist <= np.partition(dist, kk - 1)[kk - 1])  # ties included
+            near = near[np.lexsort((ids[near], dist[near]))[:kk]]
+            found.append(pd.DataFrame({"test_id": i, "train_id": ids[near], "dist": dist[near], "label": y[near]}))
+        return pd.concat(found) if found else pd.DataFrame({"test_id": [], "train_id": [], "dist": [], "label": []})
 
-        schema = f"test_id long, train_id long, dist double, label double"
-        parts.append(test.select(id_col, vec_col).mapInPandas(score, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return left.unionByName(right).groupBy("tb", "qb").applyInPandas(nearest, "test_id long, train_id long, dist double, label double")
 
 
 def knn_regress(train: DataFrame, test: DataFrame, id_col: str, vec_col: str, label_col: str,
-                k: int = 7, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    cand = knn_candidates(train, test, id_col, vec_col, label_col, k, chunk_rows)
+                k: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    cand = knn_candidates(train, test, id_col, vec_col, label_col, k, block_rows)
     # at most k * chunks candidates per test row: a bounded window
     w = Window.partitionBy("test_id").orderBy("dist", "train_id")
     top = cand.select("*", F.row_number().over(w).alias("_r")).where(F.col("_r") <= k)

@@ -35,7 +35,7 @@ def ordered_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None,
     n = n_buckets or max(2, df.sparkSession.sparkContext.defaultParallelism * 4)
     probs = [i / n for i in range(1, n)]
     cuts = sorted(set(q for q in df.approxQuantile(order_col, probs, 0.001) if q is not None))
-    splits = [float("-inf")] + cuts + [float("inf")]
+    splits = [float("-inf")] + (cuts or [0.0]) + [float("inf")]  # an empty table has no quantiles
     with_b = Bucketizer(splits=splits, inputCol="_ord_d", outputCol="_b", handleInvalid="keep").transform(
         df.withColumn("_ord_d", F.col(order_col).cast("double"))).drop("_ord_d")
     w = F.sum(weight_col) if weight_col else F.count(F.lit(1))
@@ -208,6 +208,7 @@ def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
     """R^2 and MAE in one aggregate pass (sum of squares around the mean
     expanded so that no second pass is needed)."""
     e = F.col(y) - F.col(pred)
+    df = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())  # complete pairs only
     agg = df.agg(F.count(F.col(y)).alias("n"), F.sum(e * e).alias("ss_res"),
                  F.var_pop(y).alias("var_y"), F.avg(F.abs(e)).alias("mae"))
     return agg.select(F.col("n").cast("long").alias("n"),

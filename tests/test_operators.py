@@ -177,7 +177,7 @@ def test_knn_matches_numpy(spark):
     train = spark.createDataFrame([(i, X[i].tolist(), float(y[i])) for i in range(40)], "id long, v array<double>, y double")
     test = spark.createDataFrame([(i, X[i].tolist()) for i in range(40, 60)], "id long, v array<double>")
     for chunk in (1000, 7):
-        got = {r[0]: r[1] for r in knn.knn_regress(train, test, "id", "v", "y", k=3, chunk_rows=chunk).collect()}
+        got = {r[0]: r[1] for r in knn.knn_regress(train, test, "id", "v", "y", k=3, block_rows=chunk).collect()}
         for i in range(40, 60):
             d = ((X[:40] - X[i]) ** 2).sum(axis=1)
             nn = sorted(range(40), key=lambda j: (d[j], j))[:3]
@@ -269,3 +269,17 @@ def test_header_strip_and_units(spark):
     assert schema.strip_header(df).columns == ["Rate (mm/yr)", "PROPERTY: UTS (MPa)", "Grain size (μm)"]
     assert schema.strip_header(df, underscore=True).columns[0] == "Rate_(mm/yr)"
     assert schema.normalize_columns(df, strip_units=True).columns == ["Rate_(mm_yr)", "UTS", "Grain_size_um"]
+
+
+def test_knn_keeps_the_order_of_ids_on_equal_distances(spark):
+    train = spark.createDataFrame([(i, [1.0, 2.0], float(i)) for i in range(500)], "id long, v array<double>, y double")
+    test = spark.createDataFrame([(1000, [0.0, 0.0])], "id long, v array<double>")
+    for block in (4096, 64):
+        assert [r[1] for r in knn.knn_regress(train, test, "id", "v", "y", k=7, block_rows=block).collect()] == [3.0]
+
+
+def test_metrics_of_empty_and_incomplete_tables(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.5), (3.0, None)], "y double, p double")
+    from matfold.operators import prep
+    assert prep.regression_metrics(df, "y", "p").first()["n"] == 2
+    assert prep.regression_metrics(df.limit(0), "y", "p").first()["n"] == 0
