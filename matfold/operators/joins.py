@@ -1,10 +1,8 @@
 """Joins (J*): exact, null-safe, substring, lookup, feature assembly.
 
-Broadcasts are only requested for sides whose size was checked first
-(``bounded_broadcast``); everything else is left to the planner and AQE,
-which switches a sort-merge join to a broadcast at run time only when the
-measured side is under ``spark.sql.autoBroadcastJoinThreshold`` and splits
-skewed partitions (``spark.sql.adaptive.skewJoin.enabled``).
+No broadcast is requested here: the planner and AQE broadcast a side only when
+its measured bytes are under ``spark.sql.autoBroadcastJoinThreshold``, and AQE
+splits skewed partitions (``spark.sql.adaptive.skewJoin.enabled``).
 """
 
 from __future__ import annotations
@@ -17,43 +15,6 @@ from pyspark.sql import functions as F
 from matfold.functions._util import ColumnLike, col_of
 from matfold.functions.text import py_strip
 
-# A side is broadcast explicitly only under this many rows (checked by count).
-BROADCAST_MAX_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The bound is proven with a limited count (reads at most max_rows + 1
-    rows), so a side that grows with the data never gets broadcast.
-    """
-    bdf, n = sized_broadcast(df, max_rows)
-    return bdf, n is not None
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int | None]:
-    """Like ``bounded_broadcast`` but returns the row count (None when over the bound)."""
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), n
-    return df, None
-
-
-def small_dictionary(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame | None:
-    """A proven-small derived table as a local, broadcast relation.
-
-    At most ``max_rows + 1`` rows are fetched; if the table fits, it comes
-    back as a local relation (what a broadcast ships anyway), so the plan
-    that joins it no longer contains the expressions that derived it and
-    filters on its columns stay plain column filters.  ``None`` when the
-    table is larger than the bound.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def suffixed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
                   suffixes: tuple[str, str] = ("_x", "_y"), null_safe: bool = False) -> DataFrame:
     """pandas-style merge: shared non-key columns get suffixes.
@@ -91,39 +52,31 @@ def lookup_first(left: DataFrame, index: DataFrame, left_key: ColumnLike, index_
 
 
 def contains_any(df: DataFrame, text: ColumnLike, names: DataFrame, name_col: str,
-                 flag: str = "is_match", empty_means: bool = True,
-                 max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                 flag: str = "is_match", empty_means: bool = True) -> DataFrame:
     """Flag rows whose text contains any of ``names`` as a substring.
 
     Blank names are dropped (they would match everything).  If the name
-    table is empty every row gets ``empty_means``.  A name table of proven
-    small size is broadcast and probed with ``contains`` (broadcast nested
-    loop); a larger one switches to an exact equi-join: each distinct text
-    is exploded into its substrings of every length present in the name
-    table, which join on equality - no cross product.
+    table is empty every row gets ``empty_means``.  Each distinct text is
+    exploded into its substrings of every length present in the name table,
+    which join on equality - no cross product, the same plan at every size.
     """
     nm = (names.select(F.upper(py_strip(F.col(name_col))).alias("_name"))
                .where(F.col("_name").isNotNull() & (F.col("_name") != ""))
                .distinct())
-    small, n = sized_broadcast(nm, max_broadcast_rows)
-    is_small = n is not None
-    if n == 0:
+    # Distinct name lengths are bounded by the longest name, not by the
+    # row count, so they are safe to bring to the driver.
+    lens = sorted(r[0] for r in nm.select(F.length("_name")).distinct().collect())
+    if not lens:
         return df.select("*", F.lit(empty_means).alias(flag))
     keyed = df.select("*", F.upper(col_of(text)).alias("_text"))
     texts = keyed.select("_text").where(F.col("_text").isNotNull()).distinct()
-    if is_small:
-        hits = (texts.join(small, F.instr(F.col("_text"), F.col("_name")) > 0, "left_semi"))
-    else:
-        # Distinct name lengths are bounded by the longest name, not by the
-        # row count, so they are safe to bring to the driver.
-        lens = sorted(r[0] for r in nm.select(F.length("_name")).distinct().collect())
-        subs = (texts.select("_text", F.explode(F.array(*[F.lit(n) for n in lens])).alias("_len"))
-                .where(F.length("_text") >= F.col("_len"))
-                .select("_text", F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_len") + 1))
-                        .alias("_pos"), "_len")
-                .select("_text", F.substring(F.col("_text"), F.col("_pos"), F.col("_len")).alias("_name")))
-        hits = subs.join(nm, "_name", "left_semi").select("_text").distinct()
-    hits = hits.select("_text", F.lit(True).alias("_hit"))
+    subs = (texts.select("_text", F.explode(F.array(*[F.lit(n) for n in lens])).alias("_len"))
+            .where(F.length("_text") >= F.col("_len"))
+            .select("_text", F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_len") + 1))
+                    .alias("_pos"), "_len")
+            .select("_text", F.substring(F.col("_text"), F.col("_pos"), F.col("_len")).alias("_name")))
+    hits = (subs.join(nm, "_name", "left_semi").select("_text").distinct()
+                .select("_text", F.lit(True).alias("_hit")))
     out = keyed.join(hits, "_text", "left")
     return out.select(*[F.col(c) for c in df.columns],
                       F.coalesce(F.col("_hit"), F.lit(False)).alias(flag))

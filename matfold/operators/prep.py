@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from matfold.functions._util import ColumnLike, col_of
-from matfold.operators.joins import bounded_broadcast
 
 
 # ------------------------------------------------------- global ordering
@@ -102,20 +101,17 @@ def display_bounds(stats: dict[str, tuple[float, float]], integer_cols: Sequence
 
 # ----------------------------------------------------------------- encoding
 
-def first_appearance_codes(df: DataFrame, col: str, order: str, code_col: str = "code",
-                           max_broadcast_rows: int = 100_000) -> DataFrame:
+def first_appearance_codes(df: DataFrame, col: str, order: str, code_col: str = "code") -> DataFrame:
     """Codes 0..k-1 by first appearance (``pd.factorize``); null -> -1.
 
     The distinct values are reduced with a map-side combined ``min``; they
     are ranked per range of first position (``ordered_buckets``) plus the
-    count of earlier ranges; the codes return by a join that is a broadcast
-    when the distinct set is proven small.
+    count of earlier ranges; the codes return by a join.
     """
     firsts = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(order).alias("_first")))
     bucketed, before = ordered_buckets(firsts, "_first")
     w = Window.partitionBy("_b").orderBy("_first", col)
     codes = bucketed.select(col, (_lookup("_b", before) + F.row_number().over(w) - 1).cast("int").alias(code_col))
-    codes, _ = bounded_broadcast(codes, max_broadcast_rows)
     out = df.join(codes, col, "left")
     return out.select(*[F.col(c) for c in df.columns],
                       F.coalesce(F.col(code_col), F.lit(-1)).cast("int").alias(code_col))
@@ -180,7 +176,6 @@ def stratified_split(df: DataFrame, key: str, label: str, train_frac: float = 0.
     cut = (cum.where((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_n") < F.col("_k")))
               .select(label, F.col("_b").alias("_cb"), (F.col("_k") - (F.col("_cum") - F.col("_n"))).alias("_need")))
     # classes whose cut is 0 rows take no boundary bucket
-    cut, _ = bounded_broadcast(cut)  # one row per class
     j = rows.join(cut, label, "left")
     inb = j.where(F.col("_b") == F.col("_cb"))
     ranked = inb.select("*", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)).alias("_r"))

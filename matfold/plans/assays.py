@@ -1,8 +1,8 @@
 """Assay measurements -> identity map, human flag, labels, compound features.
 
 Plan shape: one scan of the assay records with a single projection of all
-per-record parsing; the human-cell flag is a semi join against a size-checked
-dimension; labels and compound features are single hash aggregates whose
+per-record parsing; the human-cell flag joins the distinct cell-line texts to
+the names they contain; labels and compound features are single aggregates whose
 conditional parts are ``when`` expressions inside the aggregate (no second
 pass, no join back).
 """
@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matfold.functions.chem import formula_weight
-from matfold.functions.parse import extract_float, parse_cc50
+from matfold.functions.parse import extract_float, parse_cc50, to_number
 from matfold.functions.score import (cell_line_weight, composite_score, label_from_cc50,
                                      method_weight, toxicity_score)
 from matfold.functions.text import clean_name_basic, is_blank, make_clean_name, py_strip
-from matfold.operators.agg import conditional_min, coverage_percent, exact_median
+from matfold.operators.agg import conditional_min, coverage_percent
 from matfold.operators.dedup import keep_first
 from matfold.operators.joins import contains_any
 from matfold.plans import sqlfrag as S
@@ -27,6 +27,8 @@ from matfold.sources.raw_views import duck_cte, raw_view
 # --- fixed values ---------------------------------------------------------
 # Organism text marking a human cell line (lower-cased substring test).
 HUMAN_ORGANISM_WORDS = ["human", "homo sapiens"]
+# Descriptors read as input columns (molecular weight comes from the formula).
+INPUT_DESCRIPTORS = ["LogP", "TPSA", "HBD", "HBA", "AromaticRings"]
 # --------------------------------------------------------------------------
 
 
@@ -47,7 +49,8 @@ def assay_records(raw: DataFrame) -> DataFrame:
                        _s("Method").alias("Method"),
                        _s("Mw").alias("Mw"),
                        _s("SMILES").alias("Canonical_SMILES"),
-                       F.col("Empirical_formula")))
+                       F.col("Empirical_formula"),
+                       *[F.col(c) for c in INPUT_DESCRIPTORS if c in raw.columns]))
 
 
 def human_cells(cell_lines: DataFrame) -> DataFrame:
@@ -76,15 +79,23 @@ def material_labels(flagged: DataFrame) -> DataFrame:
 
 
 def compound_features(records: DataFrame) -> DataFrame:
-    """Per structure string: worst CC50, first name, sources, median weight."""
-    rows = records.select("*", formula_weight("Empirical_formula").alias("MolWt"))
+    """Per structure string: worst CC50, first name, sources, descriptor medians.
+
+    Molecular weight comes from the formula; the other descriptors are read as
+    input columns, and one that the table does not have is null.  All medians
+    are part of the one aggregate: its partial state holds a count per distinct
+    value, so a hot structure string reaches the shuffle as distinct values.
+    """
+    given = [to_number(c).alias(c) if c in records.columns else F.lit(None).cast("double").alias(c)
+             for c in INPUT_DESCRIPTORS]
+    rows = records.select("Canonical_SMILES", "CC50_mM", "Name", "ord", "source_file",
+                          formula_weight("Empirical_formula").alias("MolWt"), *given)
     g = rows.groupBy("Canonical_SMILES").agg(
         F.min("CC50_mM").alias("CC50_mM"),
         F.min_by("Name", "ord").alias("Name"),
-        F.count_distinct("source_file").cast("long").alias("num_sources"))
-    med = exact_median(rows, "Canonical_SMILES", "MolWt", "MolWt")
-    g = g.join(med, g["Canonical_SMILES"].eqNullSafe(med["Canonical_SMILES"]), "left").drop(med["Canonical_SMILES"])
-    return g.select("Canonical_SMILES", "CC50_mM", "Name", "num_sources", "MolWt",
+        F.count_distinct("source_file").cast("long").alias("num_sources"),
+        *[F.median(c).alias(c) for c in ("MolWt", *INPUT_DESCRIPTORS)])
+    return g.select("Canonical_SMILES", "CC50_mM", "Name", "num_sources", "MolWt", *INPUT_DESCRIPTORS,
                     label_from_cc50("CC50_mM").alias("biocompatibility_label"))
 
 
@@ -106,7 +117,8 @@ _RECORDS_SQL = duck_cte("raw_assay", "cell_lines") + f""", records AS (
   SELECT ord, source_file, {S.strip('Name')} AS Name, {_ss('CAS')} AS CAS,
          {S.clean_name('Name')} AS Clean_Name, {_ss('CC50')} AS CC50_raw,
          {S.parse_cc50('CC50')} AS CC50_mM, {_ss('Cell_line')} AS Cell_line, {_ss('Method')} AS Method,
-         {_ss('Mw')} AS Mw, {_ss('SMILES')} AS Canonical_SMILES, Empirical_formula
+         {_ss('Mw')} AS Mw, {_ss('SMILES')} AS Canonical_SMILES, Empirical_formula,
+         {', '.join(INPUT_DESCRIPTORS)}
   FROM raw_assay WHERE NOT {S.blank('Name')}),
 humans AS (
   SELECT DISTINCT upper({S.strip('Cell_name')}) AS hn FROM cell_lines
@@ -127,7 +139,6 @@ labels AS (
   FROM flagged GROUP BY Clean_Name)
 """
 
-_EXTRACT_FLOAT_SQL = None
 
 
 def _extract_float_sql(x: str) -> str:
@@ -207,13 +218,11 @@ def q_uncertain(spark, sf_dir):
 def _formula_weight_sql(f: str) -> str:
     pat = "([A-Z][a-z]?)(\\d*)"
     from matfold.functions.chem import ATOMIC_WEIGHTS
-    case = "CASE s " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ATOMIC_WEIGHTS.items()) + " END"
     syms = f"regexp_extract_all({f}, '{pat}', 1)"
     cnts = f"regexp_extract_all({f}, '{pat}', 2)"
     terms = (f"list_transform(list_zip({syms}, {cnts}), lambda z: (CASE z[1] "
              + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ATOMIC_WEIGHTS.items())
              + " END) * (CASE WHEN z[2] = '' THEN 1.0 ELSE CAST(z[2] AS DOUBLE) END))")
-    del case
     total = f"list_reduce(list_prepend(0.0::DOUBLE, {terms}), lambda a, t: a + t)"
     return (f"(CASE WHEN NOT {S.blank(f)} AND regexp_replace({f}, '{pat}', '', 'g') = '' "
             f"THEN {total} END)")
@@ -222,19 +231,21 @@ def _formula_weight_sql(f: str) -> str:
 _COMPOUND_SQL = _RECORDS_SQL + f""", compounds AS (
   SELECT Canonical_SMILES, min(CC50_mM) AS CC50_mM, arg_min(Name, ord) AS Name,
          CAST(count(DISTINCT source_file) AS BIGINT) AS num_sources,
-         median({_formula_weight_sql('Empirical_formula')}) AS MolWt
+         median({_formula_weight_sql('Empirical_formula')}) AS MolWt,
+         {', '.join(f'median({S.to_number(c)}) AS {c}' for c in INPUT_DESCRIPTORS)}
   FROM records GROUP BY Canonical_SMILES)
 """
 
 
 @query("compound_features", oracle=_COMPOUND_SQL + f"""
 SELECT Canonical_SMILES, round(CC50_mM, 9) AS CC50_mM, Name, num_sources, round(MolWt, 6) AS MolWt,
+       {', '.join(f'round({c}, 6) AS {c}' for c in INPUT_DESCRIPTORS)},
        {S.label_from_cc50('CC50_mM')} AS biocompatibility_label FROM compounds
 """)
 def q_compound_features(spark, sf_dir):
     c = compound_features(load_records(spark, sf_dir))
     return c.select("Canonical_SMILES", F.round("CC50_mM", 9).alias("CC50_mM"), "Name", "num_sources",
-                    F.round("MolWt", 6).alias("MolWt"), "biocompatibility_label")
+                    *[F.round(x, 6).alias(x) for x in ("MolWt", *INPUT_DESCRIPTORS)], "biocompatibility_label")
 
 
 @query("coverage", oracle=_COMPOUND_SQL + """

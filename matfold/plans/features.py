@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matfold.functions.chem import AMINO_ACIDS, clean_placeholders, first_component, structure_problem
+from matfold.functions.chem import AMINO_ACIDS, clean_placeholders, first_component, structure_problem, letter_frequencies
 from matfold.functions.parse import extract_float
 from matfold.functions.score import inverse_log10, log10_target, modulus_band, toxic_flag
 from matfold.functions.text import level_norm
-from matfold.operators.joins import bounded_broadcast
 from matfold.operators.prep import (alphabetical_codes, auc, class_weights, classification_report,
                                     decode_labels, display_bounds, first_appearance_codes, fit_means,
                                     fit_standard, hash_split, impute, out_of_range, regression_metrics,
@@ -217,11 +216,9 @@ def q_qsar_targets(spark, sf_dir):
 
 def qsar_ready(records, cell_lines, methods):
     """Modelling table: first structure component, loose concentration,
-    rows with a concentration only, cell-line and method metadata joined
-    (both dimensions size-checked before broadcast), family from the file."""
-    cl, _ = bounded_broadcast(cell_lines.select(F.col("Cell_name").alias("Cell_line"), "Cell_type"))
-    md, _ = bounded_broadcast(methods.select(F.col("Method_abbreviation").alias("Method"),
-                                             F.col("Full_name").alias("Method_full")))
+    rows with a concentration only, cell-line and method metadata joined, family from the file."""
+    cl = cell_lines.select(F.col("Cell_name").alias("Cell_line"), "Cell_type")
+    md = methods.select(F.col("Method_abbreviation").alias("Method"), F.col("Full_name").alias("Method_full"))
     base = records.select(
         "ord", "Name", "Cell_line", "Method",
         clean_placeholders(first_component("Canonical_SMILES")).alias("SMILES_main"),
@@ -255,21 +252,18 @@ def q_qsar_ready(spark, sf_dir):
 
 
 def _aa_sql(ch: str) -> str:
-    return (f"round((length(text) - length(replace(replace(text, '{ch}', ''), '{ch.lower()}', ''))) "
-            f"/ greatest(length(text), 1), 9) AS aa_{ch}")
+    return (f"round((length(t) - length(replace(replace(t, '{ch}', ''), '{ch.lower()}', ''))) "
+            f"/ greatest(length(t), 1), 9) AS aa_{ch}")
 
 
 @query("aa_composition", oracle=f"""
-SELECT doc_id, {', '.join(_aa_sql(ch) for ch in AMINO_ACIDS)} FROM documents
+SELECT doc_id, {', '.join(_aa_sql(ch) for ch in AMINO_ACIDS)}
+FROM (SELECT doc_id, replace(coalesce(text, ''), 'ß', 'SS') AS t FROM documents)
 """)
 def q_aa_composition(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    t = F.col("text")
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    cols = [F.round((F.length(t) - F.length(F.replace(F.replace(t, F.lit(ch), F.lit("")),
-                                                       F.lit(ch.lower()), F.lit("")))) / n, 9).alias(f"aa_{ch}")
-            for ch in AMINO_ACIDS]
-    return docs.select("doc_id", *cols)
+    freq = docs.select("doc_id", *letter_frequencies("text"))
+    return freq.select("doc_id", *[F.round(f"aa_{ch}", 9).alias(f"aa_{ch}") for ch in AMINO_ACIDS])
 
 
 @query("has_flag", oracle="""
@@ -349,8 +343,8 @@ def q_label_map(spark, sf_dir):
     """Label and link building per item, with the two lookup dimensions
     broadcast after a size check."""
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    nat, _ = bounded_broadcast(read_table(spark, sf_dir, "nation"))
-    reg, _ = bounded_broadcast(read_table(spark, sf_dir, "region"))
+    nat = read_table(spark, sf_dir, "nation")
+    reg = read_table(spark, sf_dir, "region")
     j = cust.join(nat, cust.c_nationkey == nat.n_nationkey).join(reg, nat.n_regionkey == reg.r_regionkey)
     return j.select("c_custkey", F.concat_ws(" / ", "r_name", "n_name", "c_name").alias("label"),
                     F.format_string("https://atlas.example.org/%s/%d/%d", F.lower("r_name"), "n_nationkey",

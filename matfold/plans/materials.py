@@ -20,7 +20,7 @@ from matfold.functions.parse import to_number
 from matfold.functions.units import mpa_to_gpa, kgm3_to_gcm3, psi_to_mpa
 from matfold.operators.agg import distinct_sample, null_counts
 from matfold.operators.dedup import keep_first
-from matfold.operators.joins import lookup_first, small_dictionary
+from matfold.operators.joins import lookup_first
 from matfold.operators.setops import stack
 from matfold.plans import sqlfrag as S
 from matfold.plans.registry import query
@@ -42,19 +42,8 @@ ELEMENT_STANDARD, ELEMENT_TYPE = "ELEMENT", "METAL"
 
 
 def classify_names(df: DataFrame, name_col: str, out_col: str = "Material_Type") -> DataFrame:
-    """Add the material type of ``name_col``.
-
-    Names repeat, so the 58-rule classifier runs once per distinct name and
-    the result is broadcast back - but only when the distinct set is proven
-    small; otherwise the rules are evaluated per row.  Either way the type
-    becomes a plain column, so filters on it are not expanded into copies of
-    the rule table.
-    """
-    types = small_dictionary(df.select(name_col).distinct()
-                               .select(name_col, material_type(name_col).alias(out_col)))
-    if types is None:
-        return df.withColumn(out_col, material_type(name_col))
-    return df.join(types, df[name_col].eqNullSafe(types[name_col]), "left").drop(types[name_col])
+    """Add the material type of ``name_col``, projected once per row."""
+    return df.withColumn(out_col, material_type(name_col))
 
 
 def prepare_main(raw: DataFrame) -> DataFrame:

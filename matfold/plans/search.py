@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matfold.functions.parse import strip_suffix_int, to_number
-from matfold.functions.text import concat_blank
+from matfold.functions.text import concat_blank, is_blank, py_strip
 from matfold.operators.filters import apply_filters, option_values, rule_label, where_equal
 from matfold.operators.schema import select_present
 from matfold.operators.setops import stack, union_distinct
 from matfold.plans import sqlfrag as S
+from matfold.plans.assays import _RECORDS_SQL, load_records
 from matfold.plans.corrosion import with_rate_numeric
 from matfold.plans.materials import UNIFIED_SQL, unified_materials
 from matfold.plans.registry import query
@@ -43,11 +44,56 @@ STRUCTURAL_SPEC = {"free_text": "grade", "Material_Type": {"values": ["STEEL", "
                    "Youngs_Modulus_GPa": {"min": 192.5}, "Tensile_Strength_MPa": {"min": "470"}}
 
 
+# Search criteria of each domain: name -> (column, kind of rule).
+CRITERIA = {
+    "structural": {"family": ("Material_Type", "values"), "youngs_min": ("Youngs_Modulus_GPa", "min"),
+                   "tensile_min": ("Tensile_Strength_MPa", "min")},
+    "high_entropy": {},
+    "corrosion": {"material_group": ("Material_Group", "values"), "temperature_min": ("Temperature_deg_C", "min"),
+                  "rate_min": ("Rate_mm_numeric", "min")},
+    "polymers": {"polymer_class": ("Polymer_Class", "values"), "name": ("name", "contains"), "tg_min": ("Tg", "min"),
+                 "density_min": ("Density", "min"), "density_max": ("Density", "max")},
+    "cytotoxicity": {"level": ("Cytotoxicity_Level", "values"), "cas": ("CAS", "values"), "name": ("Name", "contains"),
+                     "cc50_min": ("CC50_mM", "min"), "cell_line": ("Cell_line", "values"),
+                     "smiles": ("Canonical_SMILES", "contains")},
+}
+
+
 def search(df: DataFrame, spec: dict, **kw) -> DataFrame:
     out, _missing = apply_filters(df, spec, **kw)
     return out
 
 
+def domain_spec(domain: str, free_text: str | None = None, **criteria) -> dict:
+    """Filter spec of a domain's criteria; one that is None or empty is not set.
+
+    A criterion ``<column>_min`` or ``<column>_max`` that the domain does not
+    name bounds that column, so that any numeric column can be filtered.
+    """
+    spec: dict = {"free_text": free_text} if free_text else {}
+    for key, value in criteria.items():
+        if value is None or value == "" or value == []:
+            continue
+        column, kind = CRITERIA[domain].get(key) or (key[:-4], key[-3:])
+        if kind in ("min", "max"):
+            spec.setdefault(column, {})[kind] = value
+        elif kind == "values":
+            spec[column] = {"values": list(value) if isinstance(value, (list, tuple, set)) else [value]}
+        elif kind == "contains":
+            spec[column] = value
+        else:
+            raise ValueError(f"{domain} has no criterion {key!r}")
+    return spec
+
+
+def domain_search(df: DataFrame, domain: str, **criteria) -> tuple[DataFrame, list[str]]:
+    """(rows of a domain's prepared table that meet all criteria, columns it lacks)."""
+    if domain == "cytotoxicity" and "Cytotoxicity_Level" in df.columns:
+        level = F.lower(py_strip(F.col("Cytotoxicity_Level").cast("string")))
+        df = df.withColumn("Cytotoxicity_Level", F.when(is_blank("Cytotoxicity_Level"), F.lit("unknown")).otherwise(level))
+    return apply_filters(df, domain_spec(domain, **criteria), regex=False)
+
+
 @query("search_range", oracle="""
 SELECT * FROM part WHERE p_retailprice >= 920 AND p_retailprice <= 960 AND p_size >= 10
 """)
@@ -201,3 +247,77 @@ SELECT ID, Material, Std FROM raw_material
 """)
 def q_select_present(spark, sf_dir):
     return select_present(raw_view(spark, sf_dir, "raw_material"), ["ID", "Material", "Missing_Col", "Std"])
+
+
+# ------------------------------------------------- searches of the domains
+
+def _has(text: str, *cols: str) -> str:
+    """One of the columns contains the (lower-case, literal) text."""
+    return "(" + " OR ".join(f"coalesce(strpos(lower({c}), '{text}') > 0, FALSE)" for c in cols) + ")"
+
+
+@query("search_alloys", oracle=duck_cte("raw_hea") + f"""
+, t AS (SELECT ord, FORMULA, Processing, Microstructure, {', '.join(f"{S.to_number(c)} AS {c}" for c in ('UTS', 'YS', 'HV', 'Density'))}
+        FROM raw_hea)
+SELECT * FROM t WHERE {_has('ti', 'FORMULA', 'Processing', 'Microstructure')} AND HV >= 250 AND Density <= 7.7
+""")
+def q_search_alloys(spark, sf_dir):
+    raw = raw_view(spark, sf_dir, "raw_hea")
+    table = raw.select("ord", "FORMULA", "Processing", "Microstructure",
+                       *[to_number(c).alias(c) for c in ("UTS", "YS", "HV", "Density")])
+    return domain_search(table, "high_entropy", free_text="Ti", HV_min=250, Density_max=7.7)[0]
+
+
+@query("search_polymers", oracle=duck_cte("raw_polymer_b") + f"""
+, t AS (SELECT ord, name, SMILES, grade, manufacturer, {S.to_number('Tg')} AS Tg, {S.to_number('Density')} AS Density
+        FROM raw_polymer_b)
+SELECT * FROM t WHERE {_has('brand#1', 'name', 'SMILES', 'grade', 'manufacturer')} AND {_has('poly-', 'name')}
+  AND Tg >= 260 AND Density >= 0.95 AND Density <= 1.2
+""")
+def q_search_polymers(spark, sf_dir):
+    table = raw_view(spark, sf_dir, "raw_polymer_b").select(
+        "ord", "name", "SMILES", "grade", "manufacturer", to_number("Tg").alias("Tg"), to_number("Density").alias("Density"))
+    return domain_search(table, "polymers", free_text="brand#1", name="poly-", tg_min=260, density_min=0.95, density_max=1.2)[0]
+
+
+@query("search_polymer_class", oracle=duck_cte("raw_polymer_a") + f"""
+, t AS (SELECT ord, SMILES, PID, Polymer_Class, {S.to_number('Tg')} AS Tg FROM raw_polymer_a)
+SELECT * FROM t WHERE {_has('(=o)', 'SMILES', 'PID', 'Polymer_Class')} AND Polymer_Class = 'polyamide' AND Tg >= 300
+""")
+def q_search_polymer_class(spark, sf_dir):
+    table = raw_view(spark, sf_dir, "raw_polymer_a").select("ord", "SMILES", "PID", "Polymer_Class", to_number("Tg").alias("Tg"))
+    return domain_search(table, "polymers", free_text="(=O)", polymer_class="polyamide", tg_min=300)[0]
+
+
+_LEVEL_SQL = ("CASE WHEN CC50_mM IS NULL THEN 'unknown' WHEN CC50_mM < 0.1 THEN 'high' "
+              "WHEN CC50_mM < 1 THEN 'medium' ELSE 'low' END")
+
+
+@query("search_cytotoxicity", oracle=_RECORDS_SQL + f"""
+, t AS (SELECT ord, Name, CAS, Clean_Name, CC50_mM, Cell_line, Method, Canonical_SMILES,
+               {_LEVEL_SQL} AS Cytotoxicity_Level FROM records)
+SELECT ord, Name, Clean_Name, round(CC50_mM, 9) AS CC50_mM, Cytotoxicity_Level FROM t
+WHERE {_has('assay', 'Name', 'CAS', 'Clean_Name', 'Cell_line', 'Method', 'Canonical_SMILES', 'Cytotoxicity_Level')}
+  AND Cytotoxicity_Level IN ('low', 'medium') AND {_has('view', 'Name')} AND CC50_mM >= 0.2 AND Cell_line = 'HeLa'
+  AND {_has('[n+]', 'Canonical_SMILES')}
+""")
+def q_search_cytotoxicity(spark, sf_dir):
+    """The level column arrives in mixed spelling and with blanks; both are normalised before the search."""
+    cc = F.col("CC50_mM")
+    level = F.when(cc.isNull(), F.lit(" ")).when(cc < 0.1, F.lit("High")).when(cc < 1, F.lit(" MEDIUM")).otherwise(F.lit("low "))
+    table = load_records(spark, sf_dir).select("ord", "Name", "CAS", "Clean_Name", "CC50_mM", "Cell_line", "Method",
+                                               "Canonical_SMILES", level.alias("Cytotoxicity_Level"))
+    out, _ = domain_search(table, "cytotoxicity", free_text="assay", level=["low", "medium"], name="view", cc50_min=0.2,
+                           cell_line="HeLa", smiles="[N+]")
+    return out.select("ord", "Name", "Clean_Name", F.round("CC50_mM", 9).alias("CC50_mM"), "Cytotoxicity_Level")
+
+
+@query("search_corrosion_group", oracle=duck_cte("raw_corrosion") + f"""
+, t AS (SELECT *, {_rate_num_sql('Rate_mm')} AS Rate_mm_numeric, {S.to_number('Temperature')} AS Temperature_deg_C FROM raw_corrosion)
+SELECT ord_a, ord_b, ord_c, ord_d, Material_Group, Rate_mm_numeric, Temperature_deg_C FROM t
+WHERE Material_Group IN ('PROMO', 'ECONOMY') AND Temperature_deg_C >= 20 AND Rate_mm_numeric >= 0.05
+""")
+def q_search_corrosion_group(spark, sf_dir):
+    table = with_rate_numeric(raw_view(spark, sf_dir, "raw_corrosion")).withColumn("Temperature_deg_C", to_number("Temperature"))
+    out, _ = domain_search(table, "corrosion", material_group=["PROMO", "ECONOMY"], temperature_min=20, rate_min=0.05)
+    return out.select("ord_a", "ord_b", "ord_c", "ord_d", "Material_Group", "Rate_mm_numeric", "Temperature_deg_C")

@@ -118,7 +118,12 @@ SELECT
     WHEN 'view' THEN 'WST-1 assay'
     WHEN 'purchase' THEN 'LDH release'
     WHEN 'signup' THEN NULL
-    ELSE 'neutral red uptake' END AS Method
+    ELSE 'neutral red uptake' END AS Method,
+  {_dec('e.value / 100 - 2', 4)} AS LogP,
+  CASE WHEN e.user_id % 7 = 0 THEN NULL ELSE {_dec('20 + e.user_id * 0.5', 1)} END AS TPSA,
+  {_s('e.user_id % 4')} AS HBD,
+  CASE WHEN e.event_id % 5 = 0 THEN 'n/a' ELSE {_s('e.user_id % 9')} END AS HBA,
+  {_s('e.event_id % 3')} AS AromaticRings
 FROM {{events}} e
 """
 

@@ -1,5 +1,5 @@
-"""Plan guards: no query plans a cartesian product, nested-loop joins appear
-only where a size-checked dimension is probed by substring, scans are pruned
+"""Plan guards: no query plans a cartesian product, no nested-loop joins,
+scans are pruned
 and the flagship aggregates map-side before its single shuffle."""
 
 import os
@@ -11,10 +11,6 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
-# queries whose plan probes a proven-small name table with instr() (substring join)
-NESTED_LOOP_OK = {"human_flag", "human_flag_nodim", "biocompat_labels", "definitive", "uncertain",
-                  "unified_training", "unified_training_fuzzy", "corrosion_scores_mils"}
-
 
 def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -24,8 +20,7 @@ def plan_text(df):
 def test_no_cartesian_products(spark, name):
     plan = plan_text(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan
-    if name not in NESTED_LOOP_OK:
-        assert "BroadcastNestedLoopJoin" not in plan, name
+    assert "BroadcastNestedLoopJoin" not in plan, name
 
 
 def test_flagship_plan_shape(spark):
