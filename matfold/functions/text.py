@@ -18,8 +18,9 @@ STANDARD_PREFIXES = ["ANSI", "ISO", "DIN", "ASTM", "BS", "SAE", "GB", "JIS", "GO
 STANDARD_TOKENS = ["ANSI", "ASTM", "ISO", "DIN", "BS", "SAE", "GB", "JIS", "GOST", "NF"]
 # Characters kept by the clean-name rule (everything else becomes a blank).
 CLEAN_NAME_DROP = r"[^A-Z0-9\-\+\(\)\/ ]+"
-# Whitespace as matched by \s: blank, tab, newline, vertical tab, form feed, return.
-WHITESPACE = " \t\n\x0b\f\r"
+# Whitespace as stripped by Python's str.strip, Unicode blanks included.
+WHITESPACE = (" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # --------------------------------------------------------------------------
 
 _PREFIX_RE = r"(?i)^\s*(" + "|".join(STANDARD_PREFIXES) + r")[\s,:-]*"

@@ -77,10 +77,19 @@ def range_predicate(col: Column, dtype: T.DataType, lo: Any = None, hi: Any = No
     return pred
 
 
-def values_predicate(col: Column, values: Sequence[Any]) -> Column:
-    """Value list on the string form of the column; empty list -> no filter."""
+def values_predicate(col: Column, values: Sequence[Any], dtype: T.DataType | None = None) -> Column:
+    """Value list on the string form of the column; empty list -> no filter.
+
+    On whole-number columns the values are compared as numbers, so that the
+    list reaches the scan; values that are not such a column's text match nothing.
+    """
     if not values:
         return F.lit(True)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        whole = [int(str(v)) for v in values if re.fullmatch(r"0|-?[1-9]\d{0,17}", str(v))]
+        return F.coalesce(col.isin(whole), F.lit(False)) if whole else F.lit(False)
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(col.isin([str(v) for v in values]), F.lit(False))
     return F.coalesce(col.cast("string").isin([str(v) for v in values]), F.lit(False))
 
 
@@ -104,7 +113,7 @@ def compile_filters(df: DataFrame, spec: Mapping[str, Any], keep_missing: bool =
         if isinstance(rule, Mapping) and ("min" in rule or "max" in rule):
             pred = pred & range_predicate(col, types[name], rule.get("min"), rule.get("max"), keep_missing)
         elif isinstance(rule, Mapping) and "values" in rule:
-            pred = pred & values_predicate(col, rule.get("values") or [])
+            pred = pred & values_predicate(col, rule.get("values") or [], types[name])
         else:
             pred = pred & contains_predicate(col, rule, regex)
     return pred, missing

@@ -11,6 +11,7 @@ shared checkpoint folder.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
@@ -51,8 +52,8 @@ def add_fingerprint(df: DataFrame, structure_col: str, out_col: str = "fp", n_bi
 
 
 def model_dir(spark, name: str) -> str:
-    """Model folder inside the shared checkpoint folder of the session."""
-    return os.path.join(ensure_checkpoint_dir(spark), "models", name)
+    """A new model folder inside the shared checkpoint folder of the session."""
+    return os.path.join(ensure_checkpoint_dir(spark), "models", f"{name}-{uuid.uuid4().hex}")
 
 
 def save_model(model: PipelineModel, path: str) -> str:

@@ -84,11 +84,16 @@ def staged_endpoints(spark, sf_dir) -> dict[str, DataFrame]:
 
 
 def assemble_documents(endpoints: dict[str, DataFrame]) -> DataFrame:
-    """One nested document per id: summary left-joined with the others."""
+    """One nested document per id: summary left-joined with the others.
+
+    Of several documents of an id the one with the smallest ``ord`` counts;
+    endpoints without that column are ordered by their fields.
+    """
     doc = endpoints["summary"]
     for name in ("elasticity", "thermo", "magnetism"):
         ep = endpoints[name]
-        first = keep_first(ep.withColumn("_o", F.lit(0)), ["material_id"], ["_o"]).drop("_o")
+        order = ["ord"] if "ord" in ep.columns else [c for c in ep.columns if c != "material_id"]
+        first = keep_first(ep, ["material_id"], order).drop("ord")
         doc = doc.join(first, "material_id", "left")
     return doc
 

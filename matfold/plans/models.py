@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -20,8 +20,8 @@ from matfold.functions.score import log10_target, toxic_flag
 from matfold.operators.knn import knn_regress
 from matfold.operators.models import (add_fingerprint, assembler, fit_pipeline, load_model, materialize,
                                       model_dir, save_model)
-from matfold.operators.prep import (auc, class_weights, classification_report, hash_split,
-                                    regression_metrics)
+from matfold.operators.prep import (auc, class_weights, classification_report, fit_means, fit_standard,
+                                    hash_split, impute, regression_metrics, standardize, stratified_split)
 from matfold.plans.assays import load_records
 from matfold.plans.features import _PROTEIN
 from matfold.plans.registry import query
@@ -53,18 +53,19 @@ def q_fingerprint(spark, sf_dir):
 
 
 @query("rf_qsar")
-def q_rf_qsar(spark, sf_dir):
+def q_rf_qsar(spark, sf_dir, trees: int = 300, depth: int = 30):
+    """Forests on fingerprints: regression of log10 CC50 and the toxic class."""
     t = materialize(qsar_table(spark, sf_dir))
     fam = StringIndexer(inputCol="Family", outputCol="Family_enc", handleInvalid="keep")
     asm = assembler(["fp", "Mw", "Family_enc"])
     train, test = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
-    reg = fit_pipeline(train, [fam, asm, RandomForestRegressor(labelCol="log_cc50", numTrees=20, maxDepth=8,
+    reg = fit_pipeline(train, [fam, asm, RandomForestRegressor(labelCol="log_cc50", numTrees=trees, maxDepth=depth,
                                                                featureSubsetStrategy="sqrt", seed=SEED)])
-    clf = fit_pipeline(train, [fam, asm, RandomForestClassifier(labelCol="toxic", numTrees=20, maxDepth=8,
+    clf = fit_pipeline(train, [fam, asm, RandomForestClassifier(labelCol="toxic", numTrees=trees, maxDepth=depth,
                                                                 featureSubsetStrategy="sqrt", seed=SEED)])
     rp = reg.transform(test)
-    cp = clf.transform(test).select("toxic", vector_to_array("probability")[1].alias("p1"),
-                                    F.col("prediction").cast("int").alias("pred"))
+    cp = materialize(clf.transform(test).select("toxic", vector_to_array("probability")[1].alias("p1"),
+                                                F.col("prediction").cast("int").alias("pred")))
     rm = regression_metrics(rp, "log_cc50", "prediction").select(
         F.lit("regressor").alias("model"), F.col("r2").alias("score_1"), F.col("mae").alias("score_2"))
     acc = classification_report(cp, "toxic", "pred").select("accuracy").limit(1)
@@ -92,8 +93,8 @@ def q_tree_rule(spark, sf_dir):
     cols = list(USE_RULE)
     model = fit_pipeline(df.where(F.col("split") == "train"),
                          [assembler(cols), DecisionTreeClassifier(labelCol="use", seed=SEED)])
-    pred = model.transform(df.where(F.col("split") == "test")).select(
-        "use", F.col("prediction").cast("int").alias("pred"))
+    pred = materialize(model.transform(df.where(F.col("split") == "test")).select(
+        "use", F.col("prediction").cast("int").alias("pred")))
     return classification_report(pred, "use", "pred")
 
 
@@ -112,17 +113,18 @@ _PROT_FEATS = ["Number_of_Residues", "Number_of_Chains", "Helix", "Sheet", "Coil
 
 
 @query("mlp_state")
-def q_mlp_state(spark, sf_dir):
+def q_mlp_state(spark, sf_dir, hidden: tuple[int, ...] = (128, 64, 32), epochs: int = 100, rounds: int = 100):
+    """Perceptron for the state class, boosted trees for the chain count."""
     t = materialize(protein_table(spark, sf_dir))
     train, test = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
     feats = _PROT_FEATS + [f"aa_{c}" for c in "ACDEFGHIKLMNPQRSTVWY"]
-    scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    mlp = MultilayerPerceptronClassifier(labelCol="state", layers=[len(feats), 32, 16, 4], maxIter=30, seed=SEED)
-    clf = fit_pipeline(train, [assembler(feats, "raw"), scale, mlp])
-    gbt = fit_pipeline(train, [assembler(feats, "raw"), scale,
-                               GBTRegressor(labelCol="count", maxIter=10, seed=SEED)])
-    cp = clf.transform(test).select(F.col("state").cast("int").alias("y"),
-                                    F.col("prediction").cast("int").alias("p"))
+    stats = fit_standard(train, feats)
+    train, test = standardize(train, stats), standardize(test, stats)
+    mlp = MultilayerPerceptronClassifier(labelCol="state", layers=[len(feats), *hidden, 4], maxIter=epochs, seed=SEED)
+    clf = fit_pipeline(train, [assembler(feats), mlp])
+    gbt = fit_pipeline(train, [assembler(feats), GBTRegressor(labelCol="count", maxIter=rounds, seed=SEED)])
+    cp = materialize(clf.transform(test).select(F.col("state").cast("int").alias("y"),
+                                                F.col("prediction").cast("int").alias("p")))
     gp = gbt.transform(test)
     rep = classification_report(cp, "y", "p")
     mae = regression_metrics(gp, "count", "prediction")
@@ -132,40 +134,50 @@ def q_mlp_state(spark, sf_dir):
 
 
 @query("binding_weighted")
-def q_binding_weighted(spark, sf_dir):
-    """Binary classifier with balanced class weights (weightCol)."""
-    t = materialize(protein_table(spark, sf_dir))
-    w = class_weights(t, "toxic")
-    tw = t.join(w.select("toxic", "weight"), "toxic")
-    model = fit_pipeline(tw.where(F.col("split") == "train"),
-                         [assembler(_PROT_FEATS, "raw"),
-                          StandardScaler(inputCol="raw", outputCol="features"),
-                          LogisticRegression(labelCol="toxic", weightCol="weight", maxIter=30)])
-    pred = model.transform(tw.where(F.col("split") == "test")).select(
-        "toxic", F.col("prediction").cast("int").alias("pred"))
+def q_binding_weighted(spark, sf_dir, iterations: int = 100):
+    """Binary classifier with balanced class weights (weightCol).
+
+    Stratified split; weights and scaling come from the training side alone.
+    """
+    t = materialize(stratified_split(protein_table(spark, sf_dir).drop("split"), "doc_id", "toxic"))
+    train, test = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
+    stats = fit_standard(train, _PROT_FEATS)
+    train = standardize(train, stats).join(class_weights(train, "toxic").select("toxic", "weight"), "toxic")
+    model = fit_pipeline(train, [assembler(_PROT_FEATS),
+                                 LogisticRegression(labelCol="toxic", weightCol="weight", maxIter=iterations)])
+    pred = materialize(model.transform(standardize(test, stats)).select(
+        "toxic", F.col("prediction").cast("int").alias("pred")))
     return classification_report(pred, "toxic", "pred")
 
 
+MODULUS_FEATURES = ["Su", "Ro", "Bhn"]
+
+
 def modulus_table(spark, sf_dir) -> DataFrame:
+    """Rows with a target; missing features get the column's mean."""
     raw = raw_view(spark, sf_dir, "raw_material")
     df = raw.select("ord", to_number("Su").alias("Su"), to_number("Ro").alias("Ro"),
-                    to_number("Bhn").alias("Bhn"), (to_number("E") / 1000.0).alias("E_GPa")).fillna(0.0)
-    return hash_split(df, "ord")
+                    to_number("Bhn").alias("Bhn"), (to_number("E") / 1000.0).alias("E_GPa"))
+    df = df.where(F.col("E_GPa").isNotNull())
+    return hash_split(impute(df, fit_means(df, MODULUS_FEATURES)), "ord")
 
 
 @query("select_model")
-def q_select_model(spark, sf_dir):
-    """kNN(7) against a random forest by test R^2; the better one is kept."""
-    t = modulus_table(spark, sf_dir).withColumn("vec", F.array("Su", "Ro", "Bhn"))
+def q_select_model(spark, sf_dir, trees: int = 200, depth: int = 30):
+    """kNN(7) on scaled features against a random forest on raw ones, by test
+    R^2; the forest is chosen only where it is better."""
+    t = materialize(modulus_table(spark, sf_dir))
     train, test = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
-    kp = knn_regress(train, test, "ord", "vec", "E_GPa", k=7).join(test.select("ord", "E_GPa"), "ord")
-    rf = fit_pipeline(train, [assembler(["Su", "Ro", "Bhn"]),
-                              RandomForestRegressor(labelCol="E_GPa", numTrees=30, seed=SEED)])
+    stats = fit_standard(train, MODULUS_FEATURES)
+    scaled = lambda df: standardize(df, stats).withColumn("vec", F.array(*MODULUS_FEATURES))
+    kp = knn_regress(scaled(train), scaled(test), "ord", "vec", "E_GPa", k=7).join(test.select("ord", "E_GPa"), "ord")
+    rf = fit_pipeline(train, [assembler(MODULUS_FEATURES),
+                              RandomForestRegressor(labelCol="E_GPa", numTrees=trees, maxDepth=depth, seed=SEED)])
     rp = rf.transform(test)
     km = regression_metrics(kp, "E_GPa", "prediction").select(F.lit("knn7").alias("model"), "r2", "mae")
     fm = regression_metrics(rp, "E_GPa", "prediction").select(F.lit("forest").alias("model"), "r2", "mae")
-    both = km.unionByName(fm)
-    best = both.orderBy(F.desc("r2"), "model").limit(1).select("model", F.lit(True).alias("chosen"))
+    both = materialize(km.unionByName(fm))
+    best = both.orderBy(F.desc("r2"), F.desc("model")).limit(1).select("model", F.lit(True).alias("chosen"))
     return both.join(best, "model", "left").fillna({"chosen": False})
 
 
@@ -174,7 +186,7 @@ def q_batch_score(spark, sf_dir):
     """Fit, save under the shared checkpoint folder, load, score the whole table."""
     t = modulus_table(spark, sf_dir)
     model = fit_pipeline(t.where(F.col("split") == "train"),
-                         [assembler(["Su", "Ro", "Bhn"]), LinearRegression(labelCol="E_GPa")])
+                         [assembler(MODULUS_FEATURES), LinearRegression(labelCol="E_GPa")])
     path = save_model(model, model_dir(spark, "modulus_linear"))
     scored = load_model(path).transform(t)
     return scored.select("ord", "E_GPa", F.col("prediction").alias("E_pred"))

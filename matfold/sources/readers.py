@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 
 from matfold.operators.setops import stack
 
-REPLACEMENT_CHAR = "�"
-
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -49,8 +47,7 @@ def read_csv_if_exists(spark: SparkSession, path: str, schema: T.StructType | No
 def needs_latin1(spark: SparkSession, path: str) -> bool:
     """True when some line of the file is not valid UTF-8 (stops at the first)."""
     txt = spark.read.text(path)
-    bad = ~F.expr("is_valid_utf8(value)") | (F.instr("value", REPLACEMENT_CHAR) > 0)
-    return txt.where(bad).limit(1).count() > 0
+    return txt.where(~F.expr("is_valid_utf8(value)")).limit(1).count() > 0
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str, **kw) -> DataFrame:

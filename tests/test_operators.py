@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from matfold.operators import agg, dedup, filters, fuzzy, joins, knn, prep, schema, setops
@@ -281,3 +282,31 @@ def test_metrics_of_empty_and_incomplete_tables(spark):
     from matfold.operators import prep
     assert prep.regression_metrics(df, "y", "p").first()["n"] == 2
     assert prep.regression_metrics(df.limit(0), "y", "p").first()["n"] == 0
+
+
+def test_domain_specs_and_levels(spark):
+    from matfold.plans.search import domain_search, domain_spec
+    assert domain_spec("polymers", density_min=1, density_max="2", name="", tg_min=None) == {"Density": {"min": 1, "max": "2"}}
+    assert domain_spec("high_entropy", free_text="Ti", HV_min=3) == {"free_text": "Ti", "HV": {"min": 3}}
+    with pytest.raises(ValueError):
+        domain_spec("corrosion", colour="red")
+    df = spark.createDataFrame([(1, " Low"), (2, ""), (3, None), (4, "HIGH")], "i int, Cytotoxicity_Level string")
+    found = lambda *levels: sorted(r[0] for r in domain_search(df, "cytotoxicity", level=list(levels))[0].collect())
+    assert found("low") == [1] and found("unknown") == [2, 3] and found("high", "low") == [1, 4]
+    assert domain_search(df, "cytotoxicity", cas="1-2-3")[1] == ["CAS"]
+    assert domain_search(df.limit(0), "cytotoxicity", level="low")[0].count() == 0
+
+
+def test_value_lists_on_numbers_match_their_text(spark):
+    from matfold.operators.filters import apply_filters
+    df = spark.createDataFrame([(1,), (7,), (None,), (-3,)], "v int")
+    got = lambda vals: sorted(r[0] for r in apply_filters(df, {"v": {"values": vals}})[0].collect())
+    assert got(["7", 1]) == [1, 7] and got(["-3", "x"]) == [-3] and got(["07", "7.0"]) == []
+
+
+def test_strip_takes_unicode_blanks(spark):
+    from matfold.functions.text import py_strip
+    texts = ["\u00a0a b\u00a0", "\u3000x\u2009", "\x1c\x85y ", "\u200bz", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[1] for r in sorted(df.select("i", py_strip("t")).collect())]
+    assert got == [t if t is None else t.strip() for t in texts]
