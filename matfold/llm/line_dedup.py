@@ -1,13 +1,21 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share a line hash.  Of the documents of a line the
-one with the smallest id is the partner of all others, so that a line which
-very many documents hold gives one pair per document and not all pairs, and a
-rare line gives the pair that it is shared by.  Each pair is aligned by
-patience diff over the line hashes: common ends are matched, lines that are
-unique on both sides anchor the longest increasing chain, and the gaps between
-anchors are aligned again.  Aligned common blocks of at least ``min_words``
-words are deleted from the later document.
+Documents overlap where they share a run of consecutive lines of at least
+``min_words`` words.  Every line has two such runs, the shortest that begins
+and the shortest that ends with it; a common block of two documents with enough
+words holds, for each of its lines, one of the runs that has the line in it.
+Of the documents of a run the one with the smallest id is the partner of all
+others, so that a run which very many documents hold gives one pair per
+document and not all pairs, and no block is lost by that.
+
+Each pair is aligned by patience diff over the line hashes: common ends are
+matched, lines that are unique on both sides anchor the longest increasing
+chain, and the gaps between anchors are aligned again.  Aligned common blocks
+of at least ``min_words`` words are deleted from the later document.  Lines
+left over that the partner has (repeated ones, and those in another order) are
+then matched occurrence by occurrence, by the runs of the pair.  So a line goes
+if and only if it is in a block of enough words that some earlier document has
+too.
 
 The first document with a line is never the later one of a pair for it, so
 every deleted line stays in one document at least.
@@ -46,6 +54,21 @@ def lines_of(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return lines.hashes(), n, row
 
 
+def runs(h: np.ndarray, n: np.ndarray, row: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, end line, key) of the shortest runs of ``min_words`` words that begin or end with each line."""
+    total, least = np.r_[0, np.cumsum(n)], max(1, min_words)
+    line = np.arange(len(h))
+    low, high = np.repeat(row[:-1], np.diff(row)), np.repeat(row[1:], np.diff(row))
+    end = np.searchsorted(total, total[:-1] + least)
+    start = np.searchsorted(total, total[1:] - least, "right") - 1
+    ahead, back = end <= high, (start >= low) & (n < least)  # a line of enough words is one run
+    first, last = np.r_[line[ahead], start[back]], np.r_[end[ahead], line[back] + 1]
+    up, down = W._POWERS.get(len(h) + 1)
+    pre = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[:-1], out=pre[1:])
+    return first, last, W.mix64((pre[last] - pre[first]) * down[first] + (last - first).astype(np.uint64))
+
+
 def _chain(b: Sequence[int]) -> list[int]:
     """Places of a longest increasing subsequence (patience sorting)."""
     piles: list[int] = []
@@ -108,6 +131,24 @@ def blocks(matched: list[tuple[int, int]], words: Sequence[int], min_words: int)
     return out
 
 
+def shared(a: Sequence[int], b: Sequence[int], words: Sequence[int], min_words: int) -> list[int]:
+    """Places of ``b`` in common blocks with enough words: aligned ones, then those of the lines left over."""
+    gone = set(blocks(align(a, b), words, min_words))
+    held = set(a)
+    if all(j in gone or v not in held for j, v in enumerate(b)):
+        return sorted(gone)
+    size = dict(zip(b, words, strict=True))
+    both = []
+    for seq in (a, b):  # a line that b has not is in no common run, whatever its words
+        n = np.array([size.get(v, min_words) for v in seq], np.int64)
+        both.append(runs(np.array(seq, np.int64).view(np.uint64), n, np.array([0, len(seq)]), min_words))
+    hit = np.isin(both[1][2], both[0][2])
+    edge = np.zeros(len(b) + 1, np.int64)
+    np.add.at(edge, both[1][0][hit], 1)
+    np.add.at(edge, both[1][1][hit], -1)
+    return sorted(gone.union(np.flatnonzero(np.cumsum(edge) > 0).tolist()))
+
+
 def deleted_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, th, keep array<boolean>) of the documents that lose lines; th is the text's hash."""
     kind = column_type(docs, id_col)
@@ -123,7 +164,19 @@ def deleted_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).where("id is not null and t is not null")
     lines = saved(src.mapInArrow(run, f"id {kind}, th long, h array<long>, n array<int>").dropDuplicates(["id", "th"]))
-    each = lines.select("id", "th", F.explode(F.arrays_zip("h", "n")).alias("x")).where(F.col("x.n") > 0).select("id", "th", F.col("x.h").alias("line"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = np.r_[0, np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+            first, _, key = runs(b.column(2).flatten().to_numpy().view(np.uint64), b.column(3).flatten().to_numpy().astype(np.int64), row, min_words)
+            owner = np.searchsorted(row, first, "right") - 1
+            order = np.lexsort((key, owner))
+            owner, key = owner[order], key[order]
+            new = np.r_[True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])][:len(key)]
+            owner, key = pa.array(owner[new]), W.signed(key[new])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), pa.array(key)], ["id", "th", "line"])
+
+    each = lines.mapInArrow(keys, f"id {kind}, th long, line long")
     first = each.groupBy("line").agg(F.min(F.struct("id", "th")).alias("first"), F.max("id").alias("last")).where("first.id < last")
     pairs = (each.join(first.select("line", "first"), "line").where("first.id < id")
              .select(F.col("first.id").alias("pid"), F.col("first.th").alias("pth"), "id", "th").distinct())
@@ -134,7 +187,7 @@ def deleted_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
         for b in batches:
             gone, size = [], []
             for h, n, ph in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                own = blocks(align(ph, h), n, min_words)
+                own = shared(ph, h, n, min_words)
                 gone += own
                 size.append(len(own))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in b.column(2)], pa.int32()), lists(np.array(gone, np.int32), np.array(size, np.int64))],

@@ -148,6 +148,33 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_repeated_and_moved_lines(spark):
+    def brute(texts, least):
+        lines = {d: t.split("\n") for d, t in texts}
+        out = {}
+        for d, b in lines.items():
+            gone = set()
+            for c, a in lines.items():
+                for i in range(len(a)):
+                    for j in range(len(b)):
+                        k = 0
+                        while c < d and i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                            k += 1
+                        if sum(len(BLANK.findall(x)) for x in b[j:j + k]) >= least:
+                            gone |= set(range(j, j + k))
+            out[d] = "\n".join(x for j, x in enumerate(b) if j not in gone)
+        return out
+    head, foot = "the header that every page of it has", "and a footer line of the same kind"
+    texts = [(1, f"{head}\nfirst\n{head}\n{foot}"), (2, f"{foot}\nsecond\n{head}\nsecond part\n{head}"), (3, f"{L2}\nx\n{L1}"), (4, f"{L1}\ny\n{L2}\nz\n{L2}"),
+             (5, "a b"), (6, "c d e"), (7, "p\na b\nc d e\n\nq"), (8, "r\na b\nc d e\n\ns")]
+    rng = np.random.default_rng(5)
+    pool = [head, foot, "", " ", "one", "two words", "now three words", "four words in it", "k", "m"]
+    texts += [(100 + i, "\n".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 12)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute(texts, 5)
+    assert got[2] == "second\nsecond part" and got[4] == "y\nz" and got[8] == "r\ns"
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(TEXTS) and bag(map(tuple, rows)) == bag(map(tuple, mixing.mix(docs).collect()))
