@@ -229,6 +229,28 @@ def test_license_scan(docs, none):
     assert license_scan.license_scan(none).count() == 0
 
 
+def test_license_scan_inside_documents(spark):
+    templates = license_scan.default_templates()
+    cut = {name: re.sub(r"(?<=[.:]) ", "\n\n", text) for name, text in license_scan.TEXTS.items()}
+    texts = [(name, f"{P1}\n\n{text}\n\n{P2}") for name, text in cut.items()]
+    texts += [("MIT", "Copyright 2020 Foo Inc. Released under the MIT License. See the file for details.")]
+    texts += [(name, f"{P1} {text} {P2}") for name, text in license_scan.BODIES + license_scan.HEADERS]
+    noted = " ".join(x if k % 18 else f"{x}\n\nnote{k}" for k, x in enumerate(license_scan.TEXTS["MIT"].split()))
+    texts += [("MIT", noted), (None, P1)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    sets = [(n, {tuple(w[i:i + 2]) for i in range(len(w) - 1)}, len(w)) for n, w in ((n, ALNUM.findall(lower(t))) for n, t in templates)]
+    for r in license_scan.license_scan(df).collect():
+        name, text = texts[r.doc_id]
+        assert r.license == name and (name is None or r.dice > 0.9), (r.doc_id, name, r.license, r.dice)
+        words = ALNUM.findall(lower(text))
+        best = 0.0
+        for _, own, size in sets:
+            for i in range(len(words) - size + 1):
+                win = {tuple(words[j:j + 2]) for j in range(i, i + size - 1)}
+                best = max(best, 2 * len(win & own) / (len(win) + len(own)))
+        assert (r.dice or 0.0) >= (best if best >= 0.9 else 0.0) - 1e-12
+
+
 def _bigrams(text):
     buf = np.frombuffer(text.encode(), np.uint8)
     return license_scan.bigrams(buf, np.array([0, len(buf)]))[0]
