@@ -1,7 +1,8 @@
 """Main text of HTML pages: boosted trees over DOM nodes, decoded along the tree.
 
 A page becomes a tree of its block elements (inline elements only matter for
-links and white space; scripts, styles, forms and the like never give text).
+links and white space; scripts, styles and the like never give text; an open
+head ends where anything begins that cannot be in a head).
 Every node has features of its subtree (text, tags, density, share of links),
 its tag and attribute tokens, its depth and place, and its siblings.  A
 gradient-boosted tree model gives each node the log odds of being main text.
@@ -39,10 +40,12 @@ from matfold.llm.common import column_type, lists, prepare, saved
 # Names of HTML elements by their role, and telling attribute tokens.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template textarea title iframe svg math object select button canvas video audio noframes noembed xmp datalist head form".split())
+SILENT = frozenset("script style noscript template textarea title iframe svg math object select button canvas video audio noframes noembed xmp datalist".split())
 RAW = frozenset("script style textarea title iframe noframes noembed xmp noscript".split())
+HEAD = frozenset("head title meta link script style base basefont bgsound noscript template".split())
 BAD_TAGS = frozenset("nav header footer aside menu dialog".split())
 GOOD_TAGS = frozenset("article main".split())
+CONTROLS = frozenset("button select textarea fieldset legend".split())
 ENDS_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 BAD_WORDS = frozenset("""ad ads adv advert advertisement advertising adbox banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice
 alert nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar side rail widget related recommended share sharing social footer header masthead
@@ -58,7 +61,7 @@ CAMEL = re.compile(r"([a-z])([A-Z])")
 MARGIN = 1.0
 
 FEATURES = ["text", "own_text", "tags", "density", "link_share", "depth", "start", "parent_share", "siblings", "place", "same_siblings", "sibling_text",
-            "sentences", "blocks", "bad_tag", "good_tag", "bad_words", "good_words", "in_bad", "in_good", "paragraph", "heading", "item"]
+            "sentences", "blocks", "bad_tag", "good_tag", "bad_words", "good_words", "in_bad", "in_good", "paragraph", "heading", "item", "form", "in_form", "controls"]
 
 
 @dataclass
@@ -75,6 +78,7 @@ class Dom:
     first: list[int]
     n_blocks: list[int]
     blocks: list[tuple[int, str]]
+    controls: list[int]
 
 
 def attribute_words(attrs: str) -> tuple[int, int]:
@@ -89,7 +93,7 @@ def attribute_words(attrs: str) -> tuple[int, int]:
 
 def parse(page: str) -> Dom:
     """Element tree and text blocks of a page; unclosed elements end where their parent does."""
-    d = Dom(["#page"], [-1], [0], [0], [0], [0], [0], [0], [0], [0], [])
+    d = Dom(["#page"], [-1], [0], [0], [0], [0], [0], [0], [0], [0], [], [0])
     stack: list[tuple[str, int]] = [("#page", 0)]  # (tag, node that its text belongs to)
     piece: list[str] = []  # raw text of the block that is open
     links, silent, chars = 0, 0, 0
@@ -125,6 +129,11 @@ def parse(page: str) -> Dom:
         elif tag not in INLINE:
             flush(node)
 
+    def end_head() -> None:
+        place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "head"), len(stack))
+        while len(stack) > place:
+            pop()
+
     at = 0
     for m in TOKEN.finditer(page):
         begin = m.start()
@@ -132,6 +141,8 @@ def parse(page: str) -> Dom:
             continue
         if begin > at and not silent:
             text = page[at:begin]
+            if stack[-1][0] == "head" and text.strip():
+                end_head()
             piece.append(text)
             linked.append((links > 0, text))
         at = m.end()
@@ -150,8 +161,11 @@ def parse(page: str) -> Dom:
             while len(stack) > place:
                 pop()
             continue
+        if tag not in HEAD and not silent:
+            end_head()
         if tag in INLINE:
             d.tags[stack[-1][1]] += 1
+            d.controls[stack[-1][1]] += tag == "label"
             if tag in ("br", "wbr", "img"):
                 if tag == "br" and not silent:
                     piece.append(" ")
@@ -173,6 +187,7 @@ def parse(page: str) -> Dom:
         parent = stack[-1][1]
         if tag in VOID:
             d.tags[parent] += 1
+            d.controls[parent] += tag == "input"
             continue
         attrs = m[3]
         bad, good = attribute_words(attrs) if "=" in attrs else (0, 0)
@@ -183,6 +198,7 @@ def parse(page: str) -> Dom:
         for x in (d.own, d.link, d.ends, d.n_blocks):
             x.append(0)
         d.tags.append(1)
+        d.controls.append(int(tag in CONTROLS))
         d.first.append(chars)
         stack.append((tag, len(d.tag) - 1))
         if tag in SILENT:
@@ -204,7 +220,7 @@ def features(d: Dom) -> np.ndarray:
     """One row of ``FEATURES`` per node."""
     n = len(d.tag)
     parent = d.parent
-    text, tags, link, ends, blocks = (list(x) for x in (d.own, d.tags, d.link, d.ends, d.n_blocks))
+    text, tags, link, ends, blocks, controls = (list(x) for x in (d.own, d.tags, d.link, d.ends, d.n_blocks, d.controls))
     for i in range(n - 1, 0, -1):
         p = parent[i]
         text[p] += text[i]
@@ -212,7 +228,8 @@ def features(d: Dom) -> np.ndarray:
         link[p] += link[i]
         ends[p] += ends[i]
         blocks[p] += blocks[i]
-    depth, in_bad, in_good = [0] * n, [0] * n, [0] * n
+        controls[p] += controls[i]
+    depth, in_bad, in_good, in_form = [0] * n, [0] * n, [0] * n, [0] * n
     children, same = [0] * n, {}
     place = [0] * n
     for i in range(1, n):
@@ -220,6 +237,7 @@ def features(d: Dom) -> np.ndarray:
         depth[i] = depth[p] + 1
         in_bad[i] = in_bad[p] or int(d.tag[i] in BAD_TAGS or d.bad[i] > 0)
         in_good[i] = in_good[p] or int(d.tag[i] in GOOD_TAGS or d.good[i] > 0)
+        in_form[i] = in_form[p] or int(d.tag[i] == "form")
         place[i] = children[p]
         children[p] += 1
         key = (p, d.tag[i])
@@ -247,6 +265,8 @@ def features(d: Dom) -> np.ndarray:
     x[:, 20] = [v in ("p", "blockquote", "pre") for v in d.tag]
     x[:, 21] = [len(v) == 2 and v[0] == "h" and v[1].isdigit() for v in d.tag]
     x[:, 22] = [v in ("li", "dd", "dt", "td", "th", "option") for v in d.tag]
+    x[:, 23], x[:, 24] = [v == "form" for v in d.tag], in_form
+    x[:, 25] = np.array(controls) / np.maximum(g, 1)
     return x
 
 
@@ -308,14 +328,22 @@ def decode(d: Dom, odds: np.ndarray) -> np.ndarray:
 
 
 def weak_labels(d: Dom) -> np.ndarray:
-    """1 main, 0 other, by what the markup says: other inside a telling element, main inside article or main."""
+    """1 main, 0 other, by what the markup says: other inside a telling element, main inside article or main.
+
+    A form is as its surroundings if it is laid around an article or main or
+    holds half of the page's text; otherwise it is other.
+    """
     out = np.zeros(len(d.tag))
+    text, holds = d.own[:], [t in GOOD_TAGS for t in d.tag]
+    for i in range(len(d.tag) - 1, 0, -1):
+        text[d.parent[i]] += text[i]
+        holds[d.parent[i]] |= holds[i]
     named = any(t in GOOD_TAGS for t in d.tag)
     inside = [not named] * len(d.tag)
     for i in range(1, len(d.tag)):
         p = d.parent[i]
         inside[i] = inside[p] or d.tag[i] in GOOD_TAGS
-        out[i] = -1 if out[p] == -1 or d.tag[i] in BAD_TAGS or d.bad[i] else float(inside[i])
+        out[i] = -1 if out[p] == -1 or d.tag[i] in BAD_TAGS or d.bad[i] or d.tag[i] == "form" and not holds[i] and 2 * text[i] < text[0] else float(inside[i])
     # an element on the way to main text is main as well, so that decoding can reach it
     for i in range(len(d.tag) - 1, 0, -1):
         if out[i] == 1 and out[d.parent[i]] == 0:
@@ -339,6 +367,10 @@ def variants(page: str) -> list[str]:
     laid = re.sub(r"<p[^>]*>([^<]*)</p>", lambda m: kinds[next(count) % 6].format(m[1]), page)
     laid = re.sub(r"(?i)<article[^>]*>", lambda m: m[0] + "<div><section>", laid)
     laid = re.sub(r"(?i)</article>", "</section>" + put[(k + 4) % 5] + "</div></article>", laid)
+    asked = f'<form action="#"><label>{pick(k + 4)[:30]}</label><input name="q"><p>{pick(k + 2)[:60]}</p><button>{pick(k)[:10]}</button></form>'
+    inner = re.sub(r"(?i)</article>", lambda m: asked + m[0], inner)
+    outer = re.sub(r"(?i)<body[^>]*>", lambda m: m[0] + '<form action="#"><input type="hidden">', outer) if k % 2 else asked.join(re.split(r"(?i)(?=<article)", outer, maxsplit=1))
+    laid = re.sub(r"(?i)<article[^>]*>", lambda m: m[0] + '<form action="#">', laid) if k % 3 == 0 else laid
     return [page, inner, outer, laid]
 
 

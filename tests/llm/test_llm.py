@@ -298,6 +298,22 @@ def test_html_extraction(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_extraction_of_open_heads_and_forms(spark):
+    text = "some longer sentence of the story, which goes on. And on it goes for a while."
+    asked = '<form action="/s"><label>Search the site</label><input name="q"><button>Go</button></form>'
+    pages = []
+    for i in range(60):
+        page = PAGE.format(f"{i} " + text * (1 + i % 4))
+        pages.append([page, page.replace("</head>", ""), page.replace("</head><body>", ""), page.replace("<body>", '<body><form method="post"><input type="hidden">').replace("</footer>", "</footer></form>"),
+                      page.replace("<article>", '<form action="#"><article>'), page.replace("<article>", asked + "<article>"), page.replace("</article>", asked + "</article>")][i % 7])
+    df = spark.createDataFrame([(i, f"u{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for r in html_extract.extract(df).collect():
+        t = f"{r.page_id} " + text * (1 + r.page_id % 4)
+        assert r.text == f"Title of it First & {t} second. Para {t}", (r.page_id % 7, r.text)
+    d = html_extract.parse("<html><head><title>t</title>text <b>of</b> the body<p>more")
+    assert [t for _, t in d.blocks] == ["text of the body", "more"]
+
+
 def test_decoding_has_no_contradictions():
     d = html_extract.parse(PAGE.format("x"))
     keep = html_extract.decode(d, np.random.default_rng(3).normal(size=len(d.tag)))
