@@ -12,7 +12,7 @@ one of the highest sum of log odds (weighted by the node's own text) is taken,
 by one pass from the leaves and one from the root.  So no kept node sits in a
 dropped one.
 
-The model is trained on a bounded sample of the pages themselves, labelled by
+The model is trained on a bounded sample of the distinct pages themselves, labelled by
 what their markup says outright (article and main against nav, footer, aside,
 telling class and id tokens).  Each sample page is also used with menus,
 sidebars, notices, adverts, forms and comments made of its own text put in,
@@ -23,8 +23,8 @@ the trees learn text features besides names.
 from __future__ import annotations
 
 import html
-import math
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -383,10 +383,10 @@ def hidden_names(x: np.ndarray) -> np.ndarray:
 
 
 def train(pages: DataFrame, id_col: str, html_col: str, sample: int, trees: int, depth: int) -> Trees:
-    """Fit on about ``sample`` pages, chosen by a hash of id and page."""
-    total = pages.count()
-    some = pages.select(F.col(html_col).cast("string").alias("h")).where("h is not null")
-    some = some.where(F.pmod(F.xxhash64("h"), F.lit(max(1, math.ceil(total / sample)))) == 0)
+    """Fit on the ``sample`` distinct pages of the smallest hashes (all, if there are fewer)."""
+    every = pages.select(F.col(html_col).cast("string").alias("h")).where("h is not null").select(F.xxhash64("h").alias("k"), "h")
+    chosen = [r.k for r in every.select("k").distinct().orderBy("k").limit(sample).collect()]
+    some = every.where(F.col("k").isin(chosen)).groupBy("k").agg(F.min("h").alias("h")).select("h")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -403,6 +403,8 @@ def train(pages: DataFrame, id_col: str, html_col: str, sample: int, trees: int,
 
     nodes = saved(some.mapInArrow(rows, "x array<double>, label double"))
     if nodes.agg(F.countDistinct("label")).first()[0] < 2:  # nothing to learn: trust the names alone
+        if chosen:
+            warnings.warn(f"no model can be fitted on {len(chosen)} distinct pages (one label only); nodes are judged by names alone", stacklevel=3)
         name = FEATURES.index("in_bad")
         return Trees([(1.0, [(name, 0.5, 1, 2, 0.0), (0, 0.0, 1, 1, 1.0), (0, 0.0, 2, 2, -1.0)])])
     data = nodes.select(array_to_vector("x").alias("features"), "label").coalesce(4).cache()
@@ -425,8 +427,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages give the empty text; broken markup is read as far as
     it goes; repeated rows give repeated results; extra columns are ignored;
-    an empty table gives an empty result.  At most about ``sample`` pages train
-    the model, every page is extracted whole.
+    an empty table gives an empty result.  At most ``sample`` distinct pages train
+    the model, every page is extracted whole; a warning says if no model can be
+    fitted, and names alone decide then.
     """
     spark = pages.sparkSession
     prepare(spark)

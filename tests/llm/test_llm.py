@@ -314,6 +314,20 @@ def test_html_extraction_of_open_heads_and_forms(spark):
     assert [t for _, t in d.blocks] == ["text of the body", "more"]
 
 
+def test_html_training_sample_is_of_distinct_pages(spark, monkeypatch):
+    page = PAGE.format("some longer sentence of the story, which goes on. ")
+    rows = [(i, "u", page if i % 2 else page.replace("Home", f"Home {i % 5}")) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    trained = []
+    monkeypatch.setattr(html_extract, "saved", lambda nodes: trained.append(nodes.count()) or nodes)
+    html_extract.train(df, "page_id", "html", 4, 2, 2)
+    html_extract.train(df.dropDuplicates(["html"]), "page_id", "html", 4, 2, 2)
+    html_extract.train(df.where("page_id = 1"), "page_id", "html", 4, 2, 2)
+    assert trained[0] == trained[1] and 3 * trained[2] < trained[0] < 5 * trained[2]
+    with pytest.warns(UserWarning, match="no model"):
+        html_extract.train(spark.createDataFrame([(1, "u", "only text")], "page_id long, url string, html string"), "page_id", "html", 4, 2, 2)
+
+
 def test_decoding_has_no_contradictions():
     d = html_extract.parse(PAGE.format("x"))
     keep = html_extract.decode(d, np.random.default_rng(3).normal(size=len(d.tag)))
