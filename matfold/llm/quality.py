@@ -13,9 +13,12 @@ aggregations; each batch gets back the entries of its own n-grams and scores
 its documents.  No task holds the whole model, and a frequent n-gram reaches
 its shard once per batch.
 
-A document is kept if its perplexity is at most the given quantile of the
-held-out trusted documents of its language; languages without any use the
-quantile over all languages; without trusted documents all are kept.
+A document is kept if its perplexity is at most the edge of its language: the
+given quantile of the n held-out trusted documents of the language, shrunk
+towards their mean plus a margin from the spread pooled over all languages (the
+prediction limit, wider by 1 / n).  The quantile's own weight is n of
+n + 1 / (1 - quantile).  Without held-out documents of a language the margin has
+no bound, so all of its documents are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -274,6 +278,24 @@ def log_probability(grams: np.ndarray, keys: np.ndarray, alpha: np.ndarray, lam:
     return np.log(np.maximum(p, 1e-12))
 
 
+def student(quantile: float, df: float) -> float:
+    """Quantile of Student's t (series around the normal one, close from some 3 degrees of freedom on)."""
+    z = NormalDist().inv_cdf(min(max(quantile, 1e-9), 1 - 1e-9))
+    return z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
+
+
+def edges(known: DataFrame, quantile: float) -> DataFrame:
+    """(key, edge) from (key, rate) of held-out trusted documents; null where no language has two of them."""
+    by_key = known.groupBy("key").agg(F.percentile_approx("rate", quantile, 100000).alias("own"), F.count("*").alias("n"), F.avg("rate").alias("mean"),
+                                      F.coalesce(F.var_samp("rate"), F.lit(0.0)).alias("var"))
+    df, squares = by_key.agg(F.sum(F.col("n") - 1), F.sum((F.col("n") - 1) * F.col("var"))).first()
+    if not df:
+        return by_key.select("key", F.lit(None).cast("double").alias("edge"))
+    reach = student(quantile, df) * math.sqrt(squares / df)
+    weight = F.col("n") / (F.col("n") + F.lit(1 / max(1 - quantile, 1e-9)))
+    return by_key.select("key", (weight * F.col("own") + (1 - weight) * (F.col("mean") + F.lit(reach) * F.sqrt(1 + 1 / F.col("n")))).alias("edge"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
     """Per row: (id, lang, th, n_chars, perplexity, threshold, keep).
@@ -291,13 +313,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, id_col
     scored = scored.withColumn("rate", F.when(F.col("n_chars") > 0, F.col("nats") / F.col("n_chars")))
     key = F.when(F.col("lang").isNull(), F.lit("n")).otherwise(F.concat(F.lit("l"), F.col("lang").cast("string")))
     known = scored.withColumn("key", key).join(trusted.where("held").select("id"), "id").where("rate is not null")
-    edge = F.percentile_approx("rate", quantile, 100000)
-    by_lang = known.groupBy("key").agg(edge.alias("edge"))
-    overall = known.agg(edge.alias("e")).first()["e"]
-    out = scored.withColumn("key", key).join(by_lang, "key", "left")
-    limit = F.coalesce("edge", F.lit(overall).cast("double"))
-    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "th", "n_chars", F.exp("rate").alias("perplexity"), F.exp(limit).alias("threshold"),
-                      F.coalesce(F.col("rate") <= limit, F.lit(True)).alias("keep"))
+    out = scored.withColumn("key", key).join(edges(known, quantile), "key", "left")
+    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "th", "n_chars", F.exp("rate").alias("perplexity"), F.exp("edge").alias("threshold"),
+                      F.coalesce(F.col("rate") <= F.col("edge"), F.lit(True)).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, id_col: str = "doc_id", text_col: str = "text",

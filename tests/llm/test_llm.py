@@ -282,6 +282,24 @@ def test_quality(spark, docs, none):
     assert 0.9 < p.sum() <= 1.0 + 1e-9
 
 
+def test_quality_of_thin_languages(spark):
+    rng = np.random.default_rng(6)
+    size = {"l0": 3000, **{f"l{i}": 1 + i % 3 for i in range(1, 61)}}
+    level = {k: 1 + rng.random() for k in size}
+    known = spark.createDataFrame([(k, float(x)) for k, n in size.items() for x in level[k] + 0.1 * rng.normal(size=n)], "key string, rate double")
+    edge = {r.key: r.edge for r in quality.edges(known, 0.998).collect()}
+    lost = np.mean([(level[k] + 0.1 * rng.normal(size=100) > edge[k]).mean() for k in size])
+    assert lost < 0.02 and all(edge[k] < level[k] + 1 for k in size)
+    assert abs(edge["l0"] - level["l0"] - 0.288) < 0.05
+    assert quality.edges(known.where("key = 'l1'").limit(1), 0.998).first().edge is None
+    words = [f"word{i}" for i in range(50)]
+    text = lambda: " ".join(words[k] for k in rng.integers(0, 50, 30))
+    rows = [(i, text(), "en") for i in range(200)] + [(1000 + i, "".join(chr(0x4E00 + k) for k in rng.integers(0, 900, 60)), "zz" if i % 2 else None) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    out = quality.classify(spark.createDataFrame(rows + [(999, "@#~ " * 30, "en")], "doc_id long, text string, lang string"), labels).collect()
+    assert all(r.keep for r in out if r.lang != "en") and [r.keep for r in out if r.doc_id == 999] == [False]
+
+
 PAGE = ("<html><head><title>t</title><script>var x='</p>';</script></head><body><header class=top><a href=/>Home</a></header><nav><ul><li><a href=/a>menu</a></li></ul></nav>"
         "<div class=\"ad\">Buy this now.</div><article><h1>Title  of&nbsp;it</h1><p><b>First &amp; {0}<br>second.<p>Para {0}</p></article><div class='comments'><p>nice post</p></div><footer>&copy; us</footer>")
 
