@@ -1,10 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against all indexed documents.
+"""Substring dedup by exact lookup of every window of words in all documents.
 
-Each document is factored greedily against the text of all documents with a
-smaller id: from a word on, a factor grows while the words match one indexed
-reference; factors of at least ``window`` words are duplicate spans.  At the
-border of two factors every window that straddles it is looked up by itself,
-so that a span which greedy factors cut is found as well.
+A word goes if it is in a window of ``window`` words that a document with a
+smaller id holds too.  This takes the place of a greedy relative Lempel-Ziv
+parse: a greedy factor follows one reference and can cut a duplicate span at its
+border, so that all windows there have to be looked up anyway.  Runs of
+windows found in one source are given as ``factors``; they are labels made
+from the result and do not lead to it.
 
 The index is built in blocks (packs) and sharded by hash:
 
@@ -15,7 +16,7 @@ The index is built in blocks (packs) and sharded by hash:
 2. index: windows with such an anchor go, again once per pack, to their shards
    with the smallest id that has them in the pack; a shard answers each pack
    with the windows that a smaller id of another pack has, and that id.
-3. parse: each pack factors its documents against the answers and its own rows.
+3. cover: each pack looks up the windows of its documents in the answers and its own rows.
 
 A frequent passage reaches a shard once per pack, not once per document.
 Windows are told apart by 64-bit hashes.
@@ -181,7 +182,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, shingle: int = 5, id_col:
         np.add.at(cover, start, 1)
         np.add.at(cover, start + window, -1)
         gone = np.cumsum(cover[:n]) > 0
-        # greedy factors: windows that follow each other in one source
+        # factors: windows that follow each other in one source (labels only)
         lead = np.r_[True, (start[1:] != start[:-1] + 1) | (source[1:] != source[:-1])] if len(start) else np.zeros(0, bool)
         lead[1:] |= w.owner[start[1:]] != w.owner[start[:-1]]
         begin = np.flatnonzero(lead)
