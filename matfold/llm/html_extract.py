@@ -331,7 +331,8 @@ def weak_labels(d: Dom) -> np.ndarray:
     """1 main, 0 other, by what the markup says: other inside a telling element, main inside article or main.
 
     A form is as its surroundings if it is laid around an article or main or
-    holds half of the page's text; otherwise it is other.
+    holds half of the text of the article or main (or page) around it; otherwise
+    it is other.
     """
     out = np.zeros(len(d.tag))
     text, holds = d.own[:], [t in GOOD_TAGS for t in d.tag]
@@ -340,10 +341,12 @@ def weak_labels(d: Dom) -> np.ndarray:
         holds[d.parent[i]] |= holds[i]
     named = any(t in GOOD_TAGS for t in d.tag)
     inside = [not named] * len(d.tag)
+    around = [0] * len(d.tag)  # the article, main or page that a node is in
     for i in range(1, len(d.tag)):
         p = d.parent[i]
+        around[i] = p if d.tag[p] in GOOD_TAGS else around[p]
         inside[i] = inside[p] or d.tag[i] in GOOD_TAGS
-        out[i] = -1 if out[p] == -1 or d.tag[i] in BAD_TAGS or d.bad[i] or d.tag[i] == "form" and not holds[i] and 2 * text[i] < text[0] else float(inside[i])
+        out[i] = -1 if out[p] == -1 or d.tag[i] in BAD_TAGS or d.bad[i] or d.tag[i] == "form" and not holds[i] and 2 * text[i] < text[around[i]] else float(inside[i])
     # an element on the way to main text is main as well, so that decoding can reach it
     for i in range(len(d.tag) - 1, 0, -1):
         if out[i] == 1 and out[d.parent[i]] == 0:
