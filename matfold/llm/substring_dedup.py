@@ -66,7 +66,7 @@ def _reply(packs: np.ndarray, keys: np.ndarray, **columns: np.ndarray) -> pa.Tab
     order = np.lexsort((keys, packs))
     packs, keys = packs[order], keys[order]
     cut = np.flatnonzero(np.r_[True, packs[1:] != packs[:-1]]) if len(packs) else np.zeros(0, np.int64)
-    end = np.r_[cut[1:], len(packs)]
+    end = np.r_[cut[1:], len(packs)][:len(cut)]
     data = {"pack": pa.array(packs[cut], pa.int64()), "keys": binary([keys[a:b] for a, b in zip(cut, end, strict=True)])}
     columns = {c: v[order] for c, v in columns.items()}
     return pa.table(data | {c: binary([v[a:b] for a, b in zip(cut, end, strict=True)]) for c, v in columns.items()})

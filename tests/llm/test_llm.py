@@ -372,3 +372,18 @@ def test_pipeline_stages_keep_the_columns(spark):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
         assert 0.6 * docs.count() <= out.count() <= docs.count()
+
+
+def test_substring_dedup_without_duplicates(spark):
+    clean = " ".join(f"w{k}" for k in range(40))
+    for docs, removed in (([(1, clean), (2, " ".join(f"v{k}" for k in range(40)))], [0, 0]),  # no shared anchor at all
+                          ([(1, clean), (2, clean)], [0, 40]), ([(1, "short")], [0])):  # one pack
+        out = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id").collect()
+        assert [r.n_removed for r in out] == removed
+    # several shards, one of them with nothing to tell
+    shards, substring_dedup.SHARD_WORDS = substring_dedup.SHARD_WORDS, 20
+    try:
+        out = substring_dedup.substring_dedup(spark.createDataFrame([(1, clean), (2, clean), (3, "a b")], "doc_id long, text string").repartition(3))
+        assert sorted((r.doc_id, r.n_removed) for r in out.collect()) == [(1, 0), (2, 40), (3, 0)]
+    finally:
+        substring_dedup.SHARD_WORDS = shards
