@@ -102,3 +102,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matfold.llm.html_extract import extract
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matfold.llm.spelling import spelling_variants
+    return spelling_variants(table(spark, sf_dir, "documents"))
