@@ -108,3 +108,9 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matfold.llm.spelling import spelling_variants
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matfold.llm.conversation_repair import repair_damaged
+    return repair_damaged(table(spark, sf_dir, "conversations"))
