@@ -114,3 +114,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matfold.llm.conversation_repair import repair_damaged
     return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matfold.llm.suffix_dedup import suffix_dedup
+    found = suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
