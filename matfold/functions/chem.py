@@ -68,24 +68,34 @@ def letter_frequencies(c: ColumnLike, letters: str = AMINO_ACIDS) -> list[Column
             for ch in letters]
 
 
+#: Parts of a structure string: a two-digit ring label, a bracket atom, any other character.
+STRUCTURE_TOKEN = r"(%[0-9][0-9]|\[[^\[\]]*\]|.)"
+
+
 def structure_problem(c: ColumnLike) -> Column:
     """Reason a structure string is rejected, or null when it passes.
 
-    Syntax rules only: blank, illegal characters, unbalanced round or square
-    brackets, an odd count of some ring-closure digit.
+    Syntax rules only: blank, illegal characters, then one fold over the string's
+    parts with the depth of branches and the open ring labels as its state.  A
+    branch must not close before it opens, a square bracket must enclose an atom
+    (nothing inside it counts), and each ring label - a digit, or ``%`` and two
+    digits - must be closed.
     """
     s = py_strip(col_of(c))
-    opens = F.length(s) - F.length(F.replace(s, F.lit("("), F.lit("")))
-    closes = F.length(s) - F.length(F.replace(s, F.lit(")"), F.lit("")))
-    sq_open = F.length(s) - F.length(F.replace(s, F.lit("["), F.lit("")))
-    sq_close = F.length(s) - F.length(F.replace(s, F.lit("]"), F.lit("")))
-    outside = F.regexp_replace(s, r"\[[^\]]*\]", "")
-    odd_ring = F.lit(False)
-    for d in "123456789":
-        cnt = F.length(outside) - F.length(F.replace(outside, F.lit(d), F.lit("")))
-        odd_ring = odd_ring | (cnt % 2 == 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("early"), F.lit(False).alias("square"), F.array().cast("array<int>").alias("rings"))
+
+    def step(state: Column, x: Column) -> Column:
+        depth = state["depth"] + F.when(x == "(", 1).when(x == ")", -1).otherwise(0)
+        label = F.when(x.rlike("^[0-9]$"), x.cast("int")).when(x == "%", -1).when(x.startswith("%"), F.substring(x, 2, 2).cast("int"))
+        rings = state["rings"]
+        return F.struct(depth.alias("depth"), (state["early"] | (depth < 0)).alias("early"), (state["square"] | x.isin("[", "]", "[]")).alias("square"),
+                        F.when(label.isNull(), rings).when(F.array_contains(rings, label), F.array_remove(rings, label))
+                        .otherwise(F.array_append(rings, label)).alias("rings"))
+
+    end = F.aggregate(F.regexp_extract_all(s, F.lit(STRUCTURE_TOKEN), F.lit(1)), start, step, lambda state: F.when(
+        state["early"] | (state["depth"] != 0), F.lit("unbalanced parentheses"))
+        .when(state["square"], F.lit("unbalanced brackets"))
+        .when(F.size(state["rings"]) > 0, F.lit("unpaired ring closure")))
     return (F.when(is_blank(s), F.lit("blank"))
             .when(~s.rlike(STRUCTURE_CHARS), F.lit("illegal character"))
-            .when(opens != closes, F.lit("unbalanced parentheses"))
-            .when(sq_open != sq_close, F.lit("unbalanced brackets"))
-            .when(odd_ring, F.lit("unpaired ring closure")))
+            .otherwise(end))

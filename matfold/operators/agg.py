@@ -13,9 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from matfold.functions._util import ColumnLike, col_of
 from matfold.functions.text import is_blank
+from matfold.session import ensure_checkpoint_dir
 
 
 def score_stats(value: ColumnLike, prefix: str) -> list[Column]:
@@ -95,26 +97,60 @@ def table_meta(df: DataFrame) -> dict:
     return {"columns": list(df.columns), "nrows": df.count()}
 
 
-def exact_median(df: DataFrame, key: str, value: str, out: str = "median") -> DataFrame:
-    """Exact per-key median (mean of the two middle values for even counts).
+def _ordered_bits(value: ColumnLike) -> Column:
+    """A double's bits as a long that orders like the double (-0.0 as 0.0, NaN last)."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), col_of(value) + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
 
-    Rows are first counted per (key, value) - combined map-side - so a key
-    holding a third of the rows contributes one row per distinct value.  A
-    running count over those distinct values (sorted per key, spillable)
-    locates the middle positions.  Keys without any non-null value are
-    absent from the result.
+
+#: Bits of an ordered double that one round of ``grouped_medians`` tells apart.
+MEDIAN_BITS = 16
+
+
+def grouped_medians(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Exact per-key medians of several columns (mean of the two middle values).
+
+    Radix selection: counts per (key, column, high bits of the value) locate the
+    bucket of each middle rank; the rows of unfinished buckets alone are counted
+    again by the next bits.  A bucket whose smallest and largest value agree is
+    finished, and four rounds always are enough.  Only counts are shuffled, a
+    key's histogram has at most 2^16 rows a round, so a key with a third of the
+    rows and all values distinct costs no task more than its input.  Null keys are
+    a group; a column without values has a null median.
     """
-    from pyspark.sql.window import Window
-    counts = (df.where(F.col(value).isNotNull())
-                .groupBy(key, value).agg(F.count(F.lit(1)).alias("_c")))
-    upto = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
-    cum = counts.select(key, value, "_c", F.sum("_c").over(upto).alias("_cum"),
-                        F.sum("_c").over(whole).alias("_n"))
-    lo = F.floor((F.col("_n") + 1) / 2)
-    hi = F.floor(F.col("_n") / 2) + 1
-    start = F.col("_cum") - F.col("_c")
-    picked = cum.groupBy(key).agg(
-        F.max(F.when((start < lo) & (lo <= F.col("_cum")), F.col(value))).alias("_lo"),
-        F.max(F.when((start < hi) & (hi <= F.col("_cum")), F.col(value))).alias("_hi"))
-    return picked.select(key, ((F.col("_lo") + F.col("_hi")) / 2).alias(out))
+    ensure_checkpoint_dir(df.sparkSession)
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(v).cast("double").alias("_v")) for i, v in enumerate(values)]))
+    long = df.select(F.col(key).alias("_key"), each).where("_v IS NOT NULL")
+    long = long.withColumn("_o", _ordered_bits("_v")).checkpoint()
+    group = ["_key", "_c", "_prefix"]
+    rows, found, wanted = long.withColumn("_prefix", F.lit(0).cast("long")), [], None
+    for shift in range(64 - MEDIAN_BITS, -1, -MEDIAN_BITS):
+        hist = (rows.groupBy(*group, F.shiftright("_o", shift).alias("_b"))
+                .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+        whole = Window.partitionBy(*group)
+        upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        cum = hist.select("*", F.sum("_n").over(upto).alias("_cum"), F.sum("_n").over(whole).alias("_total"))
+        if wanted is None:
+            middle = F.array(F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1)
+            ranked = cum.select("*", F.posexplode(middle).alias("_which", "_rank"))
+        else:
+            w = wanted.select(*[F.col(c).alias(f"w{c}") for c in group], "_which", "_rank")
+            same = F.col("_key").eqNullSafe(F.col("w_key")) & (F.col("_c") == F.col("w_c")) & (F.col("_prefix") == F.col("w_prefix"))
+            ranked = cum.join(w, same)
+        start = F.col("_cum") - F.col("_n")
+        hit = (ranked.where((start < F.col("_rank")) & (F.col("_rank") <= F.col("_cum")))
+               .select("_key", "_c", F.col("_b").alias("_prefix"), "_which", (F.col("_rank") - start).alias("_rank"), "_lo", "_hi").checkpoint())
+        done = F.col("_lo").eqNullSafe(F.col("_hi"))
+        found.append(hit.where(done).select("_key", "_c", F.col("_lo").alias("_value")))
+        wanted = hit.where(~done)
+        if wanted.isEmpty():
+            break
+        open_ = wanted.select(F.col("_key").alias("w_key"), F.col("_c").alias("w_c"), F.col("_prefix").alias("w_prefix")).distinct()
+        rows = (long.join(open_, F.col("_key").eqNullSafe(F.col("w_key")) & (F.col("_c") == F.col("w_c"))
+                          & (F.shiftright("_o", shift) == F.col("w_prefix")))
+                .select("_key", "_c", "_v", "_o", F.col("w_prefix").alias("_prefix")))
+    middles = found[0]
+    for f in found[1:]:
+        middles = middles.unionByName(f)
+    medians = middles.groupBy("_key", "_c").agg(F.avg("_value").alias("_m"))
+    return medians.groupBy(F.col("_key").alias(key)).agg(*[F.max(F.when(F.col("_c") == i, F.col("_m"))).alias(v) for i, v in enumerate(values)])

@@ -1,19 +1,26 @@
-"""Exact k-nearest-neighbour regression (J13) without a cross join.
-
-Both sides are dealt into blocks of bounded size by a hash of the id, and each
-pair of a training block and a test block is one group of an Arrow-backed
-``applyInPandas``: every distance of the pair is computed exactly, and the k
-best by (distance, id) leave the task.  The candidates (k per test row and
-training block) are merged with a grouped top-k.  Nothing passes through the
-driver; total work is the unavoidable query x train distance count.
+"""Exact k-nearest-neighbour regression (J13) by pivots and the triangle inequality.
+
+A bounded number of training rows (those of smallest id hash) are pivots; every
+training row belongs to its nearest pivot's cell, and each cell knows its size and
+radius.  A query first searches its nearest cells until they hold k rows, which
+gives it an upper bound of its k-th distance; then it only visits the other cells
+that can hold a row within that bound (distance to the pivot less the radius).
+
+A cell is cut into blocks of at most ``block_rows`` training rows, and the queries of
+a cell into blocks too, so no group grows with the data; a training row is in one
+block and is copied only where more than a block of queries visit its cell.
+Distances are computed exactly, ranked by (distance, id); the results of the blocks
+are merged by a grouped top-k.  Nothing but the pivots passes through the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,46 +28,140 @@ from pyspark.sql.window import Window
 from matfold.session import ship_package
 
 BLOCK_ROWS = 4096
+#: Training rows per pivot, and the most pivots there are.
+PIVOT_ROWS, MAX_PIVOTS = 1024, 1024
+
+
+def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    if not len(arr):
+        return np.zeros((0, 0))
+    return np.asarray(arr.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(arr), -1)
+
+
+def _rows(df: DataFrame, id_col: str, vec_col: str, label_col: str | None) -> DataFrame:
+    label = F.col(label_col).cast("double") if label_col else F.lit(None).cast("double")
+    return (df.where(F.col(vec_col).isNotNull())
+            .select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), label.alias("label")))
+
+
+def _with_distances(rows: DataFrame, pivots: np.ndarray, nearest_only: bool) -> DataFrame:
+    """Each row with its nearest pivot and the distance, or with the distances of all pivots."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                t = b.slice(i, 1024)
+                X = _matrix(t.column(1))
+                d = np.sqrt(((X[:, None, :] - pivots[None, :, :]) ** 2).sum(2)) if len(X) * pivots.size < 1 << 24 else np.stack([np.sqrt(((pivots - x) ** 2).sum(1)) for x in X])
+                if nearest_only:
+                    cell = d.argmin(1)
+                    extra = [pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])]
+                else:
+                    extra = [pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * len(pivots)), pa.array(d.ravel()))]
+                yield pa.RecordBatch.from_arrays([*t.columns, *extra], [*t.schema.names, *(("cell", "far") if nearest_only else ("far",))])
+
+    tail = "cell int, far double" if nearest_only else "far array<double>"
+    return rows.mapInArrow(run, f"id long, vec array<double>, label double, {tail}")
+
+
+def _search(train: DataFrame, visits: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(test_id, train_id, dist, label): the k nearest rows of every (query, cell) visit."""
+    queries = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / block_rows), F.lit(1)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    sizes = train.groupBy("cell").agg(F.count(F.lit(1)).alias("held")).join(queries, "cell")
+    grid = sizes.select("cell", parts("held").alias("tbs"), parts("asked").alias("qbs"))
+    left = (train.join(grid, "cell").withColumn("tb", own(F.col("tbs")))
+            .select("cell", "tb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"), "id", "vec", "label"))
+    right = (visits.join(grid, "cell").withColumn("qb", own(F.col("qbs")))
+             .select("cell", F.explode(F.sequence(F.lit(0), F.col("tbs") - 1)).alias("tb"), "qb", "id", "vec"))
 
+    def nearest(base: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, X, y = base["id"].to_numpy(), _matrix(base["vec"]), base["label"].to_numpy()
+        kk = min(k, len(ids))
+        out: list[list] = [[], [], [], []]
+        if kk:
+            for i, v in zip(asked["id"].to_numpy(), _matrix(asked["vec"]), strict=True):
+                dist = ((X - v) ** 2).sum(axis=1)
+                near = np.flatnonzero(dist <= np.partition(dist, kk - 1)[kk - 1])  # ties included
+                near = near[np.lexsort((ids[near], dist[near]))[:kk]]
+                for column, part in zip(out, (np.full(len(near), i), ids[near], dist[near], y[near]), strict=True):
+                    column.append(part)
+        kinds = (np.int64, np.int64, np.float64, np.float64)
+        columns = [pa.array(np.concatenate(c) if c else np.zeros(0), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)] \
+            if all(out) else [pa.array(np.zeros(0, t)) for t in kinds]
+        return pa.table(columns, ["test_id", "train_id", "dist", "label"])
 
-def _vectors(col) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col]) if len(col) else np.zeros((0, 0))
+    return (left.groupBy("cell", "tb", "qb").cogroup(right.groupBy("cell", "tb", "qb"))
+            .applyInArrow(nearest, "test_id long, train_id long, dist double, label double"))
+
+
+def _top(cand: DataFrame, k: int) -> DataFrame:
+    # at most k rows per visited block
+    w = Window.partitionBy("test_id").orderBy("dist", "train_id")
+    return cand.select("*", F.row_number().over(w).alias("_r")).where(F.col("_r") <= k).drop("_r")
 
 
 def knn_candidates(train: DataFrame, test: DataFrame, id_col: str, vec_col: str, label_col: str,
-                   k: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(test id, train id, squared distance, label) for each test row's k nearest per training block."""
-    ship_package(train.sparkSession)
-    blocks = lambda df: max(1, math.ceil(df.count() / block_rows))
-    n_train, n_test = blocks(train), blocks(test)
-    own = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = train.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).cast("double").alias("label"),
-                        F.lit(True).alias("known"), own(n_train).alias("tb"), every(n_test).alias("qb"))
-    right = test.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.lit(None).cast("double").alias("label"),
-                        F.lit(False).alias("known"), every(n_train).alias("tb"), own(n_test).alias("qb"))
-
-    def nearest(cell: pd.DataFrame) -> pd.DataFrame:
-        base, asked = cell[cell.known], cell[~cell.known]
-        ids, X, y = base.id.to_numpy(), _vectors(base.vec), base.label.to_numpy()
-        kk, found = min(k, len(ids)), []
-        for i, v in zip(asked.id, asked.vec, strict=True):
-            if not kk:
-                break
-            dist = ((X - np.asarray(v, dtype=np.float64)) ** 2).sum(axis=1)
-            near = np.flatnonzero(dist <= np.partition(dist, kk - 1)[kk - 1])  # ties included
-            near = near[np.lexsort((ids[near], dist[near]))[:kk]]
-            found.append(pd.DataFrame({"test_id": i, "train_id": ids[near], "dist": dist[near], "label": y[near]}))
-        return pd.concat(found) if found else pd.DataFrame({"test_id": [], "train_id": [], "dist": [], "label": []})
-
-    return left.unionByName(right).groupBy("tb", "qb").applyInPandas(nearest, "test_id long, train_id long, dist double, label double")
+                   k: int = 7, block_rows: int = BLOCK_ROWS, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
+    """(test_id, train_id, dist, label): each test row's k nearest training rows by (squared distance, id).
+
+    All, if there are fewer than k.  Rows without a vector take no part.
+    """
+    spark = train.sparkSession
+    ship_package(spark)
+    rows = _rows(train, id_col, vec_col, label_col).persist(StorageLevel.MEMORY_AND_DISK)
+    asked = _rows(test, id_col, vec_col, None)
+    count = min(MAX_PIVOTS, math.ceil(rows.count() / pivot_rows))
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(count).select("vec").collect()
+    if not picked:
+        return spark.createDataFrame([], "test_id long, train_id long, dist double, label double")
+    pivots = np.array([r["vec"] for r in picked], np.float64)
+    cells = _with_distances(rows, pivots, True).select("id", "vec", "label", "cell", "far")
+    # one row per pivot
+    known = {r["cell"]: (r["n"], r["radius"]) for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}
+    size = np.array([known.get(c, (0, 0.0))[0] for c in range(count)])
+    radius = np.array([known.get(c, (0, 0.0))[1] for c in range(count)])
+    placed = _with_distances(asked, pivots, False)
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = _matrix(b.column("far"))
+            order = np.argsort(far, axis=1, kind="stable")
+            enough = np.cumsum(size[order], axis=1)
+            stop = (enough < k).sum(1)  # cells before this one hold fewer than k rows
+            home = [o[:s + 1] for o, s in zip(order, stop, strict=True)]
+            yield _visits(b, [h[size[h] > 0] for h in home])
+
+    visit = "id long, vec array<double>, cell int"
+    first = _top(_search(cells, placed.mapInArrow(homes, visit), k, block_rows), k)
+    first = first.persist(StorageLevel.MEMORY_AND_DISK)
+    bound = first.groupBy(F.col("test_id").alias("id")).agg(F.max("dist").alias("bound"))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far, limit = _matrix(b.column("far")), np.sqrt(b.column("bound").to_numpy(zero_copy_only=False))
+            order = np.argsort(far, axis=1, kind="stable")
+            stop = (np.cumsum(size[order], axis=1) < k).sum(1)
+            reach = far - radius[None, :] <= limit[:, None] * (1 + 1e-9) + 1e-9  # equal distances count; rounding must not lose a cell
+            reach &= size[None, :] > 0
+            for r, (o, s) in enumerate(zip(order, stop, strict=True)):
+                reach[r, o[:s + 1]] = False  # searched already
+            yield _visits(b, [np.flatnonzero(x) for x in reach])
+
+    second = placed.join(bound, "id").mapInArrow(others, visit)
+    return _top(first.unionByName(_search(cells, second, k, block_rows)), k)
+
+
+def _visits(b: pa.RecordBatch, cells: list[np.ndarray]) -> pa.RecordBatch:
+    row = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    cell = np.concatenate(cells) if cells else np.zeros(0, np.int64)
+    take = pa.array(row)
+    return pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("vec").take(take), pa.array(cell.astype(np.int32))], ["id", "vec", "cell"])
 
 
 def knn_regress(train: DataFrame, test: DataFrame, id_col: str, vec_col: str, label_col: str,
-                k: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    cand = knn_candidates(train, test, id_col, vec_col, label_col, k, block_rows)
-    # at most k * chunks candidates per test row: a bounded window
-    w = Window.partitionBy("test_id").orderBy("dist", "train_id")
-    top = cand.select("*", F.row_number().over(w).alias("_r")).where(F.col("_r") <= k)
+                k: int = 7, block_rows: int = BLOCK_ROWS, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
+    top = knn_candidates(train, test, id_col, vec_col, label_col, k, block_rows, pivot_rows)
     return top.groupBy(F.col("test_id").alias(id_col)).agg(F.avg("label").alias("prediction"),
                                                            F.count(F.lit(1)).cast("long").alias("n_neighbors"))

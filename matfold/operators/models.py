@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matfold.functions._util import ColumnLike, col_of
-from matfold.functions.chem import first_component
+from matfold.functions.chem import first_component, letter_frequencies, structure_problem
 from matfold.session import ensure_checkpoint_dir
 
 N_BITS = 2048
@@ -42,6 +42,18 @@ def fingerprint_stages(token_col: str, out_col: str = "fp", n_bits: int = N_BITS
 
 
 def add_fingerprint(df: DataFrame, structure_col: str, out_col: str = "fp", n_bits: int = N_BITS) -> DataFrame:
+    """``df`` with the hashed n-gram vector of its structure column.
+
+    Structures repeat, so each distinct one is hashed once and joined back; the
+    vectors of structures that very many rows share are spread by the planner's
+    skew splitting.
+    """
+    distinct = df.select(F.col(structure_col).alias("_s")).distinct()
+    prints = _fingerprints(distinct, "_s", out_col, n_bits)
+    return df.join(prints, F.col(structure_col).eqNullSafe(F.col("_s")), "left").drop("_s")
+
+
+def _fingerprints(df: DataFrame, structure_col: str, out_col: str, n_bits: int) -> DataFrame:
     toks = df.withColumn("_chars", char_tokens(structure_col))
     stages, grams = fingerprint_stages("_chars")
     for st in stages:
@@ -51,6 +63,18 @@ def add_fingerprint(df: DataFrame, structure_col: str, out_col: str = "fp", n_bi
     return tf.transform(toks).drop("_chars", "_grams", *grams)
 
 
+def binding_features(df: DataFrame, sequence_col: str, structure_col: str, out_col: str = "features", n_bits: int = N_BITS) -> DataFrame:
+    """Protein and ligand in one row: the ligand's fingerprint, then the shares of the twenty amino acids.
+
+    A blank or malformed structure has no bits; a null sequence has no shares.
+    """
+    legal = df.withColumn("_ligand", F.when(structure_problem(structure_col).isNull(), F.col(structure_col)))
+    shares = letter_frequencies(sequence_col)
+    names = [f"_{sequence_col}_{i}" for i in range(len(shares))]
+    wide = add_fingerprint(legal, "_ligand", "_bits", n_bits).select("*", *[s.alias(n) for s, n in zip(shares, names, strict=True)])
+    return assembler(["_bits", *names], out_col).transform(wide).drop("_ligand", "_bits", *names)
+
+
 def model_dir(spark, name: str) -> str:
     """A new model folder inside the shared checkpoint folder of the session."""
     return os.path.join(ensure_checkpoint_dir(spark), "models", f"{name}-{uuid.uuid4().hex}")

@@ -3,7 +3,8 @@
 Fit/transform pattern, as Spark ML does it: a "fit" is one global
 aggregate whose single result row (a few numbers per column) comes to the
 driver; the "transform" is a projection with those numbers as literals.  No
-cross join, no global window over the fact table.
+cross join, no global window over the fact table.  Dictionaries and orders stay
+tables (``operators.ordered``).
 """
 
 from __future__ import annotations
@@ -15,42 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from matfold.functions._util import ColumnLike, col_of
-
-
-# ------------------------------------------------------- global ordering
-
-def ordered_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None,
-                    weight_col: str | None = None) -> tuple[DataFrame, dict]:
-    """Split ``df`` into ranges of ``order_col`` for a distributed running count.
-
-    Range bounds come from ``approxQuantile`` (a small sketch), so every
-    bucket is a bounded slice of the data; a window partitioned by bucket
-    then orders one slice per task.  Returns the frame with a ``_b`` bucket
-    column and the number of rows before each bucket (one number per bucket,
-    computed by a grouped count, or the sum of ``weight_col``).  Exact: the
-    bounds only decide where rows go.
-    """
-    from pyspark.ml.feature import Bucketizer
-    n = n_buckets or max(2, df.sparkSession.sparkContext.defaultParallelism * 4)
-    probs = [i / n for i in range(1, n)]
-    cuts = sorted(set(q for q in df.approxQuantile(order_col, probs, 0.001) if q is not None))
-    splits = [float("-inf")] + (cuts or [0.0]) + [float("inf")]  # an empty table has no quantiles
-    with_b = Bucketizer(splits=splits, inputCol="_ord_d", outputCol="_b", handleInvalid="keep").transform(
-        df.withColumn("_ord_d", F.col(order_col).cast("double"))).drop("_ord_d")
-    w = F.sum(weight_col) if weight_col else F.count(F.lit(1))
-    counts = {r["_b"]: r["n"] or 0 for r in with_b.groupBy("_b").agg(w.alias("n")).collect()}
-    before, acc = {}, 0
-    for b in sorted(counts):
-        before[b] = acc
-        acc += counts[b]
-    return with_b, before
-
-
-def _lookup(col: str, table: dict) -> Column:
-    if not table:
-        return F.lit(0).cast("long")
-    m = F.create_map(*[x for k, v in table.items() for x in (F.lit(float(k)), F.lit(int(v)))])
-    return F.coalesce(m[F.col(col)], F.lit(0)).cast("long")
+from matfold.operators.ordered import dense_codes, running_total
 
 
 # ------------------------------------------------------------------ scaling
@@ -104,37 +70,38 @@ def display_bounds(stats: dict[str, tuple[float, float]], integer_cols: Sequence
 def first_appearance_codes(df: DataFrame, col: str, order: str, code_col: str = "code") -> DataFrame:
     """Codes 0..k-1 by first appearance (``pd.factorize``); null -> -1.
 
-    The distinct values are reduced with a map-side combined ``min``; they
-    are ranked per range of first position (``ordered_buckets``) plus the
-    count of earlier ranges; the codes return by a join.
+    The distinct values are reduced with a map-side combined ``min``; their
+    dense codes by first position are a table that is joined back.
     """
-    firsts = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(order).alias("_first")))
-    bucketed, before = ordered_buckets(firsts, "_first")
-    w = Window.partitionBy("_b").orderBy("_first", col)
-    codes = bucketed.select(col, (_lookup("_b", before) + F.row_number().over(w) - 1).cast("int").alias(code_col))
-    out = df.join(codes, col, "left")
-    return out.select(*[F.col(c) for c in df.columns],
-                      F.coalesce(F.col(code_col), F.lit(-1)).cast("int").alias(code_col))
+    firsts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(order).alias("_first"))
+    codes = dense_codes(firsts, ["_first", col], "_code").select(F.col(col).alias("_value"), "_code")
+    return _coded(df, col, codes, code_col)
+
 
+def _coded(df: DataFrame, col: str, codes: DataFrame, code_col: str) -> DataFrame:
+    out = df.join(codes, F.col(col) == F.col("_value"), "left")
+    return out.select(*[df[c] for c in df.columns], F.coalesce("_code", F.lit(-1)).cast("int").alias(code_col))
 
-def alphabetical_codes(df: DataFrame, col: str, code_col: str = "code") -> tuple[DataFrame, list[str]]:
+
+def alphabetical_codes(df: DataFrame, col: str, code_col: str = "code") -> tuple[DataFrame, DataFrame]:
     """Codes in sorted order of the distinct values (``LabelEncoder`` /
-    ``cat.codes``); null -> -1.  Returns the frame and the label list used
-    to decode (``IndexToString``)."""
-    from pyspark.ml.feature import StringIndexer
-    model = StringIndexer(inputCol=col, outputCol="_idx", stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df.where(F.col(col).isNotNull()))
-    out = model.transform(df)
-    code = F.when(F.col(col).isNull(), F.lit(-1)).otherwise(F.col("_idx").cast("int"))
-    return out.select(*[F.col(c) for c in df.columns], code.alias(code_col)), list(model.labels)
+    ``cat.codes``); null -> -1.  Returns the frame and the dictionary (label,
+    code) that decodes it; both stay tables whatever the number of labels."""
+    labels = df.select(F.col(col).cast("string").alias("label")).where("label IS NOT NULL").distinct()
+    dictionary = dense_codes(labels, ["label"]).select("label", F.col("code").cast("int").alias("code"))
+    return encode_labels(df, col, dictionary, code_col), dictionary
+
+
+def encode_labels(df: DataFrame, col: str, dictionary: DataFrame, code_col: str = "code") -> DataFrame:
+    """The codes of ``dictionary`` (label, code) for other rows; unknown labels and null -> -1."""
+    return _coded(df, col, dictionary.select(F.col("label").alias("_value"), F.col("code").alias("_code")), code_col)
 
 
-def decode_labels(df: DataFrame, code_col: str, labels: list[str], out_col: str) -> DataFrame:
-    from pyspark.ml.feature import IndexToString
-    tmp = df.withColumn("_codef", F.when(F.col(code_col) >= 0, F.col(code_col)).cast("double"))
-    conv = IndexToString(inputCol="_codef", outputCol=out_col, labels=labels)
-    return conv.transform(tmp.fillna({"_codef": float(len(labels))})).withColumn(
-        out_col, F.when(F.col(code_col) >= 0, F.col(out_col))).drop("_codef")
+def decode_labels(df: DataFrame, code_col: str, dictionary: DataFrame, out_col: str) -> DataFrame:
+    """Labels of codes by a join with the dictionary; a code that it lacks gives null."""
+    names = dictionary.select(F.col("code").alias("_code"), F.col("label").alias("_label"))
+    out = df.join(names, F.col(code_col).cast("int") == F.col("_code"), "left")
+    return out.select(*[df[c] for c in df.columns], F.col("_label").alias(out_col))
 
 
 # -------------------------------------------------------------------- split
@@ -160,33 +127,39 @@ def stratified_split(df: DataFrame, key: str, label: str, train_frac: float = 0.
                      seed: str = "42", buckets_bits: int = 16) -> DataFrame:
     """Exactly floor(frac * n_c) training rows per class, chosen by md5 order.
 
-    No window over a whole class (a class may hold a third of the rows):
-    1. count rows per (class, high bits of the hash) - a partial aggregate;
-    2. running counts over that small histogram find, per class, the bucket
-       holding the cut and how many of its rows are still needed;
-    3. only rows of that one boundary bucket per class are ranked exactly.
+    No window over a whole class (a class may hold a third of the rows): the
+    class's cut is located in a histogram of the high hash bits, then in one of
+    the low bits of that bucket's rows alone, and only rows that share the whole
+    hash with the cut are ranked by their key.  The rows are then told by a
+    comparison with their class's cut.  Null labels are a class of their own.
     """
-    h = hash_value(key, seed)
-    rows = df.select("*", h.alias("_h"), F.shiftright(h, 32 - buckets_bits).alias("_b"))
-    hist = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(label)
-    cum = hist.select(label, "_b", "_n", F.sum("_n").over(w).alias("_cum"),
-                      F.floor(F.sum("_n").over(tot) * train_frac).cast("long").alias("_k"))
-    cut = (cum.where((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_n") < F.col("_k")))
-              .select(label, F.col("_b").alias("_cb"), (F.col("_k") - (F.col("_cum") - F.col("_n"))).alias("_need")))
-    # classes whose cut is 0 rows take no boundary bucket
-    j = rows.join(cut, label, "left")
-    inb = j.where(F.col("_b") == F.col("_cb"))
-    ranked = inb.select("*", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)).alias("_r"))
-    boundary = ranked.select(*[F.col(c) for c in j.columns],
-                             F.when(F.col("_r") <= F.col("_need"), F.lit("train")).otherwise(F.lit("test"))
-                              .alias("split"))
-    rest = j.where(F.col("_cb").isNull() | (F.col("_b") != F.col("_cb"))).select(
-        *[F.col(c) for c in j.columns],
-        F.when(F.col("_cb").isNotNull() & (F.col("_b") < F.col("_cb")), F.lit("train"))
-         .otherwise(F.lit("test")).alias("split"))
-    return boundary.unionByName(rest).select(*[F.col(c) for c in df.columns], "split")
+    rows = df.select(F.col(label).alias("_l"), hash_value(key, seed).alias("_h"), F.col(key).alias("_key"))
+    low = 32 - buckets_bits
+    by_class = Window.partitionBy("_l")
+    upto = by_class.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+
+    def cut(hist: DataFrame, wanted: Column, *kept: str) -> DataFrame:
+        """The bucket in which each class's last training row lies, and how many of its rows are needed."""
+        cum = hist.select("_l", "_b", "_n", *kept, F.sum("_n").over(upto).alias("_cum"), wanted.alias("_k"))
+        return (cum.where((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_n") < F.col("_k")))
+                .select("_l", F.col("_b").alias("_cb"), (F.col("_k") - (F.col("_cum") - F.col("_n"))).alias("_need"), *kept))
+
+    def within(cuts: DataFrame, part: Column) -> DataFrame:
+        c = cuts.select(F.col("_l").alias("_cl"), "_cb", "_need")
+        return rows.join(c, F.col("_l").eqNullSafe(F.col("_cl")) & (part == F.col("_cb")))
+
+    high = F.shiftright("_h", low)
+    first = cut(rows.groupBy("_l", high.alias("_b")).agg(F.count(F.lit(1)).alias("_n")),
+                F.floor(F.sum("_n").over(by_class) * train_frac).cast("long"))
+    inner = within(first, high).groupBy("_l", F.col("_h").alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_want"))
+    second = cut(inner, F.col("_want"))
+    tied = within(second, F.col("_h")).withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_key")))
+    cuts = tied.where("_r = _need").select(F.col("_l").alias("_cl"), F.struct(F.col("_h").alias("h"), F.col("_key").alias("k")).alias("_cut"))
+    # classes whose cut is 0 rows have none: all of them are test rows
+    out = df.join(cuts, F.col(label).eqNullSafe(F.col("_cl")), "left")
+    mine = F.struct(hash_value(key, seed).alias("h"), F.col(key).alias("k"))
+    return out.select(*[df[c] for c in df.columns],
+                      F.when(F.col("_cut").isNotNull() & (mine <= F.col("_cut")), F.lit("train")).otherwise(F.lit("test")).alias("split"))
 
 
 # ------------------------------------------------------------------ metrics
@@ -212,22 +185,25 @@ def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
 
 
 def classification_report(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """Per class precision/recall/F1/support plus overall accuracy."""
+    """Per class precision/recall/F1/support plus overall accuracy.
+
+    The table of (true, predicted) counts gives each pair's share to both of its
+    classes; one more aggregate adds them up.  Accuracy is a sum over the
+    classes.
+    """
     pairs = df.groupBy(F.col(y).alias("_y"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    classes = pairs.select(F.col("_y").alias("cls")).union(pairs.select("_p")).distinct()
-    tp = pairs.where(F.col("_y") == F.col("_p")).select(F.col("_y").alias("cls"), F.col("_n").alias("tp"))
-    sup = pairs.groupBy(F.col("_y").alias("cls")).agg(F.sum("_n").alias("support"))
-    prd = pairs.groupBy(F.col("_p").alias("cls")).agg(F.sum("_n").alias("predicted"))
-    total = pairs.agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_y") == F.col("_p"), F.col("_n"))).alias("c"))
-    t = total.first()
-    acc = (t["c"] or 0) / t["n"] if t["n"] else None
-    r = (classes.join(tp, "cls", "left").join(sup, "cls", "left").join(prd, "cls", "left")
-         .fillna(0, ["tp", "support", "predicted"]))
+    share = lambda cls, true, predicted: F.struct(F.col(cls).alias("cls"), true.alias("support"), predicted.alias("predicted"))
+    hit = F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0)
+    each = pairs.select(F.explode(F.array(share("_y", F.col("_n"), F.lit(0).cast("long")), share("_p", F.lit(0).cast("long"), F.col("_n")))).alias("s"),
+                        hit.alias("_hit")).select("s.*", F.when(F.col("s.support") > 0, F.col("_hit")).otherwise(0).alias("tp"))
+    r = each.groupBy("cls").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"))
+    every = Window.partitionBy(F.lit(0))  # one row per class
+    accuracy = F.sum("tp").over(every) / F.sum("support").over(every)
     precision = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     recall = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
     return r.select("cls", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
-                    F.col("support").cast("long").alias("support"), F.lit(acc).cast("double").alias("accuracy"))
+                    F.col("support").cast("long").alias("support"), accuracy.cast("double").alias("accuracy"))
 
 
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -235,16 +211,13 @@ def auc(df: DataFrame, y: str, score: str) -> DataFrame:
 
     Rows are first reduced to one row per distinct score (positives and
     negatives counted, map-side combined).  The running count of negatives
-    below each score is computed per score range (``ordered_buckets``), so
-    no single task orders all distinct scores.
+    below each score is taken per range of scores plus what the ranges in front
+    hold, so no single task orders all distinct scores.
     """
     per = df.groupBy(F.col(score).alias("_s")).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("_neg"))
-    bucketed, offsets = ordered_buckets(per, "_s", weight_col="_neg")
-    w = Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    cum = bucketed.select("*", (_lookup("_b", offsets) + F.coalesce(F.sum("_neg").over(w), F.lit(0)))
-                          .alias("_below"))
+    cum = running_total(per, "_s", "_neg", "_below")
     agg = cum.agg(F.sum(F.col("_pos") * F.col("_below") + 0.5 * F.col("_pos") * F.col("_neg")).alias("_u"),
                   F.sum("_pos").alias("P"), F.sum("_neg").alias("N"))
     return agg.select((F.col("_u") / (F.col("P") * F.col("N"))).alias("auc"),

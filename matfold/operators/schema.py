@@ -165,6 +165,11 @@ def merge_duplicate_numeric(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def drop_text_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The table a model sees: string columns go, but for those of ``keep``."""
+    return df.drop(*[f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in keep])
+
+
 def is_numeric_text(c: Column) -> Column:
     return py_strip(c).rlike(NUMERIC_RE)
 

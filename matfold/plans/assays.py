@@ -17,7 +17,7 @@ from matfold.functions.parse import extract_float, parse_cc50, to_number
 from matfold.functions.score import (cell_line_weight, composite_score, label_from_cc50,
                                      method_weight, toxicity_score)
 from matfold.functions.text import clean_name_basic, is_blank, make_clean_name, py_strip
-from matfold.operators.agg import conditional_min, coverage_percent
+from matfold.operators.agg import conditional_min, coverage_percent, grouped_medians
 from matfold.operators.dedup import keep_first
 from matfold.operators.joins import contains_any
 from matfold.plans import sqlfrag as S
@@ -82,21 +82,22 @@ def compound_features(records: DataFrame) -> DataFrame:
     """Per structure string: worst CC50, first name, sources, descriptor medians.
 
     Molecular weight comes from the formula; the other descriptors are read as
-    input columns, and one that the table does not have is null.  All medians
-    are part of the one aggregate: its partial state holds a count per distinct
-    value, so a hot structure string reaches the shuffle as distinct values.
+    input columns, and one that the table does not have is null.  The medians are
+    found by counts per range of values (``grouped_medians``), as the blank
+    structure string alone may hold a third of the rows.
     """
     given = [to_number(c).alias(c) if c in records.columns else F.lit(None).cast("double").alias(c)
              for c in INPUT_DESCRIPTORS]
+    medians = ["MolWt", *INPUT_DESCRIPTORS]
     rows = records.select("Canonical_SMILES", "CC50_mM", "Name", "ord", "source_file",
                           formula_weight("Empirical_formula").alias("MolWt"), *given)
     g = rows.groupBy("Canonical_SMILES").agg(
         F.min("CC50_mM").alias("CC50_mM"),
         F.min_by("Name", "ord").alias("Name"),
-        F.count_distinct("source_file").cast("long").alias("num_sources"),
-        *[F.median(c).alias(c) for c in ("MolWt", *INPUT_DESCRIPTORS)])
-    return g.select("Canonical_SMILES", "CC50_mM", "Name", "num_sources", "MolWt", *INPUT_DESCRIPTORS,
-                    label_from_cc50("CC50_mM").alias("biocompatibility_label"))
+        F.count_distinct("source_file").cast("long").alias("num_sources"))
+    m = grouped_medians(rows.select("Canonical_SMILES", *medians), "Canonical_SMILES", medians).withColumnRenamed("Canonical_SMILES", "_structure")
+    return g.join(m, F.col("Canonical_SMILES").eqNullSafe(F.col("_structure")), "left").select(
+        "Canonical_SMILES", "CC50_mM", "Name", "num_sources", *medians, label_from_cc50("CC50_mM").alias("biocompatibility_label"))
 
 
 def load_records(spark, sf_dir):

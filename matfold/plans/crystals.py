@@ -1,19 +1,26 @@
 """Crystal documents: staged endpoint tables, search, lookup, property rows.
 
-The remote service of the original is replaced by staged endpoint tables
-(summary, elasticity, thermo, magnetism) read as DataFrames; here they are
-derived from the part table.  The document of an id is assembled by a chain
-of left joins on ``material_id`` (J12); a missing endpoint stays null.
+The remote service of the original is replaced by staged endpoint tables; here
+they are derived from the part table.  Summary, elasticity, thermo and magnetism
+are typed; oxidation states, bonding and the description come as JSON documents
+whose shape differs from one to the next and are read as VARIANT.  The document of
+an id is assembled by a chain of left joins on ``material_id`` (J12); a missing
+endpoint stays null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matfold.operators.dedup import keep_first
-from matfold.operators.documents import first_truthy, flatten, key_value, overview, young_from_k_g
+from matfold.functions.parse import to_number
+from matfold.operators.documents import NOT_AVAILABLE, TRUNCATE_AT, first_truthy, flatten, key_value, overview, young_from_k_g
 from matfold.plans.registry import query
+from matfold.session import ensure_checkpoint_dir
+from matfold.sources.readers import read_documents, write_documents
 from matfold.sources.tables import spark_sql
 
 # --- fixed values ---------------------------------------------------------
@@ -90,14 +97,74 @@ def assemble_documents(endpoints: dict[str, DataFrame]) -> DataFrame:
     endpoints without that column are ordered by their fields.
     """
     doc = endpoints["summary"]
-    for name in ("elasticity", "thermo", "magnetism"):
+    for name in ENDPOINTS:
+        if name not in endpoints:
+            continue
         ep = endpoints[name]
+        if name in DOCUMENT_ENDPOINTS:  # one document an id already (first_document)
+            doc = doc.join(ep, "material_id", "left")
+            continue
         order = ["ord"] if "ord" in ep.columns else [c for c in ep.columns if c != "material_id"]
         first = keep_first(ep, ["material_id"], order).drop("ord")
         doc = doc.join(first, "material_id", "left")
     return doc
 
 
+#: Endpoints that come as documents, and all endpoints besides the summary.
+DOCUMENT_ENDPOINTS = ("oxidation_states", "bonding", "robocrys")
+ENDPOINTS = ("elasticity", "thermo", "magnetism", *DOCUMENT_ENDPOINTS)
+
+
+def _get(path: str, kind: str) -> Column:
+    return F.try_variant_get("doc", f"$.{path}", kind)
+
+
+def _texts(path: str) -> Column:
+    """A list of texts, or one text that stands for a list."""
+    return F.coalesce(_get(path, "array<string>"), F.when(F.schema_of_variant(_get(path, "variant")) == "STRING", F.array(_get(path, "string"))))
+
+
+def _measure(path: str) -> Column:
+    """A number, or a text that begins with one ('2.1 A')."""
+    return F.coalesce(_get(path, "double"), to_number(F.regexp_extract(_get(path, "string"), r"^\s*([-+]?[0-9]*\.?[0-9]+)", 1)))
+
+
+def oxidation_endpoint(docs: DataFrame) -> DataFrame:
+    """States per element; a document with one number for all of them holds it under 'all'."""
+    average = F.coalesce(_get("average_oxidation_state", "map<string,double>"),
+                         F.when(_get("average_oxidation_state", "double").isNotNull(), F.create_map(F.lit("all"), _get("average_oxidation_state", "double"))))
+    return docs.select("material_id", "ord", "value", F.struct(average.alias("average_oxidation_state"), _texts("possible_species").alias("possible_species")).alias("oxidation_states"))
+
+
+def bonding_endpoint(docs: DataFrame) -> DataFrame:
+    return docs.select("material_id", "ord", "value", F.struct(
+        _measure("average_bond_length").alias("average_bond_length"), _measure("average_coordination_number").alias("average_coordination_number"),
+        F.size(F.coalesce(_get("bonds", "array<variant>"), F.array().cast("array<variant>"))).cast("long").alias("n_bonds")).alias("bonding"))
+
+
+def description_endpoint(docs: DataFrame) -> DataFrame:
+    return docs.select("material_id", "ord", "value", F.struct(_get("description", "string").alias("description")).alias("robocrys"))
+
+
+def first_document(endpoint: DataFrame, name: str) -> DataFrame:
+    """(material_id, <name>): of several documents of an id the first by ordinal (a missing one last), then by text."""
+    order = F.struct(F.col("ord").isNull(), F.col("ord"), F.col("value"))
+    return endpoint.groupBy("material_id").agg(F.min_by(name, order).alias(name))
+
+
+def chemistry_rows(docs: DataFrame) -> DataFrame:
+    """Flat view of the three document endpoints of each id."""
+    ox, bond, text = F.col("oxidation_states"), F.col("bonding"), F.col("robocrys")
+    states = F.map_values(ox["average_oxidation_state"])
+    return docs.select(
+        "material_id", F.size(F.coalesce(states, F.array().cast("array<double>"))).cast("long").alias("n_states"),
+        F.aggregate(states, F.lit(0.0), lambda a, x: a + x).alias("state_sum"),
+        F.array_join(F.coalesce(ox["possible_species"], F.array().cast("array<string>")), ", ").alias("species"),
+        bond["average_bond_length"].alias("bond_length"), bond["average_coordination_number"].alias("coordination"),
+        F.coalesce(bond["n_bonds"], F.lit(0)).cast("long").alias("n_bonds"),
+        F.substring(F.coalesce(text["description"], F.lit(NOT_AVAILABLE)), 1, TRUNCATE_AT).alias("description"))
+
+
 def crystal_search(docs: DataFrame, elements=None, exclude_elements=None, formula=None, chemsys=None,
                    material_ids=None, band_gap=None, density=None, energy_above_hull=None,
                    crystal_system=None, spacegroup_symbol=None, **extra) -> DataFrame:
@@ -296,3 +363,62 @@ FROM props
 def q_crystal_overview(spark, sf_dir):
     p = property_rows(load_docs(spark, sf_dir))
     return overview(p, {"material_id": "N/A", "formula_pretty": "N/A", "band_gap": 0.0, "ordering": "unknown"})
+
+
+# JSON texts of the three document endpoints: one or two documents an id, of several shapes, some lines broken.
+_ID = """'"material_id":"mp-' || CAST(p_partkey AS STRING) || '"'"""
+CRYSTAL_DOCUMENTS = {
+    "oxidation_states": f"""
+SELECT CASE p_partkey % 5
+  WHEN 0 THEN '{{{{' || {_ID} || ',"average_oxidation_state":{{{{"Fe":2,"O":-' || CAST(p_size % 3 AS STRING) || '}}}},"possible_species":["Fe2+","O2-"],"ord":1}}}}'
+  WHEN 1 THEN '{{{{"ord":2,' || {_ID} || ',"average_oxidation_state":' || CAST(p_size AS STRING) || ',"possible_species":"Ti4+"}}}}'
+  WHEN 2 THEN '{{{{' || {_ID} || ',"average_oxidation_state":null,"possible_species":null}}}}'
+  WHEN 3 THEN '{{{{' || {_ID} || ',"average_oxidation_state":{{{{}}}},"extra":[1,[2]]}}}}'
+  ELSE '{{{{"broken' END AS value
+FROM {{part}}
+UNION ALL
+SELECT '{{{{' || {_ID} || ',"ord":0,"average_oxidation_state":7}}}}' FROM {{part}} WHERE p_partkey % 10 = 5
+UNION ALL
+SELECT '{{{{' || {_ID} || ',"average_oxidation_state":9}}}}' FROM {{part}} WHERE p_partkey % 10 = 6""",
+    "bonding": f"""
+SELECT CASE p_partkey % 4
+  WHEN 0 THEN '{{{{' || {_ID} || ',"average_bond_length":2.5,"average_coordination_number":' || CAST(p_size AS STRING) || ',"bonds":[[0,1],{{{{"a":1}}}},"x"]}}}}'
+  WHEN 1 THEN '{{{{' || {_ID} || ',"average_bond_length":"' || CAST(p_size AS STRING) || '.5 A","bonds":[]}}}}'
+  WHEN 2 THEN '[1, 2]'
+  ELSE '{{{{' || {_ID} || ',"bonds":"none"}}}}' END AS value
+FROM {{part}}""",
+    "robocrys": f"""
+SELECT '{{{{' || {_ID} || ',"description":"' || p_name || ' crystallizes. ' || repeat('x', CAST(p_size AS INT) * 2) || '"}}}}' AS value FROM {{part}} WHERE p_partkey % 3 > 0""",
+}
+
+
+def staged_documents(spark, sf_dir) -> dict[str, DataFrame]:
+    """The document endpoints, staged as JSON lines in the shared folder and read back."""
+    makers = {"oxidation_states": oxidation_endpoint, "bonding": bonding_endpoint, "robocrys": description_endpoint}
+    out = {}
+    for name, text in CRYSTAL_DOCUMENTS.items():
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/documents-{name}-{uuid.uuid4().hex}"
+        write_documents(spark_sql(spark, sf_dir, text), path)
+        out[name] = first_document(makers[name](read_documents(spark, path)), name)
+    return out
+
+
+def load_all_docs(spark, sf_dir) -> DataFrame:
+    """Documents of all seven endpoints."""
+    return assemble_documents(staged_endpoints(spark, sf_dir) | staged_documents(spark, sf_dir))
+
+
+@query("crystal_chemistry", oracle="""
+SELECT 'mp-' || p_partkey AS material_id,
+  CAST(CASE WHEN p_partkey % 5 = 0 AND p_partkey % 10 <> 5 THEN 2 WHEN p_partkey % 10 = 5 OR p_partkey % 5 = 1 THEN 1 ELSE 0 END AS BIGINT) AS n_states,
+  CASE WHEN p_partkey % 10 = 5 THEN 7.0 WHEN p_partkey % 5 = 0 THEN 2.0 - p_size % 3 WHEN p_partkey % 5 = 1 THEN CAST(p_size AS DOUBLE)
+       WHEN p_partkey % 5 = 3 THEN 0.0 END AS state_sum,
+  CASE WHEN p_partkey % 10 = 5 THEN '' WHEN p_partkey % 5 = 0 THEN 'Fe2+, O2-' WHEN p_partkey % 5 = 1 THEN 'Ti4+' ELSE '' END AS species,
+  CASE p_partkey % 4 WHEN 0 THEN 2.5 WHEN 1 THEN p_size + 0.5 END AS bond_length,
+  CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) END AS coordination,
+  CAST(CASE p_partkey % 4 WHEN 0 THEN 3 ELSE 0 END AS BIGINT) AS n_bonds,
+  CASE WHEN p_partkey % 3 > 0 THEN substr(p_name || ' crystallizes. ' || repeat('x', CAST(p_size * 2 AS INT)), 1, 80) ELSE 'N/A' END AS description
+FROM part
+""")
+def q_crystal_chemistry(spark, sf_dir):
+    return chemistry_rows(load_all_docs(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matfold.functions.atlas import ONTOLOGY_IDS, ORGAN_FOLDERS, ORGAN_IDS, model_url, ontology_id, organ_id, side
 from matfold.functions.chem import AMINO_ACIDS, clean_placeholders, first_component, structure_problem, letter_frequencies
 from matfold.functions.parse import extract_float
 from matfold.functions.score import inverse_log10, log10_target, modulus_band, toxic_flag
@@ -301,30 +302,47 @@ def q_level_norm(spark, sf_dir):
     return r.select("ord", level_norm("Heat_treatment").alias("level"), level_norm("Std").alias("std_level"))
 
 
-def _structure_sql(x: str) -> str:
-    s = S.strip(x)
-    def cnt(ch, src=s):
-        return f"(length({src}) - length(replace({src}, '{ch}', '')))"
-    outside = f"regexp_replace({s}, '\\[[^\\]]*\\]', '', 'g')"
-    odd = " OR ".join(f"{cnt(d, outside)} % 2 = 1" for d in "123456789")
-    return (f"CASE WHEN {S.blank(x)} THEN 'blank' "
-            f"WHEN NOT regexp_matches({s}, '^[A-Za-z0-9@+\\-\\[\\]\\(\\)=#$:/\\\\%.*]+$') THEN 'illegal character' "
-            f"WHEN {cnt('(')} <> {cnt(')')} THEN 'unbalanced parentheses' "
-            f"WHEN {cnt('[')} <> {cnt(']')} THEN 'unbalanced brackets' "
-            f"WHEN {odd} THEN 'unpaired ring closure' END")
+# Branch depth by a running sum, ring labels by their parity: one row per part of each string.
+_STRUCTURE_SQL = duck_cte("raw_assay") + f""",
+base AS (SELECT ord, SMILES, {S.blank('SMILES')} AS blank, {S.strip('SMILES')} AS s,
+                regexp_extract_all({S.strip('SMILES')}, '%[0-9][0-9]|\\[[^\\[\\]]*\\]|.') AS parts FROM raw_assay),
+part AS (SELECT ord, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM base),
+depths AS (SELECT ord, x, i, sum(CASE x WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY ord ORDER BY i) AS d FROM part),
+branches AS (SELECT ord, min(d) < 0 OR arg_max(d, i) <> 0 AS bad_branch, bool_or(x IN ('[', ']', '[]')) AS bad_square FROM depths GROUP BY ord),
+labels AS (SELECT ord, CASE WHEN x = '%' THEN -1 ELSE CAST(ltrim(x, '%') AS INTEGER) END AS label, count(*) AS n
+           FROM part WHERE regexp_matches(x, '^[0-9]$|^%') GROUP BY ALL),
+rings AS (SELECT ord, bool_or(n % 2 = 1) AS bad_ring FROM labels GROUP BY ord),
+problems AS (
+  SELECT ord, SMILES, CASE WHEN blank THEN 'blank'
+    WHEN NOT regexp_matches(s, '^[A-Za-z0-9@+\\-\\[\\]\\(\\)=#$:/\\\\%.*]+$') THEN 'illegal character'
+    WHEN bad_branch THEN 'unbalanced parentheses' WHEN bad_square THEN 'unbalanced brackets'
+    WHEN bad_ring THEN 'unpaired ring closure' END AS problem
+  FROM base LEFT JOIN branches USING (ord) LEFT JOIN rings USING (ord))
+"""
 
 
-@query("structure_valid", oracle=duck_cte("raw_assay") + f"""
-SELECT ord, SMILES, {_structure_sql('SMILES')} AS problem FROM raw_assay
-""")
+@query("structure_valid", oracle=_STRUCTURE_SQL + "SELECT ord, SMILES, problem FROM problems")
 def q_structure_valid(spark, sf_dir):
     r = raw_view(spark, sf_dir, "raw_assay")
     return r.select("ord", "SMILES", structure_problem("SMILES").alias("problem"))
 
 
-@query("structure_summary", oracle=duck_cte("raw_assay") + f"""
+_MUTATED = """CASE ord % 11 WHEN 0 THEN ')' || SMILES || '(' WHEN 1 THEN 'C]' || SMILES || 'C[' WHEN 2 THEN 'C%12CC%21' || SMILES
+  WHEN 3 THEN 'C%12CC%12' || SMILES WHEN 4 THEN SMILES || '%1' WHEN 5 THEN 'C1CC1(' || SMILES || ')' WHEN 6 THEN '[C@H2](1)' || SMILES
+  WHEN 7 THEN 'C12CC1C2' || SMILES WHEN 8 THEN '[]' || SMILES WHEN 9 THEN 'C%10%11C%11%10' || SMILES ELSE 'C0' || SMILES || 'C0' END"""
+
+
+@query("structure_syntax", oracle=_STRUCTURE_SQL.replace("base AS (", f"mutated AS (SELECT ord, {_MUTATED} AS SMILES FROM raw_assay),\nbase AS (", 1)
+       .replace("AS parts FROM raw_assay", "AS parts FROM mutated") + "SELECT ord, SMILES, problem FROM problems")
+def q_structure_syntax(spark, sf_dir):
+    """Every structure string with a syntax fault or a legal oddity written into it."""
+    r = raw_view(spark, sf_dir, "raw_assay").select("ord", F.expr(_MUTATED).alias("SMILES"))
+    return r.select("ord", "SMILES", structure_problem("SMILES").alias("problem"))
+
+
+@query("structure_summary", oracle=_STRUCTURE_SQL + """
 SELECT coalesce(problem, 'valid') AS status, CAST(count(*) AS BIGINT) AS n, min(ord) AS example_ord
-FROM (SELECT ord, {_structure_sql('SMILES')} AS problem FROM raw_assay) GROUP BY 1
+FROM problems GROUP BY 1
 """)
 def q_structure_summary(spark, sf_dir):
     r = raw_view(spark, sf_dir, "raw_assay").select("ord", structure_problem("SMILES").alias("problem"))
@@ -340,8 +358,7 @@ SELECT c.c_custkey, r.r_name || ' / ' || n.n_name || ' / ' || c.c_name AS label,
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 """)
 def q_label_map(spark, sf_dir):
-    """Label and link building per item, with the two lookup dimensions
-    broadcast after a size check."""
+    """Label and link building per item by joins with the two lookup dimensions."""
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nat = read_table(spark, sf_dir, "nation")
     reg = read_table(spark, sf_dir, "region")
@@ -352,6 +369,31 @@ def q_label_map(spark, sf_dir):
                     F.when(F.col("c_custkey") % 2 == 0, "left").otherwise("right").alias("side"))
 
 
+_ORGAN_LABELS = [*ORGAN_IDS, "Spleen", "Leftover Right"]
+_ORGAN_LABEL = "CASE c_custkey % " + str(len(_ORGAN_LABELS) + 1) + " " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ORGAN_LABELS)) + " END"
+_FOLDER_IDS = [*ORGAN_FOLDERS, "femur-left"]
+_FOLDER_ID = "CASE c_custkey % " + str(len(_FOLDER_IDS)) + " " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_FOLDER_IDS)) + " END"
+
+
+def _values(table: dict[str, str]) -> str:
+    return "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in table.items()) + ") AS m(k, v)"
+
+
+@query("organ_map", oracle=f"""
+WITH c AS (SELECT c_custkey, {_ORGAN_LABEL} AS label, {_FOLDER_ID} AS organ, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex FROM customer)
+SELECT c_custkey, label, (SELECT v FROM {_values(ORGAN_IDS)} WHERE k = label) AS organ_id,
+  (SELECT v FROM {_values(ONTOLOGY_IDS)} WHERE k = label) AS ontology_id,
+  CASE WHEN label LIKE '%Left%' THEN 'left' WHEN label LIKE '%Right%' THEN 'right' ELSE 'none' END AS side,
+  'https://atlas.example.org/' || (SELECT v FROM {_values(ORGAN_FOLDERS)} WHERE k = organ) || '/3d-vh-' || sex || '-' || organ || '.glb' AS url
+FROM c
+""")
+def q_organ_map(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer").select(
+        "c_custkey", F.expr(_ORGAN_LABEL).alias("label"), F.expr(_FOLDER_ID).alias("organ"), F.expr("IF(c_custkey % 2 = 0, 'male', 'female')").alias("sex"))
+    return c.select("c_custkey", "label", organ_id("label").alias("organ_id"), ontology_id("label").alias("ontology_id"), side("label").alias("side"),
+                    model_url("organ", "sex", "https://atlas.example.org").alias("url"))
+
+
 _PROTEIN = """
 SELECT doc_id,
   CAST(n_chars % 1200 AS DOUBLE) AS Number_of_Residues,

@@ -15,18 +15,19 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matfold.functions.chem import letter_frequencies
+from matfold.functions.chem import AMINO_ACIDS, letter_frequencies
 from matfold.functions.score import log10_target, toxic_flag
-from matfold.operators.knn import knn_regress
-from matfold.operators.models import (add_fingerprint, assembler, fit_pipeline, load_model, materialize,
-                                      model_dir, save_model)
+from matfold.operators.knn import knn_candidates, knn_regress
+from matfold.operators.models import add_fingerprint, assembler, binding_features, fit_pipeline, materialize
 from matfold.operators.prep import (auc, class_weights, classification_report, fit_means, fit_standard,
                                     hash_split, impute, regression_metrics, standardize, stratified_split)
+from matfold.operators.scoring import ModelRegistry, fit_contract
+from matfold.plans import sqlfrag as S
 from matfold.plans.assays import load_records
 from matfold.plans.features import _PROTEIN
 from matfold.plans.registry import query
 from matfold.plans.search import USE_RULE
-from matfold.sources.raw_views import raw_view
+from matfold.sources.raw_views import duck_cte, raw_view
 from matfold.sources.tables import read_table, spark_sql
 from matfold.functions.parse import strip_suffix_int, to_number
 
@@ -181,15 +182,60 @@ def q_select_model(spark, sf_dir, trees: int = 200, depth: int = 30):
     return both.join(best, "model", "left").fillna({"chosen": False})
 
 
-@query("batch_score")
+# Raw texts with blanks, words and units in them, columns in another order than the model's.
+_DIRTY = """
+SELECT ord, Bhn, CASE WHEN ord % 9 = 0 THEN 'n/a' ELSE Su END AS Su, CASE ord % 8 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || Ro || ' ' ELSE Ro END AS Ro, E
+"""
+_SPLIT_SQL = "CASE WHEN CAST(('0x' || substr(md5(CAST(ord AS VARCHAR) || '42'), 1, 8)) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END"
+_PAIRS = [("1", "1"), ("1", "2"), ("1", "3"), ("2", "2"), ("2", "3"), ("3", "3")]
+
+
+# Least squares on three features in closed form (Cramer's rule on the covariances).
+_SCORE_SQL = duck_cte("raw_material") + f""",
+dirty AS ({_DIRTY} FROM raw_material),
+t AS (SELECT ord, {S.to_number('Su')} AS x1, {S.to_number('Ro')} AS x2, {S.to_number('Bhn')} AS x3, {S.to_number('E')} / 1000.0 AS y, {_SPLIT_SQL} AS split
+      FROM dirty WHERE {S.to_number('E')} IS NOT NULL),
+m AS (SELECT coalesce(avg(x1), 0) AS m1, coalesce(avg(x2), 0) AS m2, coalesce(avg(x3), 0) AS m3 FROM t WHERE split = 'train'),
+f AS (SELECT ord, y, split, coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2, coalesce(x3, m3) AS x3 FROM t, m),
+c AS (SELECT avg(x1) AS a1, avg(x2) AS a2, avg(x3) AS a3, avg(y) AS ay, {', '.join(f'covar_pop(x{a}, x{b}) AS s{a}{b}' for a, b in _PAIRS)},
+             covar_pop(x1, y) AS t1, covar_pop(x2, y) AS t2, covar_pop(x3, y) AS t3 FROM f WHERE split = 'train'),
+d AS (SELECT *, s11*(s22*s33-s23*s23) - s12*(s12*s33-s23*s13) + s13*(s12*s23-s22*s13) AS det FROM c),
+b AS (SELECT *, (t1*(s22*s33-s23*s23) - s12*(t2*s33-s23*t3) + s13*(t2*s23-s22*t3)) / det AS b1,
+                (s11*(t2*s33-s23*t3) - t1*(s12*s33-s23*s13) + s13*(s12*t3-t2*s13)) / det AS b2,
+                (s11*(s22*t3-t2*s23) - s12*(s12*t3-t2*s13) + t1*(s12*s23-s22*s13)) / det AS b3 FROM d)
+SELECT ord, y AS E_GPa, round(ay + b1*(x1-a1) + b2*(x2-a2) + b3*(x3-a3), 4) AS E_pred FROM f, b
+"""
+
+
+@query("batch_score", oracle=_SCORE_SQL)
 def q_batch_score(spark, sf_dir):
-    """Fit, save under the shared checkpoint folder, load, score the whole table."""
-    t = modulus_table(spark, sf_dir)
-    model = fit_pipeline(t.where(F.col("split") == "train"),
-                         [assembler(MODULUS_FEATURES), LinearRegression(labelCol="E_GPa")])
-    path = save_model(model, model_dir(spark, "modulus_linear"))
-    scored = load_model(path).transform(t)
-    return scored.select("ord", "E_GPa", F.col("prediction").alias("E_pred"))
+    """Fit behind a scoring contract, register, load, score the whole dirty table."""
+    raw_view(spark, sf_dir, "raw_material").createOrReplaceTempView("mf_raw_material_score")
+    dirty = spark.sql(_DIRTY + "FROM mf_raw_material_score")
+    rows = hash_split(dirty.withColumn("E_GPa", to_number("E") / 1000.0).where("E_GPa IS NOT NULL"), "ord")
+    train = rows.where(F.col("split") == "train")
+    contract = fit_contract(train, MODULUS_FEATURES)
+    model = fit_pipeline(train, [contract, LinearRegression(labelCol="E_GPa")])
+    registry = ModelRegistry(spark)
+    version = registry.register("modulus_linear", model, "E_GPa")
+    scored = registry.load("modulus_linear", version).transform(rows.drop("split"))
+    return scored.select("ord", "E_GPa", F.round("prediction", 4).alias("E_pred"))
+
+
+@query("binding_features", oracle="""
+SELECT doc_id, CAST(2068 AS BIGINT) AS n_features, doc_id % 4 <> 0 AS has_ligand,
+       """ + ", ".join(f"round((length(t) - length(replace(replace(t, '{ch}', ''), '{ch.lower()}', ''))) / greatest(length(t), 1), 9) AS aa_{ch}" for ch in AMINO_ACIDS) + """
+FROM (SELECT doc_id, replace(coalesce(text, ''), 'ß', 'SS') AS t FROM documents)
+""")
+def q_binding_features(spark, sf_dir):
+    """Ligand bits and amino-acid shares of every document taken as a sequence; every fourth has a ligand with a fault."""
+    ligand = F.expr("CASE doc_id % 4 WHEN 0 THEN 'C1CC)' WHEN 1 THEN 'CCO' WHEN 2 THEN 'c1ccccc1.[Na+]' ELSE 'C%12CC%12' END")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", ligand.alias("ligand"))
+    x = vector_to_array("features")
+    f = binding_features(docs, "text", "ligand").select("doc_id", x.alias("x"))
+    bits = F.aggregate(F.slice("x", 1, 2048), F.lit(0.0), lambda a, v: a + v)
+    return f.select("doc_id", F.size("x").cast("long").alias("n_features"), (bits > 0).alias("has_ligand"),
+                    *[F.round(F.element_at("x", 2049 + i), 9).alias(f"aa_{ch}") for i, ch in enumerate(AMINO_ACIDS)])
 
 
 _KNN_SQL = """
@@ -215,6 +261,22 @@ def q_knn_regress(spark, sf_dir):
     return out.select("vec_id", F.round("prediction", 9).alias("prediction"), "n_neighbors")
 
 
+# Prices and sizes in coarse steps: a part has many others at the same distance.
+_TIE_ROWS = "SELECT p_partkey AS id, CAST(p_size % 6 AS DOUBLE) AS x1, CAST(p_partkey % 5 AS DOUBLE) AS x2, CAST(p_retailprice AS DOUBLE) AS y, p_partkey % 10 = 0 AS asked FROM {part}"
+
+
+@query("knn_ties", oracle="WITH t AS (" + _TIE_ROWS.format(part="part") + """),
+r AS (SELECT q.id AS test_id, a.id AS train_id, (q.x1 - a.x1) ** 2 + (q.x2 - a.x2) ** 2 AS dist,
+             row_number() OVER (PARTITION BY q.id ORDER BY (q.x1 - a.x1) ** 2 + (q.x2 - a.x2) ** 2, a.id) AS rn
+      FROM t q JOIN t a ON q.asked AND NOT a.asked)
+SELECT test_id, train_id, dist FROM r WHERE rn <= 7
+""")
+def q_knn_ties(spark, sf_dir):
+    """The seven nearest parts of every tenth part, equal distances by id."""
+    t = spark_sql(spark, sf_dir, _TIE_ROWS).select("id", F.array("x1", "x2").alias("vec"), "y", "asked")
+    return knn_candidates(t.where("NOT asked"), t.where("asked"), "id", "vec", "y", k=7).select("test_id", "train_id", "dist")
+
+
 @query("tg_regress")
 def q_tg_regress(spark, sf_dir):
     """Glass-transition regression on structure fingerprints with a

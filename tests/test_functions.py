@@ -125,6 +125,9 @@ def test_formula_weight_and_structures(spark):
     assert got[2:] == [None, None, None]
     probs = apply(spark, chem.structure_problem, ["CCO", "C1CC(C", "c1ccccc1", "C1CC", "", "C C"])
     assert probs == [None, "unbalanced parentheses", None, "unpaired ring closure", "blank", "illegal character"]
+    probs = apply(spark, chem.structure_problem, [")(", "C]C[", "C%12CC%21", "C%12CC%12", "C%1", "[C@H2](C)C", "[nH]1cccc1", "C[]", "C1CC1(", "C%01CC1", "C0CC0", "C%10%11C%11%10"])
+    assert probs == ["unbalanced parentheses", "unbalanced brackets", "unpaired ring closure", None, "unpaired ring closure", None, None,
+                     "unbalanced brackets", "unbalanced parentheses", None, None, None]
     assert apply(spark, chem.first_component, ["CCO.[Na+];x", None]) == ["CCO", None]
 
 

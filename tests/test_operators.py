@@ -158,8 +158,10 @@ def test_codes_and_auc(spark):
     got = {r[0]: r[2] for r in prep.first_appearance_codes(df, "v", "o").collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: -1, 5: 2}
     coded, labels = prep.alphabetical_codes(df, "v")
-    assert labels == ["a", "y", "z"]
+    assert sorted(map(tuple, labels.collect())) == [("a", 0), ("y", 1), ("z", 2)]
     assert {r[0]: r[2] for r in coded.collect()} == {3: 2, 1: 1, 2: 2, 4: -1, 5: 0}
+    assert {r["o"]: r["back"] for r in prep.decode_labels(coded, "code", labels, "back").collect()} == {3: "z", 1: "y", 2: "z", 4: None, 5: "a"}
+    assert {r[0]: r[2] for r in prep.encode_labels(spark.createDataFrame([(1, "new"), (2, "y")], "o int, v string"), "v", labels).collect()} == {1: -1, 2: 1}
     ys = [1, 0, 1, 1, 0, 0, 1, 0]
     ss = [0.9, 0.1, 0.5, 0.5, 0.5, 0.2, 0.8, 0.9]
     sdf = spark.createDataFrame(list(zip(ys, ss)), "y int, s double")
@@ -249,18 +251,48 @@ def test_hot_key_results_stay_whole(spark):
     assert {r[0]: r[1] for r in hot}["train"] == math.floor(1000 * 0.8)
 
 
-def test_exact_median(spark):
+def test_grouped_medians(spark):
     rng = np.random.default_rng(1)
     rows = []
-    for k, n in (("a", 7), ("b", 10), (None, 4), ("c", 1)):
-        rows += [(k, float(v)) for v in rng.integers(0, 5, n)]
-    rows += [("d", None)]
-    df = spark.createDataFrame(rows, "k string, v double")
-    got = {r[0]: r[1] for r in agg.exact_median(df, "k", "v").collect()}
-    for k in ("a", "b", None, "c"):
-        want = float(np.median([v for kk, v in rows if kk == k]))
-        assert math.isclose(got[k], want), k
-    assert "d" not in got
+    for k, n in (("a", 7), ("b", 10), (None, 4), ("c", 1), ("e", 2)):
+        rows += [(k, float(v), float(w)) for v, w in zip(rng.integers(-3, 3, n), rng.normal(0, 1e-3, n))]
+    rows += [("d", None, 2.5), ("f", -0.0, 1e308), ("f", 0.0, -1e308), ("f", 5e-324, 1.0)]
+    rows += [("hot", float(i), float(1.0 + i * 2.0 ** -52)) for i in rng.permutation(3000)]  # equal but for the last bits
+    df = spark.createDataFrame(rows, "k string, v double, w double").repartition(5)
+    got = {r["k"]: (r["v"], r["w"]) for r in agg.grouped_medians(df, "k", ["v", "w"]).collect()}
+    for k in {r[0] for r in rows}:
+        for i in (1, 2):
+            values = [r[i] for r in rows if r[0] == k and r[i] is not None]
+            assert got[k][i - 1] == (float(np.median(values)) if values else None), (k, i)
+    assert agg.grouped_medians(df.limit(0), "k", ["v", "w"]).count() == 0
+
+
+def test_dense_codes_and_running_totals_over_many_partitions(spark):
+    from matfold.operators import ordered
+    n = 5000
+    df = spark.createDataFrame([((i * 7919) % n, i % 5) for i in range(n)], "k long, w int").repartition(7)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert all(r["k"] == r["code"] for r in ordered.dense_codes(df, ["k"]).collect())
+        got = {r["k"]: r["before"] for r in ordered.running_total(df, "k", "w", "before").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    total = 0
+    for k, w in sorted((r["k"], r["w"]) for r in df.collect()):
+        assert got[k] == total
+        total += w
+    assert ordered.dense_codes(df.limit(0), ["k"]).count() == 0
+
+
+def test_stratified_split_is_the_first_by_hash_and_key(spark):
+    rows = [(i, "hot" if i % 3 else None) for i in range(3000)] + [(9000, "one"), (9001, "two"), (9002, "two")]
+    df = spark.createDataFrame(rows, "k long, c string")
+    got = {r["k"]: r["split"] for r in prep.stratified_split(df, "k", "c", 0.8).collect()}
+    import hashlib
+    for c in {r[1] for r in rows}:
+        mine = sorted((k for k, x in rows if x == c), key=lambda k: (int(hashlib.md5(f"{k}42".encode()).hexdigest()[:8], 16), k))
+        assert [got[k] for k in mine] == ["train"] * math.floor(len(mine) * 0.8) + ["test"] * (len(mine) - math.floor(len(mine) * 0.8))
 
 
 def test_header_strip_and_units(spark):
@@ -310,3 +342,55 @@ def test_strip_takes_unicode_blanks(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[1] for r in sorted(df.select("i", py_strip("t")).collect())]
     assert got == [t if t is None else t.strip() for t in texts]
+
+
+def test_difflib_blocking_loses_no_pair(spark):
+    """Brute force over short keys with repeats, for cutoffs with and without a bigram bound."""
+    import random
+    from difflib import SequenceMatcher
+    rnd = random.Random(6)
+    keys = lambda n: ["".join(rnd.choice("aabc1") for _ in range(rnd.randint(0, 8))) for _ in range(n)]
+    probes, cands = keys(120) + ["aaaaaaaa", "abcabcabcabc"], keys(120) + ["aaaaaaa", "abcabcabxabc"]
+    P, C = (spark.createDataFrame([(k,) for k in side], "key string").distinct() for side in (probes, cands))
+    for cutoff in (0.6, 0.75, 0.8, 0.95):
+        got = {tuple(r) for r in fuzzy.candidate_pairs(P, C, "ratio", cutoff).collect()}
+        want = {(p, c) for p in set(probes) for c in set(cands) if p and c and SequenceMatcher(None, c, p).ratio() >= cutoff - 1e-12}
+        assert want <= got, (cutoff, sorted(want - got)[:5])
+        best = {r[0]: (r[1], r[2]) for r in fuzzy.fuzzy_best_match(P, "key", C, "key", cutoff).collect()}
+        score = lambda p, c: SequenceMatcher(None, c, p).ratio()
+        for p in set(probes):
+            top = max(((score(p, c), c) for c in set(cands)), default=(0, ""))
+            assert best.get(p) == ((top[1], top[0]) if top[0] >= cutoff - 1e-12 else None)
+
+
+def test_difflib_pairs_grow_slower_than_the_product(spark):
+    import random
+    pairs = []
+    for n in (300, 1200):
+        rnd = random.Random(n)
+        probes = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rnd.randint(8, 16))) for _ in range(n)]
+        cands = [k[:3] + rnd.choice("xyz") + k[4:] for k in probes]
+        P, C = (spark.createDataFrame([(k,) for k in side], "key string").distinct() for side in (probes, cands))
+        pairs.append(fuzzy.candidate_pairs(P, C, "ratio", 0.8).count())
+    assert pairs[0] >= 300 and pairs[1] < 5 * pairs[0]  # the product grows 16 times
+
+
+def test_knn_visits_few_cells_and_keeps_ties(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 100, (12, 3))
+    rows = [(int(i), [float(x) for x in centres[i % 12] + rng.integers(0, 3, 3)], float(i)) for i in range(1200)]
+    train = spark.createDataFrame(rows, "id long, v array<double>, y double").repartition(4)
+    test = spark.createDataFrame([(10_000 + i, [float(x) for x in centres[i % 12] + rng.integers(0, 3, 3)]) for i in range(60)] + [(20_000, None)], "id long, v array<double>")
+    visited = []
+    search = knn._search
+    monkeypatch.setattr(knn, "_search", lambda t, v, *a: (visited.append(v), search(t, v, *a))[1])
+    got = {}
+    for r in knn.knn_candidates(train, test, "id", "v", "y", k=5, block_rows=40, pivot_rows=50).collect():
+        got.setdefault(r["test_id"], []).append((r["dist"], r["train_id"]))
+    for q, v in ((r["id"], r["v"]) for r in test.collect() if r["v"]):
+        want = sorted((float(((np.array(x) - np.array(v)) ** 2).sum()), i) for i, x, _ in rows)[:5]
+        assert sorted(got[q]) == want
+    assert 20_000 not in got
+    assert sum(v.count() for v in visited) < 60 * 24 / 3  # of 24 cells a query sees a few
+    few = knn.knn_candidates(train.limit(2), test, "id", "v", "y", k=5, block_rows=40, pivot_rows=1)
+    assert few.count() == 120 and knn.knn_candidates(train.limit(0), test, "id", "v", "y").count() == 0
