@@ -229,7 +229,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 75, den: int =
     is its smallest document id, ``kept`` tells the rows that carry it; rows
     with a null id are kept only where no other row of their component has an id; other
     columns are ignored; an empty table gives an empty result.
-    ``star_rounds`` only bounds the cheap comparisons; the exact ones follow.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -254,13 +253,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 75, den: int =
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
     main = (sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("total"), F.max("size").alias("most"))
             .where("most < total"))
-    marked = placed.join(main, "key").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
-    marked = marked.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a member is in the cells of its own block, a stray in its own block's cells with all others
+    # members and strays have blocks of their own, so that a bucket's members are written once per BLOCK strays
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    marked = placed.join(main, "key").withColumns({"blocks": blocks(F.col("total")), "sblocks": blocks(F.col("total") - F.col("most"))})
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     one = lambda stray, s, m_: F.struct(F.lit(stray).alias("stray"), s.alias("sblock"), m_.alias("mblock"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_member = F.transform(every, lambda o: one(False, o, F.col("block")))
-    as_stray = F.when(F.col("comp") != F.col("main"), F.transform(every, lambda o: one(True, F.col("block"), o))).otherwise(F.array())
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    as_member = F.transform(every("sblocks"), lambda o: one(False, o, own("blocks")))
+    as_stray = F.when(F.col("comp") != F.col("main"), F.transform(every("blocks"), lambda o: one(True, own("sblocks"), o))).otherwise(F.array())
     cells = marked.select("key", "node", "comp", F.explode(F.concat(as_member, as_stray)).alias("c")).select("key", "node", "comp", "c.*")
     kept = cells.groupBy("key", "sblock", "mblock").agg(F.max("stray").alias("s"), F.min("stray").alias("m")).where("s and not m").select("key", "sblock", "mblock")
     cells = cells.join(kept, ["key", "sblock", "mblock"]).join(nodes.select("node", "n", "regs"), "node").join(sets, "node")
