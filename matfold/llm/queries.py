@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matfold.llm import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -121,3 +123,6 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matfold.llm.suffix_dedup import suffix_dedup
     found = suffix_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE |= {"op11_conversation_repair": oracles.OP11, "op12_spelling_variants": oracles.OP12, "op13_suffix_dedup": oracles.OP13}
