@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,12 +69,9 @@ def rating_letter(c: ColumnLike) -> Column:
 
 def rating_score(c: ColumnLike) -> Column:
     """Letter rating -> 0..1 (A=1, B=.75, C=.5, D=.25, E=.125, F=0)."""
-    letter = rating_letter(c)
-    out = None
-    for k, v in LETTER_POINTS.items():
-        out = (F.when(letter == k, F.lit(v / 4.0)) if out is None
-               else out.when(letter == k, F.lit(v / 4.0)))
-    return out
+    # a lookup in a literal map finds the letter once; a CASE would search the text again in every branch
+    points = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v / 4.0)) for k, v in LETTER_POINTS.items()))
+    return F.try_element_at(points, rating_letter(c))
 
 
 def rate_score(rate_mm: ColumnLike) -> Column:

@@ -86,7 +86,7 @@ def rename_present(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 def coerce_numeric(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     cols = set(columns)
-    return df.select(*[to_number(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[to_number(F.col(f"`{c}`")).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
@@ -100,14 +100,14 @@ def trim_strings(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def auto_coerce(df: DataFrame, min_fraction: float = 0.0) -> DataFrame:
-    """Cast every string column in which enough values parse as numbers.
+def auto_coerce(df: DataFrame, min_fraction: float = 0.0, only: Iterable[str] | None = None) -> DataFrame:
+    """Cast every string column (of ``only``, if given) in which enough values parse as numbers.
 
     Pass 1 is one aggregate counting parseable and non-null values of all
     string columns; pass 2 is one projection.  ``min_fraction=0`` means
     "at least one value parses", the original rule.
     """
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and (only is None or f.name in only)]
     if not strings:
         return df
     aggs = []
@@ -138,6 +138,12 @@ def row_mean(cols: Sequence[Column]) -> Column:
     return F.when(n > 0, total / n)
 
 
+def duplicate_columns(columns: Sequence[str]) -> list[str]:
+    """Columns whose base name (before a dot) another column shares."""
+    bases = [c.split(".")[0] for c in columns]
+    return [c for c, b in zip(columns, bases, strict=True) if bases.count(b) > 1]
+
+
 def merge_duplicate_numeric(df: DataFrame) -> DataFrame:
     """Merge numeric columns sharing a base name (``X``, ``X.1``) by row mean.
 

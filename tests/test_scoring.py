@@ -112,7 +112,7 @@ def test_domains_load_by_key_alone(spark):
         assert meta["columns"] == ["SMILES", "Tg", "name"] and meta["nrows"]() == 2 and dict(df.dtypes)["Tg"] == "double"
         assert [r["Tg"] for r in df.orderBy("SMILES").collect()] == [12.0, None]
         df, _ = registry.load_and_prepare(spark, "cytotoxicity")
-        assert df.first()["Name"] == "a"
+        assert df.first()["Name"] == "a" and df.columns == ["Name", "CC50_mM", "Mw"] and df.first()["Mw"] == 3.0
         df, _ = registry.load_and_prepare(spark, "high_entropy")
         assert tuple(df.first()) == ("AlCo", 158.0) and df.columns == ["FORMULA", "YS"]
         assert registry.load_and_prepare(spark, "corrosion") == (None, {}) and registry.load_and_prepare(spark, "nothing") == (None, {})
