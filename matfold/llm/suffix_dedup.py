@@ -44,6 +44,8 @@ from matfold.llm.packs import PACK_BYTES
 CHUNK, LOW = 1 << 20, np.uint64((1 << 21) - 1)
 #: Bytes of contexts ordered by one task, and of one anchor before it is split.
 SHARD_BYTES, GROUP_BYTES = 1 << 20, 1 << 20
+#: Shards that one task orders, one after the other.
+TASK_SHARDS = 4
 
 _VALUE = W.mix64(np.arange(1, 257, dtype=np.uint64))
 
@@ -173,19 +175,18 @@ def _halves(pieces: DataFrame, window: int) -> DataFrame:
     return pieces.mapInArrow(run, _PIECE + ", near int, far int")
 
 
-def suffix_order(buf: np.ndarray, window: int) -> list[tuple[int, np.ndarray]]:
-    """(length, rank of every place by its next ``length`` bytes) for 8, 16, ... up to the window; bytes behind the end are 0."""
+def suffix_order(buf: np.ndarray, window: int) -> np.ndarray:
+    """Rank of every place by its next ``window`` bytes, found by doubling from 8; bytes behind the end are 0."""
     n = len(buf)
     padded = np.r_[buf, np.zeros(8, np.uint8)]
     key = np.zeros(n, np.uint64)
     for k in range(min(8, window)):
         key = (key << np.uint64(8)) | padded[k:k + n].astype(np.uint64)
-    size, ranks = min(8, window), []
+    size = min(8, window)
     while True:
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        ranks.append((size, rank))
         if size == window:
-            return ranks
+            return rank
         step = min(size, window - size)
         behind = np.zeros(n, np.int64)
         behind[:n - step] = rank[step:] + 1
@@ -222,7 +223,7 @@ def longest_factors(buf: np.ndarray, starts: np.ndarray, place: np.ndarray, wind
     ``place`` orders the suffixes in the corpus; each of them has ``window`` bytes
     at least, and lengths are told up to the window.
     """
-    rank = suffix_order(buf, window)[-1][1][starts]
+    rank = suffix_order(buf, window)[starts]
     order = np.lexsort((place, rank))
     same = np.r_[False, rank[order][1:] == rank[order][:-1]]
     # suffixes whose neighbours in the order share less than a window have no factor that long
@@ -271,7 +272,7 @@ _RUN = "pack long, ctx binary, `from` int, `to` int"
 def _ordered(pieces: DataFrame, window: int, keep_first: bool) -> DataFrame:
     shards = max(1, math.ceil((pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0) / SHARD_BYTES))
     return (pieces.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "pack", "ctx", "at", "many", "skip", "bytes")
-            .groupBy("shard").applyInArrow(lambda t: _factors(t, window, keep_first), _RUN))
+            .repartition(math.ceil(shards / TASK_SHARDS), "shard").groupBy("shard").applyInArrow(lambda t: _factors(t, window, keep_first), _RUN))
 
 
 def _duplicate_runs(pieces: DataFrame, window: int, gram: int, keep_first: bool) -> DataFrame:
