@@ -25,6 +25,8 @@ from __future__ import annotations
 import html
 import re
 import warnings
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -53,7 +55,8 @@ comment comments commentlist disqus reply replies respond discussion form login
 GOOD_WORDS = frozenset("article main content post entry story body text prose".split())
 # end of fixed values
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOPS = re.compile("[>\"']")
 ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -91,10 +94,62 @@ def attribute_words(attrs: str) -> tuple[int, int]:
     return bad, good
 
 
+class Tags:
+    """Finds where a page's tags end, in linear time whatever is left open in it.
+
+    A tag ends at the first ``>`` outside quotes.  The places of all ``>`` and
+    quotes are listed once; a quote from which a search has failed fails again.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.stops = [m.start() for m in STOPS.finditer(page)]
+        self.last = page.rfind(">")
+        self.dead: set[int] = set()
+        self.final = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """Place behind the ``>`` that ends a tag whose attributes begin at ``at``; -1 if there is none."""
+        if at > self.last:
+            return -1
+        opened = []
+        k = bisect_left(self.stops, at)
+        while k < len(self.stops):
+            place = self.stops[k]
+            c = self.page[place]
+            if c == ">":
+                return place + 1
+            if place in self.dead or place >= self.final[c]:
+                break
+            opened.append(place)
+            k = bisect_left(self.stops, self.page.find(c, place + 1) + 1)
+        self.dead.update(opened)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(begin, end, slash, name, attributes) of the next tag, comment or declaration from ``at``; no name for the latter two."""
+        page = self.page
+        while (begin := page.find("<", at)) >= 0:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                return begin, end + 3 if end >= 0 else len(page), "", "", ""
+            if page[begin + 1:begin + 2] in ("!", "?"):
+                end = page.find(">", begin + 2)
+                return begin, end + 1 if end >= 0 else len(page), "", "", ""
+            m = NAME.match(page, begin)
+            end = self.end(m.end()) if m else -1
+            if end >= 0:
+                return begin, end, m[1], m[2], page[m.end():end - 1]
+            at = begin + 1
+        return None
+
+
 def parse(page: str) -> Dom:
     """Element tree and text blocks of a page; unclosed elements end where their parent does."""
     d = Dom(["#page"], [-1], [0], [0], [0], [0], [0], [0], [0], [0], [], [0])
     stack: list[tuple[str, int]] = [("#page", 0)]  # (tag, node that its text belongs to)
+    where: dict[str, list[int]] = defaultdict(list)  # places of each tag in the stack, and those of block elements
+    where["#page"], outer = [0], [0]
     piece: list[str] = []  # raw text of the block that is open
     links, silent, chars = 0, 0, 0
     linked: list[tuple[bool, str]] = []
@@ -122,6 +177,9 @@ def parse(page: str) -> Dom:
     def pop() -> None:
         nonlocal links, silent
         tag, node = stack.pop()
+        where[tag].pop()
+        if tag not in INLINE:
+            outer.pop()
         if tag in SILENT:
             silent -= 1
         if tag == "a":
@@ -129,34 +187,38 @@ def parse(page: str) -> Dom:
         elif tag not in INLINE:
             flush(node)
 
+    def push(tag: str, node: int) -> None:
+        where[tag].append(len(stack))
+        if tag not in INLINE:
+            outer.append(len(stack))
+        stack.append((tag, node))
+
     def end_head() -> None:
-        place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "head"), len(stack))
-        while len(stack) > place:
-            pop()
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        begin = m.start()
-        if begin < at:
-            continue
+        if where["head"]:
+            place = where["head"][-1]
+            while len(stack) > place:
+                pop()
+
+    at, tags = 0, Tags(page)
+    while found := tags.next(at):
+        begin, end, slash, name, attrs = found
         if begin > at and not silent:
             text = page[at:begin]
             if stack[-1][0] == "head" and text.strip():
                 end_head()
             piece.append(text)
             linked.append((links > 0, text))
-        at = m.end()
-        name = m[2]
+        at = end
         if not name:
             continue
         tag = name.lower()
-        if m[1]:
-            place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+        if slash:
+            place = where[tag][-1] if where[tag] else 0
             if not place:
                 if tag == "p" or tag == "br":
                     piece.append(" ")
                 continue
-            if tag in INLINE and any(t not in INLINE for t, _ in stack[place + 1:]):
+            if tag in INLINE and outer[-1] > place:
                 continue  # an inline end tag does not close blocks
             while len(stack) > place:
                 pop()
@@ -172,16 +234,18 @@ def parse(page: str) -> Dom:
                 continue
             if tag == "a":
                 links += 1
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             continue
         # a block element ends an open paragraph, and an item the item before it
-        for i in range(len(stack) - 1, 0, -1):
+        for i in reversed(outer):
             t = stack[i][0]
+            if not i:
+                break
             if t == "p" or t == tag and tag in ENDS_ITSELF or (tag, t) in (("dt", "dd"), ("dd", "dt"), ("td", "th"), ("th", "td")):
                 while len(stack) > i:
                     pop()
                 break
-            if t not in INLINE and t not in ("li", "dt", "dd", "td", "th", "tr") or tag in ENDS_ITSELF and t in ENDS_ITSELF[tag]:
+            if t not in ("li", "dt", "dd", "td", "th", "tr") or tag in ENDS_ITSELF and t in ENDS_ITSELF[tag]:
                 break
         flush(stack[-1][1])
         parent = stack[-1][1]
@@ -189,7 +253,6 @@ def parse(page: str) -> Dom:
             d.tags[parent] += 1
             d.controls[parent] += tag == "input"
             continue
-        attrs = m[3]
         bad, good = attribute_words(attrs) if "=" in attrs else (0, 0)
         d.tag.append(tag)
         d.parent.append(parent)
@@ -200,11 +263,11 @@ def parse(page: str) -> Dom:
         d.tags.append(1)
         d.controls.append(int(tag in CONTROLS))
         d.first.append(chars)
-        stack.append((tag, len(d.tag) - 1))
+        push(tag, len(d.tag) - 1)
         if tag in SILENT:
             silent += 1
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, max(at, tags.last + 1))
                 at = close.end() if close else len(page)
                 pop()
     if at < len(page) and not silent:

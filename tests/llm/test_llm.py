@@ -387,3 +387,15 @@ def test_substring_dedup_without_duplicates(spark):
         assert sorted((r.doc_id, r.n_removed) for r in out.collect()) == [(1, 0), (2, 40), (3, 0)]
     finally:
         substring_dedup.SHARD_WORDS = shards
+
+
+def test_html_parser_is_linear_on_broken_pages():
+    import time
+    for page in ("<div " * 200_000, "<div a='x' " * 90_000, "<b>" * 100_000 + "</i>" * 100_000, "<p><b>" * 80_000 + "<hr>" * 40_000,
+                 "<title>" + "</title " * 100_000, "<a '" * 200_001 + ">", "<div>" * 150_000):
+        start = time.perf_counter()
+        html_extract.parse(page)
+        assert time.perf_counter() - start < 20, page[:12]
+    d = html_extract.parse("<p>a <b>b <div>c</b> d</div> e <x 'f' >g")
+    assert [t for _, t in d.blocks] == ["a b", "c d", "e g"]
+    assert [t for _, t in html_extract.parse("<title>x <!-- y</title><p>z <br>1 < 2").blocks] == ["z 1 < 2"]
