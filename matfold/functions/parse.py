@@ -95,22 +95,20 @@ def parse_rate(c: ColumnLike, unit: str = "text") -> Column:
     number.  ``unit='text'`` converts only when the text names mils, inch or
     '"'; ``unit='mils'`` treats every number as mils (for the mils column).
     """
-    s = py_strip(col_of(c))
-    num = first_number(s)
-    if unit == "mils":
-        scaled = num * F.lit(MILS_TO_MM)
-    elif unit == "text":
-        scaled = F.when(s.rlike(MILS_RE), num * F.lit(MILS_TO_MM)).otherwise(num)
-    else:
-        raise ValueError(f"unit must be 'text' or 'mils', got {unit!r}")
-    return (F.when(is_blank(s), F.lit(None).cast("double"))
-            .when(F.upper(s).rlike(r"\b([A-F])\b"), F.lit(None).cast("double"))
-            .otherwise(scaled))
+    return parse_stripped_rate(py_strip(col_of(c)), unit)
+
 
+def parse_stripped_rate(s: Column, unit: str = "text") -> Column:
+    """``parse_rate`` of a text that is stripped already.
 
-def safe_number(c: ColumnLike) -> Column:
-    """Number from a loosely typed value (filter bounds, form input)."""
-    return to_number(c)
+    Every part of it appears once: the generated code of a scan that parses
+    several columns must stay under the size the JVM still compiles.
+    """
+    if unit not in ("text", "mils"):
+        raise ValueError(f"unit must be 'text' or 'mils', got {unit!r}")
+    factor = F.lit(MILS_TO_MM) if unit == "mils" else F.when(s.rlike(MILS_RE), F.lit(MILS_TO_MM)).otherwise(F.lit(1.0))
+    # a blank text has no number
+    return F.when(~F.upper(s).rlike(r"\b[A-F]\b"), first_number(s) * factor)
 
 
 def strip_suffix_int(c: ColumnLike, suffix: str = " max") -> Column:

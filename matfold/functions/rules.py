@@ -84,11 +84,22 @@ UNKNOWN_TYPE = "UNKNOWN"
 # --------------------------------------------------------------------------
 
 
+def _merged_rules() -> list[tuple[str, str]]:
+    """The rules in order, neighbours of one label as one pattern: fewer branches keep the generated code small enough to be compiled."""
+    out: list[tuple[str, str]] = []
+    for pattern, label in MATERIAL_TYPE_RULES + MATERIAL_TYPE_HEURISTICS:
+        if out and out[-1][1] == label:
+            out[-1] = (f"{out[-1][0]}|(?:{pattern})", label)
+        else:
+            out.append((f"(?:{pattern})", label))
+    return out
+
+
 def material_type(name: ColumnLike) -> Column:
     """Material type of a name: first matching rule, else 'UNKNOWN'."""
     up = F.upper(F.coalesce(col_of(name), F.lit("")))
     expr = None
-    for pattern, label in MATERIAL_TYPE_RULES + MATERIAL_TYPE_HEURISTICS:
+    for pattern, label in _merged_rules():
         cond = up.rlike(pattern)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     return expr.otherwise(F.lit(UNKNOWN_TYPE))

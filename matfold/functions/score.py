@@ -67,11 +67,11 @@ def rating_letter(c: ColumnLike) -> Column:
     return F.nullif(F.regexp_extract(F.upper(col_of(c)), r"\b([A-F])\b", 1), F.lit(""))
 
 
-def rating_score(c: ColumnLike) -> Column:
-    """Letter rating -> 0..1 (A=1, B=.75, C=.5, D=.25, E=.125, F=0)."""
-    # a lookup in a literal map finds the letter once; a CASE would search the text again in every branch
+def rating_score(*columns: ColumnLike) -> Column:
+    """Letter rating -> 0..1 (A=1, B=.75, C=.5, D=.25, E=.125, F=0), of the first column that has a letter."""
+    # one lookup in a literal map; a CASE would search the text again in every branch
     points = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v / 4.0)) for k, v in LETTER_POINTS.items()))
-    return F.try_element_at(points, rating_letter(c))
+    return F.try_element_at(points, F.coalesce(*[rating_letter(c) for c in columns]))
 
 
 def rate_score(rate_mm: ColumnLike) -> Column:
@@ -88,8 +88,7 @@ def corrosion_row_score(rate_mm_text: ColumnLike, rate_mils_text: ColumnLike,
                         mils_unit: str = "text") -> Column:
     """Score of one record: numeric rate if any column has one, else rating."""
     rate = F.coalesce(parse_rate(rate_mm_text), parse_rate(rate_mils_text, unit=mils_unit))
-    rating = F.coalesce(rating_score(rate_mm_text), rating_score(rate_mils_text))
-    return F.coalesce(rate_score(rate), rating)
+    return F.coalesce(rate_score(rate), rating_score(rate_mm_text, rate_mils_text))
 
 
 def toxicity_score(c: ColumnLike) -> Column:

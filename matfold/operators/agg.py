@@ -42,6 +42,44 @@ def first_nonblank(value: ColumnLike, order: Column, default: str | None = "") -
     return F.coalesce(picked, F.lit(default)) if default is not None else picked
 
 
+#: Decimal digits of the order columns in ``packed_order``; 38 in all.
+ORDER_DIGITS = (14, 4, 10, 10)
+
+
+def packed_order(*cols: ColumnLike, digits: Sequence[int] = ORDER_DIGITS) -> Column:
+    """Order columns (whole numbers from 0) as one number that orders like them.
+
+    A fixed-width number can be a hash aggregate's buffer, a struct cannot.  A
+    value that needs more than its digits raises.
+    """
+    out = None
+    for c, d in zip(cols, digits, strict=False):
+        x = col_of(c).cast("long")
+        part = F.when((x >= 0) & (x < 10 ** d), x).when(x.isNotNull(), F.raise_error(F.lit(f"order value needs more than {d} digits")).cast("long"))
+        part = part.cast("decimal(38,0)")
+        out = part if out is None else out * F.lit(10 ** d).cast("decimal(11,0)") + part
+    return out.cast("decimal(38,0)")
+
+
+def stats_and_first(df: DataFrame, key: str, value: str, prefix: str, label: str, order: Column) -> DataFrame:
+    """Per key: min, mean, sample variance and count of ``value``, and the first non-blank ``label`` by ``order``.
+
+    Two aggregates: per (key, label) everything is a fixed-width number, so the
+    whole input goes through a hash aggregate that is combined map-side and no
+    task sorts it; what is left, a row per key and label, is merged per key.
+    ``order`` is a number (``packed_order``); the label is '' when there is none.
+    """
+    given = F.when(~is_blank(label), col_of(label))
+    part = df.select(key, F.col(value).alias("_v"), given.alias("_label"), F.when(given.isNotNull(), order).alias("_order")).groupBy(key, "_label").agg(
+        F.min("_v").alias("_min"), F.count("_v").alias("_n"), F.avg("_v").alias("_mean"), F.var_pop("_v").alias("_var"), F.min("_order").alias("_first"))
+    n, total = F.sum("_n"), F.sum(F.col("_n") * F.col("_mean"))
+    squares = F.sum(F.col("_n") * (F.col("_var") + F.col("_mean") * F.col("_mean"))) - total * total / n
+    return part.groupBy(key).agg(
+        F.min("_min").alias(f"{prefix}_min"), F.when(n > 0, total / n).alias(f"{prefix}_mean"),
+        F.when(n > 1, F.greatest(squares, F.lit(0.0)) / (n - 1)).otherwise(F.lit(0.0)).alias(f"{prefix}_var"),
+        n.cast("long").alias("data_points"), F.coalesce(F.min_by("_label", "_first"), F.lit("")).alias(label))
+
+
 def conditional_min(value: ColumnLike, flag: ColumnLike) -> Column:
     """min over flagged rows if the group has any, else over all rows.
 
@@ -69,11 +107,6 @@ def coverage_percent(value: ColumnLike) -> Column:
     return 100.0 * F.avg(col_of(value).isNotNull().cast("double"))
 
 
-def distinct_count(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-null count of a column (one row)."""
-    return df.agg(F.count_distinct(F.col(column)).cast("long").alias("n_distinct"))
-
-
 def distinct_sample(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """The ``n`` smallest distinct values: a distributed top-k, no collect."""
     return (df.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
@@ -92,11 +125,6 @@ def mean_by_key(df: DataFrame, key: ColumnLike, key_name: str = "key",
     return df.groupBy(col_of(key).alias(key_name)).agg(*[F.avg(c).alias(c) for c in nums])
 
 
-def table_meta(df: DataFrame) -> dict:
-    """Row count and column list (A8); the count is the one action."""
-    return {"columns": list(df.columns), "nrows": df.count()}
-
-
 def _ordered_bits(value: ColumnLike) -> Column:
     """A double's bits as a long that orders like the double (-0.0 as 0.0, NaN last)."""
     bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), col_of(value) + F.lit(0.0)).cast("long")

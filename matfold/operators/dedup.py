@@ -28,12 +28,17 @@ def order_key(*cols: ColumnLike, nulls_last: Sequence[str] = ()) -> Column:
     return F.struct(*fields)
 
 
-def keep_first(df: DataFrame, subset: Sequence[str], order_by: Column | Sequence[ColumnLike]) -> DataFrame:
+def keep_first(df: DataFrame, subset: Sequence[str], order_by: Column | Sequence[ColumnLike], repeats: bool = False) -> DataFrame:
     """``drop_duplicates(subset, keep='first')`` with an explicit order.
 
     Null keys form one group, as in pandas.  Output keeps the input's
-    column order.
+    column order.  ``repeats``: rows are mostly equal but for their one numeric
+    order column, so they are reduced to their smallest order by a hash aggregate
+    first.
     """
+    if repeats:
+        (at,) = order_by
+        df = df.groupBy(*[c for c in df.columns if c != at]).agg(F.min(at).alias(at)).select(*df.columns)
     ordering = order_by if isinstance(order_by, Column) else F.struct(*[col_of(c) for c in order_by])
     others = [c for c in df.columns if c not in subset]
     if not others:
@@ -43,10 +48,6 @@ def keep_first(df: DataFrame, subset: Sequence[str], order_by: Column | Sequence
     return agg.select(*[F.col(c) for c in subset], "_first.*").select(*df.columns)
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    return df.distinct()
-
-
 def first_match(df: DataFrame, key: str, value: str, order_by: ColumnLike) -> DataFrame:
     """First ``value`` per ``key`` by ``order_by``."""
     return df.groupBy(key).agg(F.min_by(col_of(value), col_of(order_by)).alias(value))

@@ -119,11 +119,21 @@ def compile_filters(df: DataFrame, spec: Mapping[str, Any], keep_missing: bool =
     return pred, missing
 
 
+def where_computed(df: DataFrame, pred: Column) -> DataFrame:
+    """``df.where(pred)`` with the columns of ``df`` evaluated first, each once.
+
+    Catalyst otherwise puts the expressions of parsed columns into every
+    predicate that names them, and again into the projection.  A predicate that
+    names a column without a fixed value stays above the projection.
+    """
+    return df.withColumn("_computed", F.spark_partition_id()).where(pred & (F.col("_computed") >= 0)).drop("_computed")
+
+
 def apply_filters(df: DataFrame, spec: Mapping[str, Any], keep_missing: bool = False,
-                  regex: bool = True) -> tuple[DataFrame, list[str]]:
-    """``(filtered_df, missing_columns)``."""
+                  regex: bool = True, computed: bool = False) -> tuple[DataFrame, list[str]]:
+    """``(filtered_df, missing_columns)``; ``computed`` for tables of parsed columns (see ``where_computed``)."""
     pred, missing = compile_filters(df, spec, keep_missing, regex)
-    return df.where(pred), missing
+    return where_computed(df, pred) if computed else df.where(pred), missing
 
 
 def where_equal(df: DataFrame, columns: Sequence[str] | None = None,

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from matfold.operators.dedup import best_per_key
 from matfold.session import ship_package
 
 
@@ -208,9 +209,7 @@ def fuzzy_best_match(probes: DataFrame, probe_col: str, candidates: DataFrame, c
         empty = (P.where(F.col("key") == "").join(C.where(F.col("key") == ""), "key")
                   .select(F.col("key").alias("probe"), F.col("key").alias("cand"), F.lit(1.0).alias("score")))
         good = good.unionByName(empty)
-    best = good.groupBy("probe").agg(F.max_by(F.struct("cand", "score"),
-                                              F.struct("score", "cand")).alias("b"))
-    return best.select("probe", F.col("b.cand").alias("match"), F.col("b.score").alias("score"))
+    return best_per_key(good, "probe", "score", "cand").select("probe", F.col("cand").alias("match"), "score")
 
 
 def fuzzy_merge(left: DataFrame, right: DataFrame, left_key: str, right_key: str,

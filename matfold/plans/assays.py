@@ -172,7 +172,7 @@ QUALIFY row_number() OVER (PARTITION BY Name, CAS, Clean_Name ORDER BY ord) = 1
 def q_identity_map(spark, sf_dir):
     r = load_records(spark, sf_dir).select("Name", "CAS", "Clean_Name",
                                            F.col("source_file").alias("Source_File"), "ord")
-    return keep_first(r, ["Name", "CAS", "Clean_Name"], ["ord"]).drop("ord")
+    return keep_first(r, ["Name", "CAS", "Clean_Name"], ["ord"], repeats=True).drop("ord")
 
 
 @query("human_flag", oracle=_RECORDS_SQL + "SELECT ord, Cell_line, Is_Human_Cell FROM flagged")

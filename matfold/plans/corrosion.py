@@ -2,9 +2,10 @@
 
 Plan shape: scan lineitem + part (pruned to the used columns), one join on
 the part key (AQE turns it into a broadcast only when the part side is
-small at run time), one projection computing every per-record expression,
-then a single hash aggregate on the clean name that is combined map-side.
-A hot material name therefore costs one partial row per input task.
+small at run time), staged projections computing the per-record expressions,
+then a hash aggregate on (clean name, UNS) that is combined map-side, and a
+small one per clean name.  A hot material name costs one partial row per UNS
+and input task.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matfold.functions.parse import parse_rate, strip_to_number, to_number
+from matfold.functions.parse import parse_stripped_rate, strip_to_number, to_number
 from matfold.functions.score import corrosion_compat_score, is_bio_environment, rate_score, rating_score
 from matfold.functions.text import clean_name_basic, py_strip
-from matfold.operators.agg import first_nonblank, score_stats
+from matfold.operators.agg import packed_order, stats_and_first
 from matfold.plans import sqlfrag as S
 from matfold.plans.registry import query
 from matfold.sources.raw_views import duck_cte, raw_view
@@ -35,8 +36,8 @@ def score_records(raw: DataFrame, mm_col: str = "Rate_mm", mils_col: str = "Rate
     staged = raw.select("*", py_strip(mm_col).alias("_smm"), py_strip(mils_col).alias("_smils"))
     parsed = staged.select(
         "*",
-        F.coalesce(parse_rate("_smm"), parse_rate("_smils", unit=mils_unit)).alias("rate_mm_yr"),
-        F.coalesce(rating_score("_smm"), rating_score("_smils")).alias("_rating"),
+        F.coalesce(parse_stripped_rate(F.col("_smm")), parse_stripped_rate(F.col("_smils"), mils_unit)).alias("rate_mm_yr"),
+        rating_score("_smm", "_smils").alias("_rating"),
         clean_name_basic(material_col).alias("Clean_Name"))
     return parsed.select(*raw.columns, "rate_mm_yr",
                          F.coalesce(rate_score("rate_mm_yr"), F.col("_rating")).alias("corr_score_row"),
@@ -47,13 +48,7 @@ def corrosion_scores(raw: DataFrame, order_cols=ORDINAL, mils_unit: str = "text"
                      round_to: int | None = 6) -> DataFrame:
     """One row per clean material name: score min/mean/var, points, first UNS."""
     scored = score_records(raw, mils_unit=mils_unit)
-    order = F.struct(*[F.col(c) for c in order_cols])
-    stats = score_stats("corr_score_row", "corr_score")
-    out = scored.groupBy("Clean_Name").agg(
-        *stats,
-        F.count("corr_score_row").cast("long").alias("data_points"),
-        first_nonblank("UNS", order).alias("UNS"),
-    )
+    out = stats_and_first(scored, "Clean_Name", "corr_score_row", "corr_score", "UNS", packed_order(*order_cols))
     if round_to is not None:
         out = out.select("Clean_Name",
                          *[F.round(c, round_to).alias(c) for c in

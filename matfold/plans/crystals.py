@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matfold.operators.dedup import keep_first
+from matfold.operators.dedup import first_match, keep_first
 from matfold.functions.parse import to_number
 from matfold.operators.documents import NOT_AVAILABLE, TRUNCATE_AT, first_truthy, flatten, key_value, overview, young_from_k_g
 from matfold.plans.registry import query
@@ -210,7 +210,7 @@ def resolve_terms(terms: DataFrame, term_col: str, docs: DataFrame) -> DataFrame
     by_formula = docs.select(F.col("summary.formula_pretty").alias("_f"),
                              F.col("material_id").alias("_id"),
                              F.substring_index(F.col("material_id"), "-", -1).cast("long").alias("_n"))
-    first = by_formula.groupBy("_f").agg(F.min_by("_id", "_n").alias("_fid"))
+    first = first_match(by_formula, "_f", "_id", "_n").withColumnRenamed("_id", "_fid")
     t = terms.select("*", F.lower(F.col(term_col)).startswith("mp-").alias("_isid"))
     j = t.join(first, F.col(term_col) == F.col("_f"), "left")
     return j.select(*[F.col(c) for c in terms.columns],

@@ -20,6 +20,7 @@ from matfold.functions.parse import to_number
 from matfold.functions.units import mpa_to_gpa, kgm3_to_gcm3, psi_to_mpa
 from matfold.operators.agg import distinct_sample, null_counts
 from matfold.operators.dedup import keep_first
+from matfold.operators.filters import where_computed
 from matfold.operators.joins import lookup_first
 from matfold.operators.setops import stack
 from matfold.plans import sqlfrag as S
@@ -228,7 +229,8 @@ SELECT Material_ID, Material_Raw, Clean_Name FROM unified WHERE Material_Type =
 """)
 def q_unmatched_types(spark, sf_dir):
     u = unified_materials(spark, sf_dir)
-    return u.where(F.col("Material_Type") == "UNKNOWN").select("Material_ID", "Material_Raw", "Clean_Name")
+    return where_computed(u.select("Material_ID", "Material_Raw", "Clean_Name", "Material_Type"),
+                          F.col("Material_Type") == "UNKNOWN").drop("Material_Type")
 
 
 @query("type_summary", oracle=UNIFIED_SQL + """

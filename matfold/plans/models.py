@@ -24,6 +24,7 @@ from matfold.operators.prep import (auc, class_weights, classification_report, f
 from matfold.operators.scoring import ModelRegistry, fit_contract
 from matfold.plans import sqlfrag as S
 from matfold.plans.assays import load_records
+from matfold.plans.joins import _FM_SQL, _fm_inputs, feature_matrix
 from matfold.plans.features import _PROTEIN
 from matfold.plans.registry import query
 from matfold.plans.search import USE_RULE
@@ -294,10 +295,10 @@ def q_tg_regress(spark, sf_dir):
     return pred
 
 
-@query("training_matrix")
+@query("training_matrix", oracle=_FM_SQL)
 def q_training_matrix(spark, sf_dir):
-    """Three-domain feature matrix assembled into one vector per master item."""
-    from matfold.plans.joins import _fm_inputs, feature_matrix
+    """Three-domain feature matrix assembled into one vector per master item, read back by its places."""
     fm = feature_matrix(*_fm_inputs(spark, sf_dir))
     cols = [c for c in fm.columns if c not in ("material_name", "y")]
-    return assembler(cols, "X").transform(fm).select("material_name", "X", "y")
+    X = assembler(cols, "X").transform(fm).select("material_name", "y", vector_to_array("X").alias("X"))
+    return X.select("material_name", *[F.round("y" if c == "y" else F.element_at("X", cols.index(c) + 1), 6).alias(c) for c in fm.columns if c != "material_name"])

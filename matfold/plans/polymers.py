@@ -19,6 +19,7 @@ from matfold.functions.parse import to_number
 from matfold.functions.score import flexibility_score, rigidity_class
 from matfold.functions.text import py_strip, upper_strip
 from matfold.functions.units import kelvin_to_celsius_if_high
+from matfold.operators.filters import drop_missing
 from matfold.operators.dedup import keep_first
 from matfold.operators.schema import resolve_alias
 from matfold.operators.setops import stack
@@ -76,7 +77,7 @@ def polymer_training(named: DataFrame, classes: DataFrame) -> DataFrame:
     first = keep_first(both, ["SMILES"], ["_src", "_o"])
     tg = to_number("Tg")
     lo, hi = TG_VALID
-    return (first.where(F.col("SMILES").isNotNull() & F.col("Tg").isNotNull())
+    return (drop_missing(first, ["SMILES", "Tg"])
                  .select(py_strip("SMILES").alias("SMILES"), tg.alias("Tg"), "name", "abr", "Polymer_Class")
                  .where(F.col("Tg").isNotNull() & (F.col("Tg") > lo) & (F.col("Tg") < hi)))
 

@@ -86,12 +86,15 @@ def domain_spec(domain: str, free_text: str | None = None, **criteria) -> dict:
     return spec
 
 
-def domain_search(df: DataFrame, domain: str, **criteria) -> tuple[DataFrame, list[str]]:
-    """(rows of a domain's prepared table that meet all criteria, columns it lacks)."""
+def domain_search(df: DataFrame, domain: str, computed: bool = False, **criteria) -> tuple[DataFrame, list[str]]:
+    """(rows of a domain's prepared table that meet all criteria, columns it lacks).
+
+    ``computed``: the table's columns are parsed on the way, not read.
+    """
     if domain == "cytotoxicity" and "Cytotoxicity_Level" in df.columns:
         level = F.lower(py_strip(F.col("Cytotoxicity_Level").cast("string")))
         df = df.withColumn("Cytotoxicity_Level", F.when(is_blank("Cytotoxicity_Level"), F.lit("unknown")).otherwise(level))
-    return apply_filters(df, domain_spec(domain, **criteria), regex=False)
+    return apply_filters(df, domain_spec(domain, **criteria), regex=False, computed=computed)
 
 
 @query("search_range", oracle="""
@@ -148,7 +151,7 @@ WHERE (regexp_matches(Material_ID, 'grade', 'i') OR regexp_matches(Material_Raw,
   AND Youngs_Modulus_GPa >= 192.5 AND Tensile_Strength_MPa >= 470
 """)
 def q_search_structural(spark, sf_dir):
-    u = search(unified_materials(spark, sf_dir), STRUCTURAL_SPEC)
+    u, _ = apply_filters(unified_materials(spark, sf_dir), STRUCTURAL_SPEC, computed=True)
     return u.select("Material_Name", "Material_Type", F.round("Youngs_Modulus_GPa", 6).alias("Youngs_Modulus_GPa"),
                     F.round("Tensile_Strength_MPa", 6).alias("Tensile_Strength_MPa"))
 
@@ -307,7 +310,7 @@ def q_search_cytotoxicity(spark, sf_dir):
     level = F.when(cc.isNull(), F.lit(" ")).when(cc < 0.1, F.lit("High")).when(cc < 1, F.lit(" MEDIUM")).otherwise(F.lit("low "))
     table = load_records(spark, sf_dir).select("ord", "Name", "CAS", "Clean_Name", "CC50_mM", "Cell_line", "Method",
                                                "Canonical_SMILES", level.alias("Cytotoxicity_Level"))
-    out, _ = domain_search(table, "cytotoxicity", free_text="assay", level=["low", "medium"], name="view", cc50_min=0.2,
+    out, _ = domain_search(table, "cytotoxicity", computed=True, free_text="assay", level=["low", "medium"], name="view", cc50_min=0.2,
                            cell_line="HeLa", smiles="[N+]")
     return out.select("ord", "Name", "Clean_Name", F.round("CC50_mM", 9).alias("CC50_mM"), "Cytotoxicity_Level")
 

@@ -12,9 +12,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from matfold.plans.corrosion import ORDINAL, corrosion_scores, score_records
+from matfold.operators.agg import first_nonblank, score_stats
+from matfold.plans.corrosion import ORDINAL, score_records
 from matfold.session import ensure_checkpoint_dir
 
 
@@ -32,8 +34,14 @@ def scored_records(stream: DataFrame) -> DataFrame:
 
 
 def material_scores(stream: DataFrame) -> DataFrame:
-    """Per-material summary, updated as records arrive (complete/update mode)."""
-    return corrosion_scores(stream, order_cols=ORDINAL)
+    """Per-material summary, updated as records arrive (complete/update mode).
+
+    One aggregate, since a stream can have but one outside append mode.
+    """
+    order = F.struct(*[F.col(c) for c in ORDINAL])
+    out = score_records(stream).groupBy("Clean_Name").agg(
+        *score_stats("corr_score_row", "corr_score"), F.count("corr_score_row").cast("long").alias("data_points"), first_nonblank("UNS", order).alias("UNS"))
+    return out.select("Clean_Name", *[F.round(f"corr_score_{x}", 6).alias(f"corr_score_{x}") for x in ("min", "mean", "var")], "data_points", "UNS")
 
 
 def start(df: DataFrame, name: str, output_mode: str = "complete", sink: str = "memory",

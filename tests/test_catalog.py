@@ -1,6 +1,7 @@
 """Every registered query runs on sf0.001 and, where it has an oracle,
 matches DuckDB on the same parquet tables; the entry point smoke-runs."""
 
+import math
 import os
 import re
 
@@ -44,7 +45,13 @@ def test_query_matches_oracle(spark, duck, name):
     srows = [tuple(r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
     if sql is None:
-        assert len(df.columns) > 0
+        assert df.columns
+        if not re.match(r"op\d+_|pipeline$", name):  # the training-data queries have tests of their own
+            assert srows
+            for c, values in zip(df.columns, zip(*srows, strict=True), strict=True):
+                known = [v for v in values if v is not None]
+                assert known, c
+                assert all(math.isfinite(v) for v in known if isinstance(v, float)), c
         return
     cur = duck.execute(sql)
     dcols = [d[0] for d in cur.description]

@@ -394,3 +394,46 @@ def test_knn_visits_few_cells_and_keeps_ties(spark, monkeypatch):
     assert sum(v.count() for v in visited) < 60 * 24 / 3  # of 24 cells a query sees a few
     few = knn.knn_candidates(train.limit(2), test, "id", "v", "y", k=5, block_rows=40, pivot_rows=1)
     assert few.count() == 120 and knn.knn_candidates(train.limit(0), test, "id", "v", "y").count() == 0
+
+
+def test_stats_and_first_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(str(k) if k else None, None if v > 8 else float(v) / 7, [None, " ", "U1", "U2", "U3"][u], int(a), int(b))
+            for k, v, u, a, b in zip(rng.integers(0, 4, 400), rng.integers(0, 11, 400), rng.integers(0, 5, 400), rng.permutation(400) // 2, rng.permutation(400))]
+    rows += [("lone", 0.5, None, 1, 1), ("none", None, "x", 10 ** 13, 9_999)]
+    df = spark.createDataFrame(rows, "k string, v double, u string, a long, b long").repartition(5)
+    order = agg.packed_order("a", "b", digits=(14, 10))
+    got = {r["k"]: r for r in agg.stats_and_first(df, "k", "v", "s", "u", order).collect()}
+    for k in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == k]
+        values = [r[1] for r in mine if r[1] is not None]
+        named = sorted((r[3], r[4], r[2]) for r in mine if r[2] and r[2].strip())
+        g = got[k]
+        assert g["data_points"] == len(values) and g["u"] == (named[0][2] if named else "")
+        assert g["s_min"] == (min(values) if values else None)
+        assert math.isclose(g["s_var"], np.var(values, ddof=1) if len(values) > 1 else 0.0, abs_tol=1e-12)
+        assert (g["s_mean"] is None) == (not values) and (not values or math.isclose(g["s_mean"], np.mean(values)))
+    plan = agg.stats_and_first(df, "k", "v", "s", "u", order)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortAggregate") < plan.index("HashAggregate")  # only the small second step sorts
+    with pytest.raises(Exception, match="more than 2 digits"):
+        df.select(agg.packed_order("a", "b", digits=(2, 10))).collect()
+
+
+def test_keep_first_of_repeated_rows(spark):
+    df = spark.createDataFrame([(3, "a", "x"), (1, "a", "y"), (2, "a", "y"), (5, "b", None), (4, "b", None)], "o long, k string, v string")
+    for repeats in (False, True):
+        assert sorted(map(tuple, dedup.keep_first(df, ["k"], ["o"], repeats=repeats).collect())) == [(1, "a", "y"), (4, "b", None)]
+
+
+def test_fuzzy_merge_joins_through_the_best_match(spark):
+    left = spark.createDataFrame([("titanum", 1), ("steel", 2), (None, 3)], "n string, a int")
+    right = spark.createDataFrame([("titanium", "x"), ("steel", "y"), ("steal", "z")], "m string, b string")
+    got = sorted((r["n"], r["a"], r["b"]) for r in fuzzy.fuzzy_merge(left, right, "n", "m", 0.8).collect())
+    assert got == [("steel", 2, "y"), ("titanum", 1, "x")]
+
+
+def test_filters_on_computed_columns_keep_their_rows(spark):
+    df = spark.createDataFrame([(i, f"{i} mm") for i in range(20)], "k int, t string").select("k", F.regexp_extract("t", r"\\d+", 0).cast("int").alias("n"))
+    out = filters.where_computed(df, (F.col("n") > 3) & (F.col("n") < 9))
+    assert out.columns == ["k", "n"] and sorted(r["k"] for r in out.collect()) == [4, 5, 6, 7, 8]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
