@@ -7,7 +7,10 @@ sources of negative tilt to those of positive tilt.  A source's token stream
 is its documents in a fixed hash order, epoch after epoch, up to its target;
 a document copy whose middle lies at token u of the stream is read at the time
 t where the source's cumulative demand reaches u (the schedule's integral,
-inverted).  Documents are range-sorted by that position.
+inverted).  Documents are range-sorted by that position.  The document at the border
+of a target is taken whole if its middle is inside; what the source is then over or
+under its target is made up, ``TRIMS`` times, by one copy less or more of the document
+whose size comes nearest to it.
 
 The running token sums of a source are built in two levels (hash ranges of a
 source, then documents of a range, about sqrt(rows) of each), so no source is
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 
 from matfold.llm.common import prepare, saved
 
+#: Documents by which a source is brought nearer to its target.
+TRIMS = 3
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,7 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     prepare(spark)
     rows = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-                             n_words(F.col(text_col)).alias("size")))
+                             n_words(F.col(text_col)).alias("size")).withColumn("row", F.monotonically_increasing_id()))
     # a null-safe join key and the place in the stream
     rows = rows.withColumn("key", F.concat_ws("", F.lit("s"), "source").alias("key"))
     rows = rows.withColumn("key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.col("key")))
@@ -92,6 +97,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = out.withColumn("middle", F.col("range_start") + F.col("ahead") + F.col("size") / 2)
     copies = F.floor((F.col("target") - F.col("middle")) / F.col("source_size")) + 1
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.lit(math.floor(cap)), copies))).otherwise(0).cast("int"))
+    out = out.select("row", "key", "h", "id", "source", "size", "source_size", "target", "tilt", "middle", "copies")
+    for _ in range(TRIMS):
+        out = _nearer(saved(out), math.floor(cap))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     share = lambda epoch: (epoch * F.col("source_size") + F.col("middle")) / F.col("target")
     positions = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda e: time_of(F.least(share(e), F.lit(1.0)), F.col("tilt")))
@@ -101,6 +109,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col(id_col)).sortWithinPartitions(F.col("position").asc_nulls_last(), id_col)
 
 
+def _nearer(out: DataFrame, most: int) -> DataFrame:
+    """``copies`` with one document of each source taken once more or less, if that brings the source nearer to its target."""
+    gaps = out.groupBy("key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    fits = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+    left = F.abs(F.abs("gap") - F.col("size"))
+    best = (out.join(gaps, "key").where((F.col("size") > 0) & fits & (left < F.abs("gap")))
+            .groupBy("key").agg(F.min(F.struct(left.alias("left"), "h", "id", "row")).alias("best"), F.max(F.signum("gap")).cast("int").alias("step")))
+    steps = best.select(F.col("best.row").alias("row"), "step")
+    return out.join(steps, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("step")
+
+
 def time_of(q: Column, tilt: Column) -> Column:
     """t with t + tilt * (t^2 - t) = q: the time at which a share q of the demand is met."""
     b = 1 - tilt

@@ -198,6 +198,20 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_comes_near_its_targets(spark):
+    rnd = np.random.default_rng(7)
+    rows = [(i, "w " * int(n), f"s{i % 5}" if i % 7 else None) for i, n in enumerate(np.r_[rnd.integers(1, 60, 400), [2000, 900, 1500]])]
+    plan = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert plan == mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string")).collect()
+    taken, target = defaultdict(int), {}
+    for r in plan:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken == r.copies * r.size <= 3 * r.size and len(r.positions) == r.copies
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 3, (s, t, taken[s])  # sizes of 1 to 60 are there to fill with
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vec = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 10]) for i in range(300)]
