@@ -433,7 +433,7 @@ def test_fuzzy_merge_joins_through_the_best_match(spark):
 
 
 def test_filters_on_computed_columns_keep_their_rows(spark):
-    df = spark.createDataFrame([(i, f"{i} mm") for i in range(20)], "k int, t string").select("k", F.regexp_extract("t", r"\\d+", 0).cast("int").alias("n"))
+    df = spark.createDataFrame([(i, f"{i} mm") for i in range(20)], "k int, t string").select("k", F.regexp_extract("t", r"\d+", 0).cast("int").alias("n"))
     out = filters.where_computed(df, (F.col("n") > 3) & (F.col("n") < 9))
     assert out.columns == ["k", "n"] and sorted(r["k"] for r in out.collect()) == [4, 5, 6, 7, 8]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
