@@ -111,7 +111,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def _nearer(out: DataFrame, most: int) -> DataFrame:
     """``copies`` with one document of each source taken once more or less, if that brings the source nearer to its target."""
-    gaps = out.groupBy("key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    # one row per source, written: its known size lets the planner send it to the rows instead of dealing the rows by source
+    gaps = saved(out.groupBy("key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")))
     fits = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
     left = F.abs(F.abs("gap") - F.col("size"))
     best = (out.join(gaps, "key").where((F.col("size") > 0) & fits & (left < F.abs("gap")))
