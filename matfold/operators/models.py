@@ -42,18 +42,7 @@ def fingerprint_stages(token_col: str, out_col: str = "fp", n_bits: int = N_BITS
 
 
 def add_fingerprint(df: DataFrame, structure_col: str, out_col: str = "fp", n_bits: int = N_BITS) -> DataFrame:
-    """``df`` with the hashed n-gram vector of its structure column.
-
-    Structures repeat, so each distinct one is hashed once and joined back; the
-    vectors of structures that very many rows share are spread by the planner's
-    skew splitting.
-    """
-    distinct = df.select(F.col(structure_col).alias("_s")).distinct()
-    prints = _fingerprints(distinct, "_s", out_col, n_bits)
-    return df.join(prints, F.col(structure_col).eqNullSafe(F.col("_s")), "left").drop("_s")
-
-
-def _fingerprints(df: DataFrame, structure_col: str, out_col: str, n_bits: int) -> DataFrame:
+    """``df`` with the hashed n-gram vector of its structure column."""
     toks = df.withColumn("_chars", char_tokens(structure_col))
     stages, grams = fingerprint_stages("_chars")
     for st in stages:
