@@ -37,3 +37,24 @@ def test_knn_with_repeated_vectors_null_ids_and_null_components(spark):
     for block, pivot in ((knn.BLOCK_ROWS, knn.PIVOT_ROWS), (7, 4)):
         found = knn.knn_candidates(*frames(spark, X, ids, y, Q, asked), "id", "v", "y", k=7, block_rows=block, pivot_rows=pivot)
         assert sorted((r[0] is None, r[0] or 0, r[2], r[1] is None, r[1] or 0, r[3]) for r in found.collect()) == want, block
+
+
+def _moved(plan):
+    """Records written by all exchanges of an executed plan."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _moved(plan.executedPlan())
+    if "QueryStage" in name:
+        return _moved(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    return own + sum(_moved(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_knn_moves_queries_once_per_slab(spark):
+    rng = np.random.default_rng(5)
+    X, Q = rng.normal(size=(600, 16)), rng.normal(size=(200, 16))
+    train, test = frames(spark, X.tolist(), range(600), [float(i) for i in range(600)], Q.tolist(), range(200))
+    found = knn.knn_candidates(train, test, "id", "v", "y", k=7, pivot_rows=4)  # 150 cells, and a query reaches most of them
+    d = ((Q[:, None, :] - X[None, :, :]) ** 2).sum(2)
+    assert sorted((r[0], r[1]) for r in found.collect()) == sorted((q, int(i)) for q in range(200) for i in np.argsort(d[q], kind="stable")[:7])
+    assert _moved(found._jdf.queryExecution().executedPlan()) < 10_000  # 30,000 pairs of query and cell
