@@ -23,6 +23,8 @@ from matfold.functions.chem import first_component, letter_frequencies, structur
 from matfold.session import ensure_checkpoint_dir
 
 N_BITS = 2048
+#: Rows of one task of a model's input, unless there are tasks enough.
+TASK_ROWS = 20_000
 
 
 def char_tokens(c: ColumnLike) -> Column:
@@ -88,11 +90,16 @@ def materialize(df: DataFrame) -> DataFrame:
     Used for model inputs that several fits and scorings read: the parsing
     and fingerprinting run once, the lineage is cut, and a lost executor
     costs a re-read of the checkpoint files rather than a recomputation.
+    Rows that came in fewer tasks than the cluster runs (few or small files)
+    are dealt to more, ``TASK_ROWS`` to each at least.
     """
     from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)  # computed once, then written
     try:
+        tasks = min(2 * df.sparkSession.sparkContext.defaultParallelism, cached.count() // TASK_ROWS)
+        if cached.rdd.getNumPartitions() < tasks:
+            return cached.repartition(tasks).checkpoint(eager=True)
         return cached.checkpoint(eager=True)
     finally:
         cached.unpersist()
