@@ -49,7 +49,8 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _rows(df: DataFrame, id_col: str, vec_col: str, label_col: str | None) -> DataFrame:
-    label = [F.col(label_col).cast("double").alias("label")] if label_col else []
+    # a missing label makes the mean NaN
+    label = [F.coalesce(F.col(label_col).cast("double"), F.lit(float("nan"))).alias("label")] if label_col else []
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), *label)
     return rows.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)))
 

@@ -33,8 +33,6 @@ from matfold.sources.tables import read_table, spark_sql
 from matfold.functions.parse import strip_suffix_int, to_number
 
 SEED = 42
-#: Each row keeps its node of every tree, so no level walks all trees again from their roots; the trees are the same.
-FOREST = {"cacheNodeIds": True, "seed": SEED}
 
 
 def qsar_table(spark, sf_dir) -> DataFrame:
@@ -64,9 +62,9 @@ def q_rf_qsar(spark, sf_dir, trees: int = 300, depth: int = 30):
     asm = assembler(["fp", "Mw", "Family_enc"])
     train, test = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
     reg = fit_pipeline(train, [fam, asm, RandomForestRegressor(labelCol="log_cc50", numTrees=trees, maxDepth=depth,
-                                                               featureSubsetStrategy="sqrt", **FOREST)])
+                                                               featureSubsetStrategy="sqrt", seed=SEED)])
     clf = fit_pipeline(train, [fam, asm, RandomForestClassifier(labelCol="toxic", numTrees=trees, maxDepth=depth,
-                                                                featureSubsetStrategy="sqrt", **FOREST)])
+                                                                featureSubsetStrategy="sqrt", seed=SEED)])
     rp = reg.transform(test)
     cp = materialize(clf.transform(test).select("toxic", vector_to_array("probability")[1].alias("p1"),
                                                 F.col("prediction").cast("int").alias("pred")))
@@ -175,8 +173,9 @@ def q_select_model(spark, sf_dir, trees: int = 200, depth: int = 30):
     stats = fit_standard(train, MODULUS_FEATURES)
     scaled = lambda df: standardize(df, stats).withColumn("vec", F.array(*MODULUS_FEATURES))
     kp = knn_regress(scaled(train), scaled(test), "ord", "vec", "E_GPa", k=7).join(test.select("ord", "E_GPa"), "ord")
+    # each row keeps its node of every tree, so no level walks the deep trees from their roots; the trees are the same
     rf = fit_pipeline(train, [assembler(MODULUS_FEATURES),
-                              RandomForestRegressor(labelCol="E_GPa", numTrees=trees, maxDepth=depth, **FOREST)])
+                              RandomForestRegressor(labelCol="E_GPa", numTrees=trees, maxDepth=depth, cacheNodeIds=True, seed=SEED)])
     rp = rf.transform(test)
     km = regression_metrics(kp, "E_GPa", "prediction").select(F.lit("knn7").alias("model"), "r2", "mae")
     fm = regression_metrics(rp, "E_GPa", "prediction").select(F.lit("forest").alias("model"), "r2", "mae")
