@@ -58,3 +58,33 @@ def test_knn_moves_queries_once_per_slab(spark):
     d = ((Q[:, None, :] - X[None, :, :]) ** 2).sum(2)
     assert sorted((r[0], r[1]) for r in found.collect()) == sorted((q, int(i)) for q in range(200) for i in np.argsort(d[q], kind="stable")[:7])
     assert _moved(found._jdf.queryExecution().executedPlan()) < 10_000  # 30,000 pairs of query and cell
+
+
+def test_knn_hands_on_no_batch_that_grows_with_the_cells(spark, monkeypatch):
+    """A worker's batch of vectors holds one block of (query, slab) visits, not its queries times the cells they visit."""
+    rng = np.random.default_rng(6)
+    X, Q = rng.normal(size=(600, 16)), rng.normal(size=(200, 16))
+    train, test = frames(spark, X.tolist(), range(600), [float(i) for i in range(600)], Q.tolist(), range(200))
+    frame = type(train)
+    plain = frame.mapInArrow
+
+    def watched(self, func, schema, *args, **kwargs):
+        def run(batches):
+            most = 64
+
+            def seen():
+                nonlocal most
+                for b in batches:
+                    most = max(most, b.num_rows)
+                    yield b
+
+            for out in func(seen()):
+                assert out.num_rows <= most or "vec" not in out.schema.names, f"{out.num_rows} vectors at once, of {most}"
+                yield out
+
+        return plain(self, run, schema, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    found = knn.knn_candidates(train.coalesce(1), test.coalesce(1), "id", "v", "y", k=7, block_rows=64, pivot_rows=4)  # 150 cells
+    d = ((Q[:, None, :] - X[None, :, :]) ** 2).sum(2)
+    assert sorted((r[0], r[1]) for r in found.collect()) == sorted((q, int(i)) for q in range(200) for i in np.argsort(d[q], kind="stable")[:7])
