@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from matfold.llm import suffix_dedup as dedup
@@ -106,3 +107,32 @@ def test_longest_factors():
             same = [j for j in starts if raw[j:j + window] == raw[i:i + window]]
             assert (previous[i] == window) == any(place[j] < place[i] for j in same)
             assert (following[i] == window) == any(place[j] > place[i] for j in same)
+
+
+def test_packs_move_without_keys_and_are_written_in_small_pages(spark, monkeypatch):
+    """What a task holds of packs: their texts and runs, not the md5 of every context, and no page of a hundred packs."""
+    kept, moved = [], []
+    frame, saved = type(spark.range(0)), dedup.saved
+    plain = frame.mapInArrow
+
+    def watched(self, func, schema, *args, **kwargs):
+        moved.append(self.columns)
+        return plain(self, func, schema, *args, **kwargs)
+
+    def noted(df, **options):
+        kept.append(saved(df, **options))
+        return kept[-1]
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    monkeypatch.setattr(dedup, "saved", noted)
+    monkeypatch.setattr(dedup, "PACK_BYTES", 1)
+    rnd = random.Random(5)
+    body = "".join(map(chr, rnd.choices(range(0x4E00, 0x9000), k=80_000)))
+    docs = [(k, body[k * 100:] + body[:k * 100] + str(k)) for k in range(110)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    out = dedup.suffix_dedup(df, 400).collect()
+    assert len(out) == 110 and all(r["n_removed"] == 240_000 for r in out)
+    assert sum("blob" in c for c in moved) == 2 and not any({"blob", "keys"} <= set(c) for c in moved)
+    footers = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in kept[0].inputFiles()]
+    sizes = [m.row_group(g).total_byte_size for m in footers for g in range(m.num_row_groups)]
+    assert sum(sizes) > 10 << 20 and max(sizes) <= 9 << 20
