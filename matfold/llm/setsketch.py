@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matfold.llm import words as W
-from matfold.llm.common import column_type, prepare, saved
+from matfold.llm.common import column_type, filed, prepare, saved
 from matfold.llm.graph import components
 
 BANDS, ROWS = 44, 5
@@ -234,19 +234,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 75, den: int =
     prepare(spark)
     m = BANDS * ROWS
     rows = saved(sketches(docs, id_col, text_col, shingle, m))
-    nodes = saved(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
+    size, elements = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    nodes = saved(filed(nodes, size))
     keys = F.array(*[F.xxhash64(F.lit(j), F.expr(f"substring(regs, {j * ROWS + 1}, {ROWS})")) for j in range(BANDS)])
     bands = nodes.select("node", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("first"), F.max("node").alias("last")).where("members > 1")
-    members = saved(bands.join(shared, "key"))
+    members = saved(filed(bands.join(shared, "key"), size * BANDS, 50_000))
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("rep").alias("wrep")), "node")
-    sets = saved(_sets(docs, id_col, text_col, wanted, shingle))
+    sets = saved(filed(_sets(docs, id_col, text_col, wanted, shingle), elements, 1 << 19))
 
     # every node with its bucket's centres
     pairs = members.select(F.col("node").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a != b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = saved(_confirmed(_promising(pairs, nodes, num, den, slack), sets, num, den))
-    comps = saved(components(links))
+    comps = components(_confirmed(_promising(pairs, nodes, num, den, slack), sets, num, den), rows=size)
 
     # what is outside a bucket's largest component with the bucket's other components
     placed = members.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -264,9 +265,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 75, den: int =
     cells = marked.select("key", "node", "comp", F.explode(F.concat(as_member, as_stray)).alias("c")).select("key", "node", "comp", "c.*")
     kept = cells.groupBy("key", "sblock", "mblock").agg(F.max("stray").alias("s"), F.min("stray").alias("m")).where("s and not m").select("key", "sblock", "mblock")
     cells = cells.join(kept, ["key", "sblock", "mblock"]).join(nodes.select("node", "n", "regs"), "node").join(sets, "node")
-    more = saved(_cross(cells, m, num, den, slack))
+    more = saved(filed(_cross(cells, m, num, den, slack).distinct(), size))
     if more.take(1):
-        comps = saved(components(links.union(more)))
+        # the components so far are stars already
+        comps = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(more), rows=size)
 
     roots = rows.join(comps, "node", "left").withColumn("root", F.coalesce("comp", "node"))
     least = roots.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))

@@ -4,13 +4,15 @@ The tables hold nulls, empty and long texts, repeated rows, ties and extra
 columns whose names clash with those the operators use themselves.
 """
 
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from matfold.llm import decontam, html_extract, license_scan, line_dedup, mixing, quality, setsketch, substring_dedup, token_counts, topk
+from matfold.llm import decontam, graph, html_extract, license_scan, line_dedup, mixing, quality, setsketch, substring_dedup, token_counts, topk
+from matfold.llm.common import filed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words long, id string, node long, key string"
 P1 = " ".join(f"w{i}" for i in range(60))
@@ -119,6 +121,39 @@ def test_near_duplicates(spark, docs, none):
     assert {r.doc_id for r in kept.collect()} >= {1, 6, 7, 8, None} and kept.where("doc_id = 2").count() == 0
 
 
+def test_near_duplicates_writes_small_tables_in_few_files(spark, monkeypatch):
+    """Each written file costs two processes on a local path, so they follow the rows, not the shuffle partitions."""
+    kept = []
+
+    def noted(df, **options):
+        kept.append(common_saved(df, **options))
+        return kept[-1]
+
+    common_saved = setsketch.saved
+    monkeypatch.setattr(setsketch, "saved", noted)
+    monkeypatch.setattr(graph, "saved", noted)
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(60)) for _ in range(40)]
+    docs = [(3 * k + c, t + " more" * c) for k, t in enumerate(texts) for c in range(3)]
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = setsketch.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert bag((r.doc_id, r.component_id) for r in found) == bag((d, d - d % 3) for d, _ in docs)
+    assert len(kept) > 5 and all(len(df.inputFiles()) <= 1 for df in kept)
+
+
+def test_filed_has_partitions_by_rows_and_loses_none(spark):
+    df = spark.range(1000).repartition(20)
+    assert [filed(df, n, 100).rdd.getNumPartitions() for n in (0, 1, 100, 101, 1000, 5000)] == [1, 1, 1, 2, 10, 20]
+    assert bag(r.id for r in filed(df, 250, 100).collect()) == bag(range(1000))
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     for j in (0.3, 0.75, 0.9):
